@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import bpe, telephony
+from docweave.llm import bpe, rules, telephony
 from docweave.session import table
 
 
@@ -15,6 +15,11 @@ def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.drop("text")
 
 
+def op5_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rules.judge(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -23,6 +28,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_telephony": op1_telephony,
+    "op5_isolation_rules": op5_isolation_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
