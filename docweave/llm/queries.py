@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.llm import bpe, rules, telephony
+from docweave.llm import bpe, nearcopies, rules, telephony
 from docweave.session import table
 
 
@@ -15,6 +15,10 @@ def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.drop("text")
 
 
+def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op5_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rules.judge(docs, table(spark, sf_dir, "labels")).drop("text")
@@ -28,6 +32,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_telephony": op1_telephony,
+    "op4_setsketch": op4_setsketch,
     "op5_isolation_rules": op5_isolation_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
