@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docweave.llm import bpe, nearcopies, rules, telephony
+from docweave.llm import bpe, mixing, nearcopies, rules, secrets, sql, telephony
 from docweave.session import table
 
 
@@ -15,6 +16,14 @@ def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.drop("text")
 
 
+def op3_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    base = F.filter("spans", lambda s: s["kind"] != "entropy")
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op4_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.near_copies(table(spark, sf_dir, "documents"))
 
@@ -24,6 +33,11 @@ def op5_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op7_slot_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -32,9 +46,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_telephony": op1_telephony,
+    "op3_entropy_secrets": op3_entropy_secrets,
     "op4_setsketch": op4_setsketch,
     "op5_isolation_rules": op5_isolation_rules,
+    "op7_slot_mixing": op7_slot_mixing,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_slot_mixing": sql.MIXING,
+}
