@@ -16,10 +16,10 @@ with recursive sized as (
   select *, least(weight * (select share from rounds order by i desc limit 1), cast(3 * source_size as double)) as target from sources
 ), placed as (
   select s.doc_id, s.size, t.source_size, t.target, cast(round(t.target) as bigint) as take,
-    cast(coalesce(sum(s.size) over (partition by s.source order by md5(coalesce(cast(s.doc_id as varchar), '')), s.size rows between unbounded preceding and 1 preceding), 0) as bigint) as at
+    cast(coalesce(sum(s.size) over (partition by s.source order by md5(coalesce(cast(s.doc_id as varchar), '')), s.size rows between unbounded preceding and 1 preceding), 0) as bigint) as here
   from sized s join targets t on s.source is not distinct from t.source
 )
 select doc_id, size, source_size, target,
-  cast(greatest(0, least(at + size, take) - at) + greatest(0, least(source_size + at + size, take) - source_size - at) + greatest(0, least(2 * source_size + at + size, take) - 2 * source_size - at) as bigint) as taken
+  cast(greatest(0, least(here + size, take) - here) + greatest(0, least(source_size + here + size, take) - source_size - here) + greatest(0, least(2 * source_size + here + size, take) - 2 * source_size - here) as bigint) as taken
 from placed
 """
