@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, mixing, nearcopies, rules, secrets, sql, telephony
+from docweave.llm import bpe, mixing, nearcopies, neighbours, rules, secrets, sql, telephony
 from docweave.session import table
 
 
@@ -16,6 +16,13 @@ def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.drop("text")
 
 
+def op2_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = lambda: F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    done = neighbours.vote(docs, labels, learn=~held_out())
+    return done.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op3_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
@@ -46,6 +53,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_telephony": op1_telephony,
+    "op2_neighbour_votes": op2_neighbour_votes,
     "op3_entropy_secrets": op3_entropy_secrets,
     "op4_setsketch": op4_setsketch,
     "op5_isolation_rules": op5_isolation_rules,
