@@ -6,9 +6,11 @@ A document's set holds its distinct k-word shingles (A-Z lower-cased; with fewer
    that shares most buckets with others: the original among its copies. So pairs grow with the rows, not with
    the square of a bucket.
 3. A pair's similarity is estimated from both sketches by likelihood; what may pass is verified on full sets.
-4. What a bucket's largest component leaves over is compared with the rest of the bucket inside a join, under
-   bounds that no linked pair breaks: sizes, the number of shingles found nowhere else, and agreement of
-   register parities. Survivors are estimated and verified alike. Pairs inside a component need no look.
+4. Pairs that no hub decides are looked at in two ways, neither of which brings forth all pairs. Classes that
+   are strangers to their hub (chance neighbours) meet the rest of the bucket inside a join whose condition, on
+   sizes and register parities, no linked pair breaks. Classes that are near each other through hubs make up a
+   family; what the family's largest component leaves over is multiplied with the family, block by block, as
+   0/1 matrices over their shared shingles, and only links come out. Pairs inside a component need no look.
 5. Components of the links, least doc_id first.
 
 With 32 bands of 4 registers, a pair at the threshold of 0.8 shares no bucket with probability 5e-8.
@@ -40,6 +42,8 @@ PERCENT = 80
 DOUBT = 0.59
 #: Linked pairs differ in at most this many of 128 parities: 13 are expected, six standard deviations are 20.
 PARITIES = 34
+#: Shingles of a block of a family.
+BLOCK = 200_000
 
 
 def distinct_shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -85,7 +89,7 @@ def whole_sets(docs: DataFrame, text_col: str, k: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked. members: rep, registers, shingles."""
+    """The pairs (a, b) that are near by their sketches, and whether they are linked. members: rep, registers, shingles."""
     side = lambda c: members.select(F.col("rep").alias(c), F.col("registers").alias(f"registers_{c}"), F.col("shingles").alias(f"shingles_{c}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -97,14 +101,16 @@ def verify(pairs: DataFrame, members: DataFrame) -> DataFrame:
                 sets = [[np.frombuffer(x, np.uint64) for x in col[f"shingles_{c}"].to_pylist()] for c in "ab"]
                 size = [np.array([len(s) for s in x]) for x in sets]
                 marks = [np.frombuffer(b"".join(col[f"registers_{c}"].to_pylist()), "<u2").reshape(-1, setsketch.REGISTERS) for c in "ab"]
-                near = setsketch.similarity(*marks, *size) >= DOUBT
-                near &= 100 * np.minimum(*size) >= PERCENT * np.maximum(*size)
-                for i in np.flatnonzero(near):
-                    both = len(np.intersect1d(sets[0][i], sets[1][i], assume_unique=True))
-                    near[i] = 100 * both >= PERCENT * (size[0][i] + size[1][i] - both)
-                yield pa.RecordBatch.from_arrays([col["a"].filter(pa.array(near)), col["b"].filter(pa.array(near))], names=["a", "b"])
+                near = np.flatnonzero(setsketch.similarity(*marks, *size) >= DOUBT)
+                linked = np.zeros(len(near), bool)
+                for k, i in enumerate(near):
+                    if 100 * min(size[0][i], size[1][i]) >= PERCENT * max(size[0][i], size[1][i]):
+                        both = len(np.intersect1d(sets[0][i], sets[1][i], assume_unique=True))
+                        linked[k] = 100 * both >= PERCENT * (size[0][i] + size[1][i] - both)
+                at = pa.array(near)
+                yield pa.RecordBatch.from_arrays([col["a"].take(at), col["b"].take(at), pa.array(linked)], names=["a", "b", "linked"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, linked boolean")
 
 
 def ordered(a: str, b: str) -> list:
@@ -128,19 +134,17 @@ def near_copies(docs: DataFrame, text_col: str = "text", k: int = 2) -> DataFram
     # each class with the hub of its bucket
     weight = placed.groupBy("rep").agg(F.sum("n").alias("weight"))
     hubs = placed.join(weight, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
-    pairs = cut(placed.join(hubs, "bucket").where("rep <> hub").select(*ordered("rep", "hub")).distinct())
+    led = cut(placed.join(hubs, "bucket").where("rep <> hub").select("bucket", "rep", "hub", "n"))
+    pairs = led.select(*ordered("rep", "hub")).distinct()
 
     chosen = placed.select("rep").distinct()
     texts = docs.join(chosen, F.col("doc_id") == F.col("rep")).groupBy("rep").agg(F.max("text").alias("text"))
     members = cut(whole_sets(texts, "text", k).join(classes.select("rep", "n_shingles", "registers"), "rep"))
-    links = cut(verify(pairs, members))
-    roots = components(links)
-
-    more = left_over(placed, pairs, members, roots)
+    near = cut(verify(pairs, members))
+    roots = components(near.where("linked").select("a", "b"))
+    more = cut(strangers(led, near, members, roots).select("a", "b").union(families(near, members, roots)))
     if not more.isEmpty():
-        found = cut(verify(more, members))
-        if not found.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("root", "rep").alias("component_id"))
     out = rows.drop("registers").join(named, key, "left")
@@ -148,29 +152,76 @@ def near_copies(docs: DataFrame, text_col: str = "text", k: int = 2) -> DataFram
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def left_over(placed: DataFrame, pairs: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of one bucket and two components that haven't been looked at and may be linked."""
-    parts = placed.where("n > 2").join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("part"))
-    major = parts.groupBy("bucket", "part").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("major"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = cut(parts.join(major, "bucket").select("bucket", "rep", "part", "major"))
-
-    # shingles that only one of these classes has
-    hashes = members.join(open_.select("rep").distinct(), "rep").mapInArrow(_exploded, "rep long, h long")
-    alone = hashes.groupBy("h").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    facts = members.select("rep", "n_shingles", "registers").mapInArrow(_parities, "rep long, n_shingles long, p0 long, p1 long").join(alone, "rep", "left").select("rep", "n_shingles", "p0", "p1", F.coalesce("alone", F.lit(0)).alias("alone"))
-    rows = open_.join(facts, "rep")
-    x = rows.where("part <> major").alias("x")
-    y = rows.select("bucket", "rep", "part", "n_shingles", "p0", "p1", "alone").alias("y")
-    size = F.col("x.n_shingles") + F.col("y.n_shingles")
+def parts_of(reps: DataFrame, roots: DataFrame) -> DataFrame:
+    return reps.join(roots, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("root", "rep")).drop("node", "root")
+
+
+def strangers(led: DataFrame, near: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between classes that their bucket's hub isn't near to and others in the bucket."""
+    several = led.where("n > 2")
+    unlike = several.select("bucket", "rep", *ordered("rep", "hub")).join(near.select("a", "b"), ["a", "b"], "left_anti").select("bucket", "rep")
+    facts = parts_of(members.select("rep", "n_shingles", "registers").mapInArrow(_parities, "rep long, n_shingles long, p0 long, p1 long"), roots)
+    x = cut(unlike.join(facts, "rep")).alias("x")
+    y = several.select("bucket", "rep").join(facts, "rep").alias("y")
     may = (
         (F.col("x.bucket") == F.col("y.bucket"))
         & (F.col("x.part") != F.col("y.part"))
-        # the intersection has at least PERCENT / (100 + PERCENT) of the sizes' sum
-        & ((100 + PERCENT) * F.least(F.col("x.n_shingles") - F.col("x.alone"), F.col("y.n_shingles") - F.col("y.alone")) >= PERCENT * size)
+        & (100 * F.least("x.n_shingles", "y.n_shingles") >= PERCENT * F.greatest("x.n_shingles", "y.n_shingles"))
         & (F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))) + F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1"))) <= PARITIES)
     )
     found = x.join(y, may).select(*ordered("x.rep", "y.rep")).distinct()
-    return cut(found.join(pairs, ["a", "b"], "left_anti"))
+    return verify(found, members).where("linked")
+
+
+def families(near: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between components of one family: of each class left over, to the least class of every component it is linked with in a block."""
+    named = components(near.select("a", "b"))
+    kin = named.select(F.col("node").alias("rep"), F.col("root").alias("family")).union(named.select("root", "root").distinct())
+    kin = cut(parts_of(kin, roots).join(members.select("rep", "n_shingles"), "rep"))
+    sizes = kin.groupBy("family", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("load"))
+    major = sizes.groupBy("family").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("major"), F.count("*").alias("parts"), F.sum("load").alias("load"), F.max_by("load", F.struct("n", -F.col("part"))).alias("most"))
+    blocks = lambda load: F.ceil(load / F.lit(BLOCK)).cast("int")
+    open_ = major.where("parts > 1").select("family", "major", blocks(F.col("load")).alias("n_all"), blocks(F.col("load") - F.col("most")).alias("n_left"))
+    rows = kin.drop("n_shingles").join(open_, "family").join(members.select("rep", "shingles"), "rep")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    left = rows.where("part <> major").select("family", "rep", "part", "shingles", own("n_left").alias("i"), spread("n_all").alias("j"), F.lit(True).alias("over"))
+    whole = rows.select("family", "rep", "part", "shingles", spread("n_left").alias("i"), own("n_all").alias("j"), F.lit(False).alias("over"))
+    return left.union(whole).groupBy("family", "i", "j").applyInArrow(_multiplied, "a long, b long")
+
+
+def _multiplied(group: pa.Table) -> pa.Table:
+    """Links of the classes left over with the others of the group, by exact intersection sizes."""
+    group = group.combine_chunks()
+    over = group["over"].to_numpy()
+    rep, part = group["rep"].to_numpy(), group["part"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
+    x, y = np.flatnonzero(over), np.flatnonzero(~over)
+    links: list[tuple[int, int]] = []
+    if len(x) and len(y):
+        size = np.array([len(s) for s in sets])
+        shared = np.intersect1d(np.concatenate([sets[i] for i in x]), np.concatenate([sets[i] for i in y]))
+        for low in range(0, len(x), 256):
+            for start in range(0, len(y), 1024):
+                u, v = x[low : low + 256], y[start : start + 1024]
+                both = np.zeros((len(u), len(v)), np.float32)
+                for c in range(0, len(shared), 2048):
+                    both += _present(sets, u, shared[c : c + 2048]) @ _present(sets, v, shared[c : c + 2048]).T
+                yes = (100 * both >= PERCENT * (size[u][:, None] + size[v][None, :] - both)) & (part[u][:, None] != part[v][None, :])
+                for i in np.flatnonzero(yes.any(1)):
+                    ends = v[yes[i]]
+                    _, first = np.unique(part[ends], return_index=True)
+                    links += [(rep[u[i]], r) for r in rep[ends[first]]]
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def _present(sets: list[np.ndarray], rows: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """0/1 matrix: which of the shared shingles each row has."""
+    out = np.zeros((len(rows), len(shared)), np.float32)
+    for k, i in enumerate(rows):
+        at = np.minimum(np.searchsorted(sets[i], shared), len(sets[i]) - 1)
+        out[k] = sets[i][at] == shared
+    return out
 
 
 def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,12 +229,3 @@ def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("registers")).to_pylist()), "<u2").reshape(-1, setsketch.REGISTERS)
         halves = np.packbits(marks & 1, axis=1).view(np.int64)
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("rep", "n_shingles")), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["rep", "n_shingles", "p0", "p1"])
-
-
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for low in range(0, whole.num_rows, 256):
-            batch = whole.slice(low, 256)
-            rep = batch.column(batch.schema.get_field_index("rep")).to_numpy(zero_copy_only=False)
-            sets = [np.frombuffer(x, np.int64) for x in batch.column(batch.schema.get_field_index("shingles")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rep, [len(s) for s in sets])), pa.array(np.concatenate(sets))], names=["rep", "h"])
