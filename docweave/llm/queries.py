@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, mixing, nearcopies, neighbours, rules, secrets, sql, telephony
+from docweave.llm import bpe, mixing, nearcopies, neighbours, pii, rules, secrets, sql, telephony
 from docweave.session import table
 
 
@@ -45,6 +45,14 @@ def op7_slot_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    base = F.filter("spans", lambda s: s["rank"] < len(pii.PATTERNS))
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.PATTERNS]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -58,6 +66,7 @@ QUERIES = {
     "op4_setsketch": op4_setsketch,
     "op5_isolation_rules": op5_isolation_rules,
     "op7_slot_mixing": op7_slot_mixing,
+    "op9_crf_pii": op9_crf_pii,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
