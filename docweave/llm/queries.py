@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, mixing, nearcopies, neighbours, pii, rules, secrets, sql, telephony
+from docweave.llm import bpe, extraction, mixing, nearcopies, neighbours, pii, rules, secrets, sql, telephony
 from docweave.session import table
 
 
@@ -40,6 +40,10 @@ def op5_isolation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op6_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op7_slot_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -65,6 +69,7 @@ QUERIES = {
     "op3_entropy_secrets": op3_entropy_secrets,
     "op4_setsketch": op4_setsketch,
     "op5_isolation_rules": op5_isolation_rules,
+    "op6_text_density": op6_text_density,
     "op7_slot_mixing": op7_slot_mixing,
     "op9_crf_pii": op9_crf_pii,
     "op10_byte_bpe": op10_byte_bpe,
