@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, extraction, mixing, nearcopies, neighbours, pii, rules, secrets, sql, telephony
+from docweave.llm import bpe, extraction, mixing, nearcopies, neighbours, pii, rules, scoring, secrets, sql, telephony
 from docweave.session import table
 
 
@@ -49,6 +49,12 @@ def op7_slot_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out)
+    return scoring.score(docs, learn=~F.col("held_out"))
+
+
 def op9_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
@@ -71,6 +77,7 @@ QUERIES = {
     "op5_isolation_rules": op5_isolation_rules,
     "op6_text_density": op6_text_density,
     "op7_slot_mixing": op7_slot_mixing,
+    "op8_gru_scores": op8_gru_scores,
     "op9_crf_pii": op9_crf_pii,
     "op10_byte_bpe": op10_byte_bpe,
 }
