@@ -1,12 +1,25 @@
-"""Registered queries of the engine: name -> query, name -> DuckDB SQL."""
+"""Registered queries of the engine: name -> query, name -> the DuckDB SQL it is compared with."""
 
 from __future__ import annotations
 
-from docweave.session import table
+from collections.abc import Callable
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
 
-def FLAGSHIP(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query; without SQL it is tested otherwise."""
+
+    def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return add
