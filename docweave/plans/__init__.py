@@ -1,6 +1,6 @@
 """The registry, filled by importing every module of queries."""
 
-from docweave.plans import search_queries  # noqa: F401
+from docweave.plans import relational_queries, search_queries  # noqa: F401
 from docweave.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
