@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docweave.config import DIALOGUE
 from docweave.functions import vectors as vx
 from docweave.operators import jobs, upserts
+from docweave.operators.nearest import nearest
 from docweave.plans.registry import query
 from docweave.sources import corpus
 from docweave.sources.corpus import sql, table
@@ -75,17 +76,17 @@ def me07(spark, sf):
     return upserts.updated(m, due, {"status": F.lit("expired")}).drop("expires_at")
 
 
-@query("el01_recall_at_k", sql("points", rest=""", q as (select vec_id, embedding, label from embeddings where vec_id < 20), ranked as (
-  select q.vec_id, q.label, e.label as found, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9) desc, e.vec_id) as r from q join embeddings e on e.vec_id <> q.vec_id)
-  select vec_id, max(case when found = label then 1 else 0 end)::int as hit, coalesce(max(case when found = label then 1.0 / r end), 0)::double as reciprocal from ranked where r <= 5 group by vec_id"""))
+@query("el01_recall_at_k", """with ranked as (select q.vec_id, q.label, e.label as found, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9) desc, e.vec_id) as r
+  from embeddings q join embeddings e on e.vec_id <> q.vec_id where q.vec_id % 20 = 0)
+  select vec_id, max(case when found = label then 1 else 0 end)::int as hit, coalesce(max(case when found = label then 1.0 / r end), 0)::double as reciprocal from ranked where r <= 5 group by vec_id""")
 def el01(spark, sf):
-    """Hit and reciprocal rank at five of the questions: the first twenty vectors, whose labels name what is relevant."""
+    """Hit and reciprocal rank at five of the questions: every twentieth vector, against all others; labels name what is relevant."""
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"), F.col("label").alias("wanted"))
-    near = e.join(F.broadcast(q), F.col("vec_id") != F.col("query")).withColumn("score", F.round(vx.cosine(F.col("embedding"), F.col("v")), 9))  # twenty rows
-    r = near.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where("r <= 5")
+    label = e.select(F.col("vec_id").alias("id"), "label")
+    near = nearest(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), F.col("id") % 20 == 0, 5)
+    r = near.join(label, "id").join(label.select(F.col("id").alias("query"), F.col("label").alias("wanted")), "query")
     good = F.col("label") == F.col("wanted")
-    return r.groupBy(F.col("query").alias("vec_id")).agg(F.max(F.when(good, 1).otherwise(0)).alias("hit"), F.coalesce(F.max(F.when(good, 1 / F.col("r"))), F.lit(0.0)).alias("reciprocal"))
+    return r.groupBy(F.col("query").alias("vec_id")).agg(F.max(F.when(good, 1).otherwise(0)).alias("hit"), F.coalesce(F.max(F.when(good, 1 / F.col("rank"))), F.lit(0.0)).alias("reciprocal"))
 
 
 @query("el05_refusals", "select conv_id, turn, regexp_matches(lower(text), 'not (found|available|stated)|no (information|evidence)|cannot (find|answer)') as refused from conversations where role = 'assistant'")

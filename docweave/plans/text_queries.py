@@ -33,9 +33,9 @@ def tx09(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.classified(rules, F.lower("text"), F.lit("other")).alias("class"))
 
 
-@query("tx10_tags", """select doc_id, list_distinct(list_transform(regexp_extract_all(text, '\\b[A-Z]{1,3}[- ]?[0-9]{2,5}\\b'), lambda x: upper(replace(x, ' ', '')))).len() as n_tags from documents""")
+@query("tx10_tags", """select doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Z]{1,3}[- ]?[0-9]{2,5}'), lambda x: upper(replace(x, ' ', '')))).len() as n_tags from documents""")
 def tx10(spark, sf):
-    found = F.regexp_extract_all("text", F.lit(r"\b[A-Z]{1,3}[- ]?[0-9]{2,5}\b"), F.lit(0))
+    found = F.regexp_extract_all("text", F.lit(r"[A-Z]{1,3}[- ]?[0-9]{2,5}"), F.lit(0))
     return table(spark, sf, "documents").select("doc_id", F.size(F.array_distinct(F.transform(found, lambda t: F.upper(F.replace(t, F.lit(" "), F.lit("")))))).cast("long").alias("n_tags"))
 
 
