@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.operators import relational as rel
 from docweave.plans.registry import query
+from docweave.plans.search_queries import context_hits
 from docweave.sources import corpus
 from docweave.sources.corpus import sql, table
 
@@ -72,7 +73,8 @@ def flt11(spark, sf):
 
 @query("flt12_facts_of_scope", sql("facts", rest="select * from facts where lower(document) in (select 'doc-' || label from embeddings where vec_id < 40)"))
 def flt12(spark, sf):
-    scope = table(spark, sf, "embeddings").where("vec_id < 40").select(F.concat(F.lit("doc-"), F.col("label").cast("string")).alias("scope"))
+    """Facts of the documents that a search over all points retrieves."""
+    scope = context_hits(spark, sf).select(F.col("document").alias("scope"))
     f = corpus.facts(spark, sf)
     return f.join(scope, F.lower("document") == F.col("scope"), "left_semi")
 
@@ -164,7 +166,7 @@ def jn04(spark, sf):
 @query("jn05_conversation_counts", "select d.doc_id as conv_id, coalesce(n, 0) as n_messages from (select doc_id from documents where doc_id < 400) d left join (select conv_id, count(*) as n from conversations group by 1) on d.doc_id = conv_id")
 def jn05(spark, sf):
     counts = corpus.messages(spark, sf).groupBy("conv_id").agg(F.count("*").alias("n"))
-    ids = table(spark, sf, "documents").where("doc_id < 400").select(F.col("doc_id").alias("conv_id"))
+    ids = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"))
     return ids.join(counts, "conv_id", "left").select("conv_id", F.coalesce("n", F.lit(0)).alias("n_messages"))
 
 
@@ -323,8 +325,8 @@ def wn04(spark, sf):
 @query("wn06_page_of_offset", sql("chunks", rest=""", pages as (select document, chunk_index as page, sum(length(content) + 2) over (partition by document order by chunk_index) as e, length(content) as l, row_number() over (partition by document order by chunk_index desc) as back from chunks where document < 200)
 select o.document, o.off as offset, p.page from (select doc_id as document, unnest([0, 100, 5000]) as off from documents where doc_id < 200) o join pages p on o.document = p.document and o.off >= p.e - p.l - 2 and (o.off < p.e or back = 1)"""))
 def wn06(spark, sf):
-    pages = corpus.chunks(spark, sf).where("document < 200").select("document", F.col("chunk_index").alias("page"), F.col("content").alias("text"))
-    offsets = table(spark, sf, "documents").where("doc_id < 200").select(F.col("doc_id").alias("document"), F.explode(F.array(F.lit(0), F.lit(100), F.lit(5000))).alias("offset"))
+    pages = corpus.chunks(spark, sf).select("document", F.col("chunk_index").alias("page"), F.col("content").alias("text"))
+    offsets = table(spark, sf, "documents").select(F.col("doc_id").alias("document"), F.explode(F.array(F.lit(0), F.lit(100), F.lit(5000))).alias("offset"))
     return rel.page_of_offset(pages, offsets)
 
 

@@ -144,7 +144,7 @@ def se11(spark, sf):
 _CONTEXT_HITS = "hits as (select id, 'doc-' || document as document, score from semantic order by score desc, id limit 20)"
 
 
-def _context_hits(spark, sf):
+def context_hits(spark, sf):
     hits = search.semantic(corpus.points(spark, sf), _vector(spark, sf), 20)
     return hits.select("id", F.concat(F.lit("doc-"), F.col("document").cast("string")).alias("document"), "score")
 
@@ -152,13 +152,13 @@ def _context_hits(spark, sf):
 @query("jn14_facts_of_documents", sql("points", "facts", rest=f""", {_SEMANTIC}, {_CONTEXT_HITS}, counted as (select lower(document) as document, count(*) as n from facts group by 1)
 select h.id, h.document, round(least(h.score + least(coalesce(n, 0) * 0.02, 0.1), 1), 9) as score, coalesce(n, 0) as n_facts from hits h left join counted c on lower(h.document) = c.document"""))
 def jn14(spark, sf):
-    return search.with_facts(_context_hits(spark, sf), corpus.facts(spark, sf))
+    return search.with_facts(context_hits(spark, sf), corpus.facts(spark, sf))
 
 
 @query("jn15_uncovered_facts", sql("points", "facts", rest=f""", {_SEMANTIC}, {_CONTEXT_HITS}
 select document, round(least(greatest(0.3, coalesce(max(confidence), 0.5) * 0.7), 1), 9) as score, count(*) as n_facts from facts where lower(document) not in (select document from hits) group by document"""))
 def jn15(spark, sf):
-    return search.graph_only(corpus.facts(spark, sf), _context_hits(spark, sf))
+    return search.graph_only(corpus.facts(spark, sf), context_hits(spark, sf))
 
 
 @query("se13_context_merge", sql("points", "facts", rest=f""", {_SEMANTIC}, {_CONTEXT_HITS}, counted as (select lower(document) as document, count(*) as n from facts group by 1),
@@ -166,7 +166,7 @@ items as (select cast(h.id as varchar) as id, h.document, round(least(h.score +
   union all select 'graph:' || document, document, round(least(greatest(0.3, coalesce(max(confidence), 0.5) * 0.7), 1), 9), count(*), 'graph' from facts where lower(document) not in (select document from hits) group by document)
 select * from items order by score desc, id limit 15"""))
 def se13(spark, sf):
-    return search.context(_context_hits(spark, sf), corpus.facts(spark, sf), 15)
+    return search.context(context_hits(spark, sf), corpus.facts(spark, sf), 15)
 
 
 @query("se15_search_with_entities", sql("points", "nodes", rest=f""", {_SEMANTIC}, {_HITS}, texts as (select h.id, h.score, d.text from hits h join documents d on h.id = d.doc_id),
