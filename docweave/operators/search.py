@@ -111,9 +111,26 @@ def graph_only(facts: DataFrame, hits: DataFrame) -> DataFrame:
     return rest.groupBy("document").agg(F.round(score, DIGITS).alias("score"), F.count("*").alias("n_facts"))
 
 
+def without_repeats(hits: DataFrame, overlap: float = CONTEXT.duplicate_overlap) -> DataFrame:
+    """Hits (id, document, page, content, score; a bounded top-k) without those whose words overlap by `overlap` (Jaccard) or more with a better one that is kept, of the same document and page.
+
+    Words are runs without white space, in lower case; a hit without words repeats none."""
+    words = F.filter(F.array_distinct(F.split(F.lower(F.coalesce("content", F.lit(""))), r"[\s\x1c-\x1f\x85\p{Z}]+")), lambda w: w != "")
+    one = F.struct((-F.col("score")).alias("back"), "id", "score", words.alias("words"))
+    placed = hits.groupBy("document", "page").agg(F.array_sort(F.collect_list(one)).alias("hits"))
+
+    def near(a: Column, b: Column) -> Column:
+        return (F.size(b["words"]) > 0) & (F.size(F.array_intersect(a["words"], b["words"])) / F.size(F.array_union(a["words"], b["words"])) >= overlap)
+
+    kept = F.aggregate("hits", F.filter("hits", lambda h: F.lit(False)), lambda acc, h: F.when(F.exists(acc, lambda a: near(a, h)), acc).otherwise(F.concat(acc, F.array(h))))
+    return placed.select("document", "page", F.explode(kept).alias("hit")).select("hit.id", "document", "page", "hit.score")
+
+
 def context(hits: DataFrame, facts: DataFrame, k: int) -> DataFrame:
-    """The merged context: boosted hits and graph-only items, the k best."""
-    own = with_facts(hits, facts).select(F.col("id").cast("string").alias("id"), "document", "score", "n_facts", F.lit("vector").alias("origin"))
+    """The merged context: hits that repeat no better one, boosted, and graph-only items, the k best; hits: id, document, page, content, score.
+
+    Facts come by document, so the hit that is kept has those of its repeats already."""
+    own = with_facts(without_repeats(hits), facts).select(F.col("id").cast("string").alias("id"), "document", "score", "n_facts", F.lit("vector").alias("origin"))
     other = graph_only(facts, hits).select(F.concat(F.lit("graph:"), "document").alias("id"), "document", "score", "n_facts", F.lit("graph").alias("origin"))
     return top(own.unionByName(other), k)
 

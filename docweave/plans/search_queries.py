@@ -166,7 +166,11 @@ items as (select cast(h.id as varchar) as id, h.document, round(least(h.score +
   union all select 'graph:' || document, document, round(least(greatest(0.3, coalesce(max(confidence), 0.5) * 0.7), 1), 9), count(*), 'graph' from facts where lower(document) not in (select document from hits) group by document)
 select * from items order by score desc, id limit 15"""))
 def se13(spark, sf):
-    return search.context(context_hits(spark, sf), corpus.facts(spark, sf), 15)
+    """A hit's passage is the whole text of its id, which begins on page 1."""
+    hits = context_hits(spark, sf)
+    texts = _texts(spark, sf).join(F.broadcast(hits.select("id")), "id").groupBy("id").agg(F.min("content").alias("content"))
+    placed = hits.join(texts, "id", "left").withColumn("page", F.lit(1))
+    return search.context(placed, corpus.facts(spark, sf), 15)
 
 
 @query("se15_search_with_entities", sql("points", "nodes", rest=f""", {_SEMANTIC}, {_HITS}, texts as (select h.id, h.score, d.text from hits h join documents d on h.id = d.doc_id),

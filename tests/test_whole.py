@@ -4,7 +4,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from docweave.operators import search
 from docweave.plans import ORACLES, QUERIES
 from docweave.plans.search_queries import _CONTEXT_HITS, _SEMANTIC
 from docweave.sources import corpus
@@ -68,3 +70,20 @@ def test_memories_hold_whole_texts(spark):
     held = corpus.memories(spark, SF).join(texts, "doc_id")
     assert held.where("n > 200").count() > 0
     assert held.where("length(content) <> n").count() == 0
+
+
+def test_context_drops_repeats_before_the_cut(spark):
+    one, other = "the red pump failed at noon on monday", "valve four was closed by the night shift"
+    rows = [(i, "doc-1", 1, one, 0.9 - i / 100) for i in range(5)]
+    rows += [(5, "doc-1", 2, one, 0.5), (6, "doc-2", 1, one, 0.45), (7, "doc-1", 1, other, 0.4), (8, "doc-1", 1, None, 0.3), (9, "doc-1", 1, None, 0.2)]
+    hits = spark.createDataFrame(rows, "id long, document string, page int, content string, score double")
+    facts = spark.createDataFrame([("Doc-1", 0.5), ("Doc-3", 0.5)], "document string, confidence double")
+    got = [(r.id, r.n_facts, r.origin) for r in search.context(hits, facts, 7).orderBy(F.col("score").desc()).collect()]
+    assert got == [("0", 1, "vector"), ("5", 1, "vector"), ("6", 0, "vector"), ("7", 1, "vector"), ("graph:Doc-3", 1, "graph"), ("8", 1, "vector"), ("9", 1, "vector")]
+
+
+def test_only_kept_hits_have_repeats(spark):
+    """b repeats a and goes; c repeats b alone and stays."""
+    rows = [("a", "1 2 3 4 5 6 7 8", 0.9), ("b", "3 4 5 6 7 8 9 10", 0.8), ("c", "5 6 7 8 9 10 11 12", 0.7)]
+    hits = spark.createDataFrame([(i, "d", None, text, score) for i, text, score in rows], "id string, document string, page int, content string, score double")
+    assert {r.id for r in search.without_repeats(hits).collect()} == {"a", "c"}
