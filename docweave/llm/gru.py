@@ -117,16 +117,20 @@ class Model:
         value[at] -= RATE * grad / np.sqrt(past[at])
 
     def train(self, inp: np.ndarray, target: np.ndarray, begins: np.ndarray) -> None:
-        """One pass over texts set end to end: input rows, target ids, and where texts begin. The stream is cut into lanes that advance together."""
+        """One pass over texts set end to end: input rows, target ids, and where texts begin. The stream is cut into lanes that advance together; the first ones have a token more where the lanes don't divide it, which is a window of its own."""
         lanes = max(1, min(LANES, len(target) // WINDOW))
-        steps = len(target) // lanes
-        lane = lambda a: a[: lanes * steps].reshape(lanes, steps).T
-        inp, target, begins = lane(inp), lane(target), lane(begins)
+        steps, more = divmod(len(target), lanes)
+        start = np.arange(lanes) * steps + np.minimum(np.arange(lanes), more)
         h = np.zeros((lanes, HIDDEN), np.float32)
         for t in range(0, steps, WINDOW):
-            h = self._window(inp[t : t + WINDOW], target[t : t + WINDOW], begins[t : t + WINDOW], h)
-
-    def _window(self, inp: np.ndarray, target: np.ndarray, begins: np.ndarray, h: np.ndarray) -> np.ndarray:
+            at = start + np.arange(t, min(t + WINDOW, steps))[:, None]
+            h = self._window(inp[at], target[at], begins[at], h)
+        if more:
+            at = start[None, :more] + steps
+            self._window(inp[at], target[at], begins[at], h[:more], lanes)
+
+    def _window(self, inp: np.ndarray, target: np.ndarray, begins: np.ndarray, h: np.ndarray, of: int | None = None) -> np.ndarray:
+        """A step over the lanes' next tokens, and their states after it; each token weighs as one of `of` lanes."""
         steps, lanes = inp.shape
         x = self.inp[inp]
         kept = []
@@ -147,7 +151,7 @@ class Model:
             d[np.arange(len(rows)), goal[rows] - a] -= 1
             d_out[a:b], d_out_b[a:b] = d.T @ flat[rows], d.sum(0)
             d_flat[rows] += d @ self.out[a:b]
-        scale = np.float32(1 / lanes)
+        scale = np.float32(1 / (of or lanes))
         # back through the window
         d_states, d_h = d_flat.reshape(states.shape), np.zeros((lanes, HIDDEN), np.float32)
         d_x, d_rec, d_mid = np.empty_like(x), np.zeros_like(self.rec), np.zeros_like(self.mid)

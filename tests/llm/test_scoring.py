@@ -56,6 +56,24 @@ def test_gradients():
         assert abs((up - down) / 0.02 - grad[place]) < 0.05 * abs(grad[place]) + 0.01, name
 
 
+def test_every_token_teaches_once(monkeypatch):
+    words = vocabulary()
+    rng = np.random.default_rng(4)
+    for n in (1, gru.WINDOW - 1, 3 * gru.WINDOW + 2, gru.LANES * (gru.WINDOW + 1) - 1):
+        model = gru.Model(words)
+        seen, window, before = Counter(), model._window, model.packed()
+        inp, target, begins = rng.integers(0, words.rows, n), rng.integers(0, words.n + 1, n), rng.random(n) < 0.1
+
+        def noted(*given, seen=seen, window=window):
+            seen.update(zip(*(a.ravel().tolist() for a in given[:3]), strict=True))
+            return window(*given)
+
+        monkeypatch.setattr(model, "_window", noted)
+        model.train(inp, target, begins)
+        assert seen == Counter(zip(inp.tolist(), target.tolist(), begins.tolist(), strict=True))
+        assert model.packed() != before
+
+
 def test_state_is_carried_through_whole_texts():
     words = vocabulary()
     model = gru.Model(words)
