@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docweave.config import DIALOGUE
 from docweave.functions import vectors as vx
 from docweave.operators import jobs, upserts
+from docweave.operators import relational as rel
 from docweave.operators.nearest import nearest
 from docweave.plans.registry import query
 from docweave.sources import corpus
@@ -98,7 +99,10 @@ def el05(spark, sf):
 @query("el10_slices", "select coalesce(lang, 'all') as slice, count(*) as n, avg(quality) as quality, quantile_cont(n_chars, 0.95) as p95 from documents join labels using (doc_id) group by grouping sets ((lang), ())")
 def el10(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("lang", "quality", "n_chars")
-    return d.rollup("lang").agg(F.count("*").alias("n"), F.avg("quality").alias("quality"), F.percentile("n_chars", 0.95).alias("p95")).select(F.coalesce("lang", F.lit("all")).alias("slice"), "n", "quality", "p95")
+    one, every = F.struct(F.col("lang"), F.lit(False).alias("whole")), F.struct(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("whole"))
+    d = d.select(F.explode(F.array(one, every)).alias("key"), "quality", "n_chars")
+    means = d.groupBy("key").agg(F.count("*").alias("n"), F.avg("quality").alias("quality"))
+    return rel.with_columns_of(means, rel.percentiles(d, "key", "n_chars", {"p95": 0.95}), "key").select(F.coalesce("key.lang", F.lit("all")).alias("slice"), "n", "quality", "p95")
 
 
 @query("el11_floors", "select count(*) filter (quality = 1) / count(*)::double as good, count(*) filter (quality = 1) / count(*)::double >= 0.5 as passed from labels")

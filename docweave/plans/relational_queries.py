@@ -254,17 +254,18 @@ def ag13(spark, sf):
 
 @query("ag18_means_and_percentiles", "select event_type, round(avg(value), 6) as mean, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95 from events group by 1")
 def ag18(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    e = table(spark, sf, "events").select("event_type", "value")
+    means = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return rel.with_columns_of(means, rel.percentiles(e, "event_type", "value", {"p50": 0.5, "p95": 0.95}), "event_type").withColumns({p: F.round(p, 6) for p in ("p50", "p95")})
 
 
 @query("ag19_latency_histogram", "select event_type, count(*) as n, round(sum(value), 4) as total, round(min(value), 4) as low, round(max(value), 4) as high, round(list_sort(list(value))[cast(floor(count(*) * 0.95) as int) + 1], 4) as p95, count(*) filter (value <= 10) as le_10, count(*) filter (value <= 50) as le_50 from events group by 1")
 def ag19(spark, sf):
-    """Counts, and the value at place int(n * 0.95) of a window over ranks, so that no group's values meet in one array."""
-    e = table(spark, sf, "events")
-    own = W.partitionBy("event_type")
-    ranked = e.select("event_type", "value", F.row_number().over(own.orderBy("value", "event_id")).alias("place"), F.count("*").over(own).alias("n"))
-    at = F.col("place") == F.floor(F.col("n") * 0.95) + 1
-    return ranked.groupBy("event_type").agg(F.max("n").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.min("value"), 4).alias("low"), F.round(F.max("value"), 4).alias("high"), F.round(F.max(F.when(at, F.col("value"))), 4).alias("p95"), F.count_if(F.col("value") <= 10).alias("le_10"), F.count_if(F.col("value") <= 50).alias("le_50"))
+    """Counts, and the value at place int(n * 0.95) by counts of equal values, so that no group's values meet in one task."""
+    e = table(spark, sf, "events").select("event_type", "value")
+    counts = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.min("value"), 4).alias("low"), F.round(F.max("value"), 4).alias("high"), F.count_if(F.col("value") <= 10).alias("le_10"), F.count_if(F.col("value") <= 50).alias("le_50"))
+    at = rel.values_at(e, "event_type", "value", {"p95": lambda n: F.floor(n * 0.95)})
+    return rel.with_columns_of(counts, at, "event_type").withColumn("p95", F.round("p95", 4))
 
 
 @query("ag20_counters_and_gauges", "select event_type, count(*) as n, arg_max(value, ts || '-' || lpad(cast(event_id as varchar), 12, '0')) as last_value from events group by 1")
