@@ -1,15 +1,18 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of elements, as browsers build it for the usual faults (unclosed tags, raw text in scripts).
-Elements that say they aren't the article go: menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments, hidden parts, and lists that are mostly links. Every node left gets its composite text density, the
-characters per tag adjusted for links, and the sum of its children's densities. The node of the largest sum is the
-core. From the core the selection climbs towards the body, up to an article or main element; on the way
-it takes in siblings whose density reaches the least density on the path, and headings and paragraphs.
+Every node gets its composite text density, the characters per tag adjusted for links, and the sum of its
+children's densities. Text that says it isn't the article's (menus, headers, footers, sidebars, notices, adverts,
+forms, reader comments, hidden parts) is kept in the tree and weighs like link text, so that its density is 0.
+The deepest node of the largest sum is the core. On the path from the core to the body lies the least density; at
+every step of the path the core's neighbours are taken in if their density reaches it. Neighbouring leaf blocks
+(paragraphs, headings, items) are judged as one run, so a short paragraph stands with those around it, and a
+heading is judged with what follows it. In what is taken, marked parts and lists that are mostly links go.
 
 Character references are decoded, white space in a block becomes one space, blocks are trimmed and joined by one
-space in page order; nothing is capped. Null, empty and text-free pages give an empty text. If the marks of
-non-article parts cover the whole page, they are ignored. Columns of the result replace columns of the same
+space in page order; nothing is capped, and very long pages are read like others, one at a time. Of equal sums the deepest
+node, and of these the first in page order, is the core. Null, empty and text-free pages give an empty text. If the
+marks cover all of a page's text, they are ignored. Columns of the result replace columns of the same
 name; all others are kept. Repeated rows give repeated results, an empty table an empty one.
 """
 
@@ -47,7 +50,7 @@ footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice
 related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets
 complementary contentinfo alertdialog alert""".split())
 HEAD_WORDS = frozenset(("header", "head", "banner", "masthead", "topbar"))
-BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 _TOKEN = re.compile(r"""<!--[\s\S]*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)""")
 _MARKS = re.compile(r"""(class|id|role|style|aria-hidden|hidden)\b(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
@@ -55,10 +58,10 @@ _SPLIT = re.compile(r"[^a-z]+")
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "marks", "parent", "sum", "tag", "tags")
+    __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "marks", "outside", "own", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, marks: str, parent: Node | None):
-        self.tag, self.marks, self.parent = tag, marks, parent
+        self.tag, self.marks, self.parent, self.outside = tag, marks, parent, False
         self.children: list[Node | str] = []
 
 
@@ -134,105 +137,147 @@ def outside(node: Node, in_article: bool) -> bool:
     return False
 
 
-def prune(node: Node, in_article: bool = False) -> None:
-    """Takes away what says that it is outside, and lists that are mostly links."""
-    stack = [(node, in_article)]
+def mark(root: Node) -> None:
+    """Sets `outside` on elements that say it, and on all below them."""
+    stack = [(root, False)]
     while stack:
         n, inside = stack.pop()
         inside = inside or n.tag in ("article", "main")
-        n.children = [c for c in n.children if isinstance(c, str) or not outside(c, inside)]
-        stack += [(c, inside) for c in n.children if not isinstance(c, str)]
+        for c in n.children:
+            if not isinstance(c, str):
+                c.outside = n.outside or outside(c, inside)
+                stack.append((c, inside))
 
 
-def measure(root: Node) -> None:
-    """Characters, tags and those of links of every node; then densities and their sums."""
+def below(n: Node) -> list[Node]:
+    return [c for c in n.children if not isinstance(c, str)]
+
+
+def in_order(root: Node) -> list[Node]:
+    """All nodes, parents first, in page order."""
     order, stack = [], [root]
     while stack:
         n = stack.pop()
         order.append(n)
-        stack += [c for c in n.children if not isinstance(c, str)]
+        stack += reversed(below(n))
+    return order
+
+
+def measure(root: Node) -> None:
+    """Characters, tags and those of links of every node; then densities and their sums. Marked parts count as links."""
+    order = in_order(root)
     for n in reversed(order):
-        own = sum(len(" ".join(c.split())) for c in n.children if isinstance(c, str))
-        below = [c for c in n.children if not isinstance(c, str)]
-        n.chars, n.tags = own + sum(c.chars for c in below), len(below) + sum(c.tags for c in below)
-        if n.tag == "a":
+        n.own = sum(len(" ".join(c.split())) for c in n.children if isinstance(c, str))
+        n.chars, n.tags, n.link_chars, n.link_tags = n.own, 0, 0, 0
+        for c in below(n):
+            n.chars, n.tags, n.link_chars, n.link_tags = n.chars + c.chars, n.tags + c.tags + 1, n.link_chars + c.link_chars, n.link_tags + c.link_tags
+        if n.outside:
+            n.link_chars, n.link_tags = n.chars, n.tags + 1
+        elif n.tag == "a":
             n.link_chars, n.link_tags = n.chars, 1
-        else:
-            n.link_chars, n.link_tags = sum(c.link_chars for c in below), sum(c.link_tags for c in below)
     share = root.link_chars / max(root.chars, 1)
     for n in reversed(order):
         n.density = density(n.chars, n.tags, n.link_chars, n.link_tags, share)
-        own = sum(len(" ".join(c.split())) for c in n.children if isinstance(c, str))
-        n.sum = density(own, 1, 0, 0, share) + sum(c.density for c in n.children if not isinstance(c, str))
+        own = 0.0 if n.outside else density(n.own, 1, 0, 0, share)
+        n.sum = own + sum(c.density for c in below(n))
 
 
 def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
-    """Characters per tag, adjusted for links; `share` is that of link characters in the page."""
-    if not chars:
+    """Characters per tag, adjusted for links; `share` is that of link characters in the page. Links alone have none."""
+    tags = max(tags, 1)
+    if not chars or (link_chars >= chars and link_tags >= tags):
         return 0.0
-    tags, links, anchors = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    links, anchors = max(link_chars, 1), max(link_tags, 1)
     base = math.log(chars / max(chars - link_chars, 1) * link_chars + share * chars + math.e)
-    return chars / tags * math.log(max(chars / links * tags / anchors, 1.0000001)) / max(math.log(base + 1), 1e-6)
+    return chars / tags * math.log(max(chars / links * tags / anchors, 1.0)) / max(math.log(base + 1), 1e-6)
 
 
 def link_list(n: Node) -> bool:
     return n.tag in ("ul", "ol", "div", "section", "table") and n.link_tags >= 3 and n.link_chars > 0.6 * n.chars
 
 
-def select(root: Node) -> list[Node]:
-    """The subtrees of the article, in page order."""
-    core, stack = None, [root]
-    while stack:
-        n = stack.pop()
-        if core is None or n.sum > core.sum:
-            core = n
-        stack += [c for c in reversed(n.children) if not isinstance(c, str)]
+def leaf(c: Node | str) -> bool:
+    """Text, or an element without blocks in it."""
+    return isinstance(c, str) or c.tag in INLINE or all(isinstance(x, str) or x.tag in INLINE or x.tag == "br" for x in c.children)
+
+
+def runs(children: list[Node | str]) -> list[list[Node | str]]:
+    """Children that are judged together: neighbouring leaves, a container alone, headings with what follows; marked ones are left out."""
+    out: list[list[Node | str]] = []
+    open_ = False  # whether the next child joins the last run
+    for c in children:
+        if not isinstance(c, str) and c.outside:
+            continue
+        ends = not leaf(c)
+        titles = bool(out) and all((isinstance(x, str) and not x.strip()) or (not isinstance(x, str) and x.tag in HEADINGS) for x in out[-1])
+        if open_ and (not ends or titles):
+            out[-1].append(c)
+        else:
+            out.append([c])
+        open_ = not ends
+    return out
+
+
+def run_density(run: list[Node | str], share: float) -> float:
+    nodes = [c for c in run if not isinstance(c, str)]
+    chars = sum(n.chars for n in nodes) + sum(len(" ".join(c.split())) for c in run if isinstance(c, str))
+    return density(chars, sum(n.tags + 1 for n in nodes), sum(n.link_chars for n in nodes), sum(n.link_tags for n in nodes), share)
+
+
+def core_of(root: Node) -> Node:
+    """The node of the largest sum; of equals the deepest, then the first."""
+    best, depth = root, {id(root): 0}
+    for n in in_order(root):
+        if n.parent is not None:
+            depth[id(n)] = depth[id(n.parent)] + 1
+        if (n.sum, depth[id(n)]) > (best.sum, depth[id(best)]):
+            best = n
+    return best
+
+
+def select(root: Node) -> Node:
+    """The article's part of the tree: the core, and what reaches the least density on its path to the body."""
+    core = core_of(root)
     path = [core]
-    while path[-1].tag not in ("article", "main", "body", "#root") and path[-1].parent is not None:
+    while path[-1].tag != "body" and path[-1].parent is not None:
         path.append(path[-1].parent)
-    least = min(n.density for n in path)
+    least, share = min(n.density for n in path), root.link_chars / max(root.chars, 1)
     for low, high in zip(path[:-1], path[1:], strict=True):
-        high.children = [c for c in high.children if c is low or (isinstance(c, str) and high.tag not in ("body", "html", "#root")) or (not isinstance(c, str) and (c.tag in BLOCKS or c.tag in INLINE or c.tag == "br" or c.density >= least))]
-    return [path[-1]]
+        high.children = [c for run in runs(high.children) if any(c is low for c in run) or run_density(run, share) >= least > 0 for c in run]
+    return path[-1]
 
 
-def text_of(nodes: list[Node]) -> str:
-    """Blocks in page order, white space made one space."""
+def text_of(root: Node) -> str:
+    """Blocks in page order, white space made one space; without marked parts and link lists."""
     pieces: list[str] = []
-    stack: list[Node | str] = list(reversed(nodes))
+    stack: list[Node | str] = [root]
     while stack:
         n = stack.pop()
         if isinstance(n, str):
             pieces.append(n)
         elif n.tag == "br" or n.tag == "hr":
             pieces.append(" ")
-        else:
+        elif not n.outside and not (n is not root and link_list(n)):
             edge = [] if n.tag in INLINE else [" "]
             stack += [*edge, *reversed(n.children), *edge]
+        else:
+            pieces.append(" ")
     return " ".join("".join(pieces).split())
 
 
-def without_link_lists(root: Node) -> None:
-    stack = [root]
-    while stack:
-        n = stack.pop()
-        n.children = [c for c in n.children if isinstance(c, str) or not link_list(c)]
-        stack += [c for c in n.children if not isinstance(c, str)]
-
-
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    prune(root)
+    mark(root)
     measure(root)
-    if not root.chars:  # all of it was marked, or there is none
-        root = parse(page)
-        measure(root)
-    if root.link_chars:
-        without_link_lists(root)
+    if not core_of(root).sum:  # all of it is marked or links, or there is none
+        for n in in_order(root):
+            n.outside = False
         measure(root)
-    return text_of(select(root)) if root.chars else ""
+        if not core_of(root).sum:
+            return text_of(root)
+    return text_of(select(root))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

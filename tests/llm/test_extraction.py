@@ -73,3 +73,101 @@ def test_corner_cases(spark):
     df = spark.createDataFrame([(1, None, None, "clash"), (None, "u", "", None), (2, "u", "<p>x", None), (2, "u", "<p>x", None)], schema)
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in ex.extract(df).collect()) == [(0, "", 0), (1, "", 0), (2, "x", 1), (2, "x", 1)]
     assert ex.extract(df.where("false")).collect() == []
+
+
+#: No element or name tells the article from the rest.
+UNNAMED = f"""<body><div><div>Harbour Gazette</div><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/s>Sport</a></li><li><a href=/w>Weather</a></li></ul></div>
+<div><div><h1>A title</h1><div><p>{E1}</p><p>Yes.</p><p>{E2}</p></div></div><div><div><a href=1>One more</a></div><div><a href=2>Another story</a></div><div><a href=3>And a third</a></div></div></div>
+<div><div>Imprint</div><div><a href=/c>Contact</a></div></div></body>"""
+
+
+def test_a_page_without_names_is_decided_by_density():
+    assert ex.main_text(UNNAMED) == " ".join(f"A title {P1} Yes. {P2}".split())
+
+
+@pytest.mark.parametrize("name", ["semantic", "plain divs", "unclosed", "comments", "notices"])
+def test_without_density_the_text_differs(name):
+    """Marks count in the densities: the whole tree has more text than the article."""
+    root = ex.parse(PAGES[name])
+    ex.measure(root)
+    assert ex.text_of(root) != WANT
+
+
+def plain_facts(node, outside=False):
+    """(characters, tags, link characters, link tags) by the definition, each anew from the texts below."""
+    if isinstance(node, str):
+        return len(" ".join(node.split())), 0, 0, 0
+    sums = [0, 0, 0, 0]
+    for c in node.children:
+        for i, x in enumerate(plain_facts(c, outside)):
+            sums[i] += x
+        sums[1] += not isinstance(c, str)
+    if node.outside:
+        return sums[0], sums[1], sums[0], sums[1] + 1
+    return (sums[0], sums[1], sums[0], 1) if node.tag == "a" else tuple(sums)
+
+
+def plain_density(facts, share):
+    c, t, lc, lt = facts
+    t = max(t, 1)
+    if c == 0 or (lc >= c and lt >= t):
+        return 0.0
+    import math
+
+    inner = c / max(c - lc, 1) * lc + share * c + math.e
+    return c / t * math.log(max((c / max(lc, 1)) * (t / max(lt, 1)), 1)) / math.log(math.log(inner) + 1)
+
+
+def test_sums_and_core_by_the_definition():
+    rnd = random.Random(8)
+    tags = ["div", "p", "ul", "li", "a", "b", "section", "article", 'div class="ad"', "h2"]
+    for _ in range(300):
+        page, open_ = [], []
+        for _ in range(rnd.randrange(2, 40)):
+            move = rnd.random()
+            if move < 0.4:
+                tag = rnd.choice(tags)
+                page.append(f"<{tag}>")
+                open_.append(tag.split()[0])
+            elif move < 0.6 and open_:
+                page.append(f"</{open_.pop()}>")
+            else:
+                page.append(" word" * rnd.randrange(1, 30))
+        root = ex.parse("".join(page))
+        ex.mark(root)
+        ex.measure(root)
+        whole = plain_facts(root)
+        share = whole[2] / max(whole[0], 1)
+        nodes, sums, depths = ex.in_order(root), [], []
+        for n in nodes:
+            assert (n.chars, n.tags, n.link_chars, n.link_tags) == plain_facts(n)
+            assert abs(n.density - plain_density(plain_facts(n), share)) < 1e-9
+            own = sum(len(" ".join(c.split())) for c in n.children if isinstance(c, str))
+            total = 0.0 if n.outside else plain_density((own, 1, 0, 0), share)
+            for c in n.children:
+                total += 0.0 if isinstance(c, str) else plain_density(plain_facts(c), share)
+            assert abs(n.sum - total) < 1e-9
+            sums.append(n.sum)
+            depth, up = 0, n
+            while up.parent is not None:
+                depth, up = depth + 1, up.parent
+            depths.append(depth)
+        best = max(range(len(nodes)), key=lambda i: (sums[i], depths[i], -i))
+        assert ex.core_of(root) is nodes[best]
+
+
+def test_the_threshold_of_the_path_decides_neighbours():
+    root = ex.parse(f"<body><div><p>{E1}</p><p>{E2}</p></div><div><i>few</i><i>words</i><i>many</i><i>tags</i></div><section><p>{E2}</p></section></body>")
+    ex.mark(root)
+    ex.measure(root)
+    body = root.children[0]
+    core = ex.core_of(root)
+    least = min(core.density, body.density)
+    kept = [c for c in body.children if c is core or c.density >= least]
+    assert ex.select(root).children == kept and len(kept) == 2
+
+
+def test_very_long_page(spark):
+    page = "<body><nav><a>x</a></nav><article>" + "<p>word word word</p>" * 100_000 + "</article></body>"
+    row = ex.extract(spark.createDataFrame([(1, page)], "page_id long, html string")).first()
+    assert row.n_chars == 15 * 100_000 - 1
