@@ -7,7 +7,7 @@ forms, reader comments, hidden parts) is kept in the tree and weighs like link t
 The deepest node of the largest sum is the core. On the path from the core to the body lies the least density; at
 every step of the path the core's neighbours are taken in if their density reaches it. Neighbouring leaf blocks
 (paragraphs, headings, items) are judged as one run, so a short paragraph stands with those around it, and a
-heading is judged with what follows it. In what is taken, marked parts and lists that are mostly links go.
+heading is judged with what follows it. If the body itself is the core, its parts are judged so. In what is taken, marked parts and lists that are mostly links go.
 
 Character references are decoded, white space in a block becomes one space, blocks are trimmed and joined by one
 space in page order; nothing is capped, and very long pages are read like others, one at a time. Of equal sums the deepest
@@ -242,7 +242,10 @@ def select(root: Node) -> Node:
     while path[-1].tag != "body" and path[-1].parent is not None:
         path.append(path[-1].parent)
     least, share = min(n.density for n in path), root.link_chars / max(root.chars, 1)
-    for low, high in zip(path[:-1], path[1:], strict=True):
+    steps = list(zip(path[:-1], path[1:], strict=True))
+    if core.tag in ("body", "html", "#root"):  # no core but the page: its parts are judged
+        steps.insert(0, (None, core))
+    for low, high in steps:
         high.children = [c for run in runs(high.children) if any(c is low for c in run) or run_density(run, share) >= least > 0 for c in run]
     return path[-1]
 
