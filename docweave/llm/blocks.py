@@ -1,8 +1,8 @@
 """Arrow and numpy helpers that the text operators share.
 
-A task sees its rows as Arrow batches. `add_columns` cuts them into blocks of about a megabyte of text,
-so that the arrays derived from a block stay small however long a batch is; a text longer than that
-makes a block of its own.
+A task sees its rows as Arrow batches. `add_columns` cuts them into blocks of about a megabyte of text and
+of 2,048 rows at most, so that the arrays derived from a block stay small however long a batch is and however
+short its texts are; a text longer than that makes a block of its own.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 2048
 
 #: Word boundaries: space and bytes 9 to 13.
 SPACE = np.zeros(256, bool)
@@ -35,17 +35,17 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]], at - at[0]
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `limit` bytes."""
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `limit` bytes, and of `rows` rows at most."""
     _, at = raw(column)
     low, n = 0, len(at) - 1
     while low < n:
-        high = max(low + 1, int(np.searchsorted(at, at[low] + limit, "right")) - 1)
-        yield low, min(high, n)
-        low = min(high, n)
+        high = min(max(low + 1, int(np.searchsorted(at, at[low] + limit, "right")) - 1), low + rows, n)
+        yield low, high
+        low = high
 
 
-def add_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], dict]], added: T.StructType, drop: tuple[str, ...] = (), limit: int = BLOCK_BYTES) -> DataFrame:
+def add_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], dict]], added: T.StructType, drop: tuple[str, ...] = (), limit: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> DataFrame:
     """`df` with the columns of `added`, which replace any of the same name.
 
     make() is called once in each task and returns the function that maps a block of texts to
@@ -61,10 +61,12 @@ def add_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Ar
         work = make()
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            for low, high in blocks(texts, limit):
-                rows = batch.slice(low, high - low)
+            for low, high in blocks(texts, limit, rows):
+                part = batch.slice(low, high - low)
                 made = work(texts.slice(low, high - low))
-                yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)).cast(arrow.field(c).type) for c in keep] + [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], arrow.field(f.name).type) for f in added], schema=arrow)
+                old = [part.column(part.schema.get_field_index(c)).cast(arrow.field(c).type) for c in keep]
+                new = [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], arrow.field(f.name).type) for f in added]
+                yield pa.RecordBatch.from_arrays(old + new, schema=arrow)
 
     return df.mapInArrow(run, out)
 
