@@ -2,7 +2,7 @@
 
 Every node is led to the least neighbour of its neighbourhood until the edges are stars around the least id of
 each component. A round is two groupings and two joins; the number of rounds grows with the logarithm of the
-longest path. No component is ever gathered in one place.
+longest path. No component is ever gathered in one place: the neighbours of a hub are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.llm.skew import star_join
 from docweave.session import cut
 
 
@@ -19,10 +20,11 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = star_join(both.where("v > u"), least.where("n > 0").select("u", "m"), "u", "v", least.select("u", "n")).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = cut(large.distinct())
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        pairs = star_join(large, least.select("a", "m"), "a", "b", least.select("a", "n")).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
         now = cut(pairs.where("e.a <> e.m").select("e.a", F.col("e.m").alias("b")).distinct())
         last, mark = mark, _mark(now)
         if mark == last:

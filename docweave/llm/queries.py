@@ -83,5 +83,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_setsketch": sql.NEAR_COPIES,
     "op7_slot_mixing": sql.MIXING,
 }

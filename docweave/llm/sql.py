@@ -23,3 +23,28 @@ select doc_id, size, source_size, target,
   cast(greatest(0, least(here + size, take) - here) + greatest(0, least(source_size + here + size, take) - source_size - here) + greatest(0, least(2 * source_size + here + size, take) - 2 * source_size - here) as bigint) as taken
 from placed
 """
+
+#: All pairs of documents that share a shingle, and what can be reached over links.
+NEAR_COPIES = """
+with recursive worded as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), shingled as (
+  select distinct doc_id, unnest(case when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from worded
+), sizes as (
+  select doc_id, count(*) as n from shingled group by doc_id
+), pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from shingled a join shingled b on a.s = b.s and a.doc_id < b.doc_id group by all
+), links as (
+  select a, b from pairs p join sizes x on x.doc_id = p.a join sizes y on y.doc_id = p.b where 100 * c >= 80 * (x.n + y.n - c)
+), ways as (
+  select a, b from links union all select b, a from links
+), reach as (
+  select doc_id as a, doc_id as b from documents
+  union
+  select r.a, l.b from reach r join ways l on r.b = l.a
+), roots as (
+  select a as doc_id, min(b) as component_id from reach group by a
+)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, r.component_id, d.doc_id = r.component_id as kept
+from documents d join roots r on d.doc_id = r.doc_id left join sizes s on s.doc_id = d.doc_id
+"""

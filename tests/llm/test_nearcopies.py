@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import types as T
 
-from docweave.llm import nearcopies, setsketch
+from docweave.llm import nearcopies, setsketch, skew
 from docweave.llm.components import components
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("component_id", T.StringType()), T.StructField("rep", T.StringType())])
@@ -53,6 +53,12 @@ def corpus():
         texts += [" ".join(short), noisy(rnd, short, 0.1), " ".join(short[:-1])]
     chain = [str(i) for i in range(260)]
     texts += [" ".join(chain[i : i + 120]) for i in range(0, 140, 6)]
+    passage = [word() for _ in range(60)]
+    for _ in range(120):  # half of each text is the same passage; some have a twin that is linked
+        own = [word() + str(rnd.randrange(9999)) for _ in range(50)]
+        texts.append(" ".join(passage + own))
+        if rnd.random() < 0.3:
+            texts.append(" ".join(passage + noisy(rnd, own, 0.08).split()))
     texts.append(" ".join(word() for _ in range(40_000)))
     rnd.shuffle(texts)
     return list(enumerate(texts, 100))
@@ -76,6 +82,31 @@ def test_empty_table(spark):
     assert nearcopies.near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_linked_sets_share_a_rare_shingle():
+    rnd = random.Random(6)
+    for _ in range(3000):
+        n = rnd.randrange(1, 40)
+        a = set(rnd.sample(range(60), n))
+        b = set(a)
+        for _ in range(rnd.randrange(0, 10)):
+            b ^= {rnd.randrange(60)}
+        if b and 100 * len(a & b) >= 80 * len(a | b):
+            rank = list(range(60))
+            rnd.shuffle(rank)
+            first = [set(sorted(s, key=rank.__getitem__)[: nearcopies.prefix(len(s))]) for s in (a, b)]
+            assert first[0] & first[1]
+
+
+def test_hot_keys_are_dealt_to_several_tasks(spark):
+    rows = spark.range(20_000).selectExpr("if(id % 3 = 0, 7, id) as key", "id as row")
+    counts = rows.groupBy("key").count().withColumnRenamed("count", "n")
+    one = spark.range(20_000).selectExpr("id as key", "id * 2 as twice").union(spark.createDataFrame([(99_999, 0)], "key long, twice long"))
+    got = skew.star_join(rows, one, "key", "row", counts)
+    assert got.count() == 20_000 and got.where("twice <> key * 2").count() == 0
+    heavy = skew.heavy_keys(counts, "key").collect()
+    assert [r.key for r in heavy] == [7] and heavy[0]["__salts"] > 4
+
+
 def test_component_paths(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, 100), (100, 150), (7, 7)] + [(500, i) for i in range(501, 600)] + [(None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
