@@ -81,9 +81,14 @@ def by_document(hits: DataFrame, per_document: int, documents: int) -> DataFrame
     return kept.join(chosen, "document").select("id", "document", "score", "passage")
 
 
+# Words of questions that ask for several sections of a document.
+OVERVIEW_WORDS = ("resume", "cv", "education", "experience", "project", "projects", "qualifications", "background", "summarise", "summarize", "overview")
+
+
 def passage_budget(query: Column, configured: int = SEARCH.passages) -> Column:
-    overview = F.lower(query).rlike(r"\b(resume|cv|overview|summary|summarize|summarise|experience|profile)\b")
-    return F.when(overview, F.greatest(F.lit(SEARCH.overview_passages), F.lit(configured))).otherwise(F.lit(configured))
+    """Passages of one document: more for questions about its whole."""
+    overview = F.arrays_overlap(F.split(F.lower(query), r"[^\p{L}\p{N}_]+"), tx.strings(list(OVERVIEW_WORDS)))
+    return F.when(overview, F.greatest(F.lit(SEARCH.overview_passages), F.lit(configured))).otherwise(F.lit(max(configured, 1)))
 
 
 def candidates_of(k: int) -> int:

@@ -1,6 +1,17 @@
 """The registry, filled by importing every module of queries."""
 
-from docweave.plans import dialogue_queries, extraction_queries, generic_queries, graph_queries, relational_queries, search_queries, text_queries  # noqa: F401
+from docweave.plans import (  # noqa: F401
+    dialogue_queries,
+    evaluation_queries,
+    extraction_queries,
+    generic_queries,
+    graph_queries,
+    relational_queries,
+    retrieval_queries,
+    search_queries,
+    text_queries,
+    understanding_queries,
+)
 from docweave.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

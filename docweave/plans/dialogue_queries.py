@@ -39,18 +39,6 @@ def wn16(spark, sf):
     return corpus.messages(spark, sf).where(F.col("text").rlike(r"(?i)\bthe\b") & (F.col("role") != "system")).groupBy("conv_id").agg(F.max("turn").alias("turn"))
 
 
-@query("qu01_context_dependent", """select conv_id, turn, regexp_matches(lower(text), '\\b(it|its|they|them|this|that|these|those|he|she)\\b') as refers, len(regexp_extract_all(text, '[A-Za-z0-9]+')) < 3 as short from conversations where role = 'user'""")
-def qu01(spark, sf):
-    refers = F.lower("text").rlike(r"\b(it|its|they|them|this|that|these|those|he|she)\b")
-    return corpus.messages(spark, sf).where("role = 'user'").select("conv_id", "turn", refers.alias("refers"), (F.regexp_count("text", F.lit("[A-Za-z0-9]+")) < 3).alias("short"))
-
-
-@query("qu02_prior_context", "select conv_id, turn, lag(text) over (partition by conv_id order by turn) as prior, count(*) over (partition by conv_id order by turn rows between 6 preceding and 1 preceding) as n_prior from conversations")
-def qu02(spark, sf):
-    own = W.partitionBy("conv_id").orderBy("turn")
-    return corpus.messages(spark, sf).select("conv_id", "turn", F.lag("text").over(own).alias("prior"), F.count("*").over(own.rowsBetween(-6, -1)).alias("n_prior"))
-
-
 @query("me01_memory_search", sql("memories", rest=""", q as (select embedding as v from embeddings where vec_id = 0)
   select doc_id, round(0.6 * list_cosine_similarity(vector::double[], (select v from q)::double[]) + 0.3 * importance + 0.1 * confidence, 6) as score from memories where status = 'active'"""))
 def me01(spark, sf):
@@ -77,25 +65,6 @@ def me07(spark, sf):
     return upserts.updated(m, due, {"status": F.lit("expired")}).drop("expires_at")
 
 
-@query("el01_recall_at_k", """with ranked as (select q.vec_id, q.label, e.label as found, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9) desc, e.vec_id) as r
-  from embeddings q join embeddings e on e.vec_id <> q.vec_id where q.vec_id % 20 = 0)
-  select vec_id, max(case when found = label then 1 else 0 end)::int as hit, coalesce(max(case when found = label then 1.0 / r end), 0)::double as reciprocal from ranked where r <= 5 group by vec_id""")
-def el01(spark, sf):
-    """Hit and reciprocal rank at five of the questions: every twentieth vector, against all others; labels name what is relevant."""
-    e = table(spark, sf, "embeddings")
-    label = e.select(F.col("vec_id").alias("id"), "label")
-    near = nearest(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), F.col("id") % 20 == 0, 5)
-    r = near.join(label, "id").join(label.select(F.col("id").alias("query"), F.col("label").alias("wanted")), "query")
-    good = F.col("label") == F.col("wanted")
-    return r.groupBy(F.col("query").alias("vec_id")).agg(F.max(F.when(good, 1).otherwise(0)).alias("hit"), F.coalesce(F.max(F.when(good, 1 / F.col("rank"))), F.lit(0.0)).alias("reciprocal"))
-
-
-@query("el05_refusals", "select conv_id, turn, regexp_matches(lower(text), 'not (found|available|stated)|no (information|evidence)|cannot (find|answer)') as refused from conversations where role = 'assistant'")
-def el05(spark, sf):
-    refused = F.lower("text").rlike("not (found|available|stated)|no (information|evidence)|cannot (find|answer)")
-    return corpus.messages(spark, sf).where("role = 'assistant'").select("conv_id", "turn", refused.alias("refused"))
-
-
 @query("el10_slices", "select coalesce(lang, 'all') as slice, count(*) as n, avg(quality) as quality, quantile_cont(n_chars, 0.95) as p95 from documents join labels using (doc_id) group by grouping sets ((lang), ())")
 def el10(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("lang", "quality", "n_chars")

@@ -50,12 +50,6 @@ def ag12(spark, sf):
     return table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("type")).agg(F.max("c_acctbal").alias("confidence"), F.min_by("c_name", F.struct(-F.col("c_acctbal"), "c_custkey")).alias("name"), F.count("*").alias("n"))
 
 
-@query("ag22_metrics_by_tag", "select tag, avg(quality) as quality, count(*) as n from (select unnest(['all', lang, source]) as tag, quality from documents join labels using (doc_id)) group by tag")
-def ag22(spark, sf):
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    return d.select(F.explode(F.array(F.lit("all"), "lang", "source")).alias("tag"), "quality").groupBy("tag").agg(F.avg("quality").alias("quality"), F.count("*").alias("n"))
-
-
 @query("ag33_cross_document_edges", "select count(*) as n, count(*) filter (c_nationkey <> s_nationkey) as crossing from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey")
 def ag33(spark, sf):
     t = lambda name: table(spark, sf, name)
@@ -67,10 +61,3 @@ def ag33(spark, sf):
 def jn19(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left").join(table(spark, sf, "labels"), "doc_id", "left")
     return d.groupBy(F.col("source").alias("document")).agg(F.count("*").alias("n_texts"), F.count("vec_id").alias("n_points"), F.count("quality").alias("n_labels"))
-
-
-@query("el12_manifest_drift", "select source, count(*) as n, sum(('0x' || substring(md5(text), 1, 8))::bigint)::bigint as digest from documents where text is not null group by source")
-def el12(spark, sf):
-    """Digest of each source's texts, whatever their order: the sum of 32 bits of each one's MD5."""
-    h = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long")
-    return table(spark, sf, "documents").where("text is not null").groupBy("source").agg(F.count("*").alias("n"), F.sum(h).alias("digest"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.operators import relational as rel
 from docweave.plans.registry import query
-from docweave.plans.search_queries import context_hits
+from docweave.plans.search_queries import _CONTEXT_HITS, _SEMANTIC, context_hits
 from docweave.sources import corpus
 from docweave.sources.corpus import sql, table
 
@@ -71,7 +71,7 @@ def flt11(spark, sf):
     return table(spark, sf, "lineitem").where(rel.one_document([flag, F.col("l_linestatus")])).select("l_orderkey", "l_linenumber")
 
 
-@query("flt12_facts_of_scope", sql("facts", rest="select * from facts where lower(document) in (select 'doc-' || label from embeddings where vec_id < 40)"))
+@query("flt12_facts_of_scope", sql("facts", "points", rest=f", {_SEMANTIC}, {_CONTEXT_HITS} select * from facts where lower(document) in (select document from hits)"))
 def flt12(spark, sf):
     """Facts of the documents that a search over all points retrieves."""
     scope = context_hits(spark, sf).select(F.col("document").alias("scope"))
@@ -163,7 +163,7 @@ def jn04(spark, sf):
     return table(spark, sf, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
 
 
-@query("jn05_conversation_counts", "select d.doc_id as conv_id, coalesce(n, 0) as n_messages from (select doc_id from documents where doc_id < 400) d left join (select conv_id, count(*) as n from conversations group by 1) on d.doc_id = conv_id")
+@query("jn05_conversation_counts", "select d.doc_id as conv_id, coalesce(n, 0) as n_messages from documents d left join (select conv_id, count(*) as n from conversations group by 1) on d.doc_id = conv_id")
 def jn05(spark, sf):
     counts = corpus.messages(spark, sf).groupBy("conv_id").agg(F.count("*").alias("n"))
     ids = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"))
@@ -323,8 +323,8 @@ def wn04(spark, sf):
     return first.groupBy("user_id").agg(F.array_join(F.transform(listed, lambda s: s["event_type"]), ",").alias("kinds"))
 
 
-@query("wn06_page_of_offset", sql("chunks", rest=""", pages as (select document, chunk_index as page, sum(length(content) + 2) over (partition by document order by chunk_index) as e, length(content) as l, row_number() over (partition by document order by chunk_index desc) as back from chunks where document < 200)
-select o.document, o.off as offset, p.page from (select doc_id as document, unnest([0, 100, 5000]) as off from documents where doc_id < 200) o join pages p on o.document = p.document and o.off >= p.e - p.l - 2 and (o.off < p.e or back = 1)"""))
+@query("wn06_page_of_offset", sql("chunks", rest=""", pages as (select document, chunk_index as page, sum(length(content) + 2) over (partition by document order by chunk_index) as e, length(content) as l, row_number() over (partition by document order by chunk_index desc) as back from chunks)
+select o.document, o.off as offset, p.page from (select doc_id as document, unnest([0, 100, 5000]) as off from documents) o join pages p on o.document = p.document and o.off >= p.e - p.l - 2 and (o.off < p.e or back = 1)"""))
 def wn06(spark, sf):
     pages = corpus.chunks(spark, sf).select("document", F.col("chunk_index").alias("page"), F.col("content").alias("text"))
     offsets = table(spark, sf, "documents").select(F.col("doc_id").alias("document"), F.explode(F.array(F.lit(0), F.lit(100), F.lit(5000))).alias("offset"))

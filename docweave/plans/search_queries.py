@@ -136,14 +136,28 @@ def se10(spark, sf):
     return search.semantic(corpus.points(spark, sf), _vector(spark, sf), 60).where("score >= 0.2")
 
 
-@query("se11_passage_budget", "select conv_id, turn, cast(case when regexp_matches(lower(text), '\\b(resume|cv|overview|summary|summarize|summarise|experience|profile)\\b') then 4 else 2 end as int) as budget from conversations")
+_BUDGET_WORDS = "resume|cv|education|experience|projects?|qualifications|background|summari[sz]e|overview"
+
+
+@query("se11_passage_budget", f"""select conv_id, turn, cast(case when regexp_matches(asked, '(?i)\\b({_BUDGET_WORDS})\\b') then 4 else 2 end as int) as budget from (
+  select conv_id, turn, case when turn % 3 = 0 then 'Overview: ' when turn % 3 = 1 then 'profile and summary of ' else 'his PROJECTS, ' end || text as asked from conversations)""")
 def se11(spark, sf):
-    return corpus.messages(spark, sf).select("conv_id", "turn", search.passage_budget(F.col("text")).alias("budget"))
+    lead = F.when(F.col("turn") % 3 == 0, "Overview: ").when(F.col("turn") % 3 == 1, "profile and summary of ").otherwise("his PROJECTS, ")
+    return corpus.messages(spark, sf).select("conv_id", "turn", search.passage_budget(F.concat(lead, "text")).alias("budget"))
 
 
 _CONTEXT_HITS = "hits as (select id, 'doc-' || document as document, score from semantic order by score desc, id limit 20)"
 
 
+#: Hits without those that repeat a better one: a walk by falling score that carries what is kept.
+_KEPT_HITS = """placed as (select h.*, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\s\\x1c-\\x1f\\x{85}\\pZ]+'), lambda w: w <> '')) as words, row_number() over (order by score desc, id) as r
+  from hits h left join documents d on d.doc_id = h.id),
+walk as (select 0::bigint as r, []::struct(id bigint, document varchar, words varchar[])[] as kept union all
+  select p.r, case when len(p.words) > 0 and len(list_filter(w.kept, lambda k: k.document = p.document and len(list_intersect(k.words, p.words))::double / len(list_distinct(list_concat(k.words, p.words))) >= 0.6)) > 0
+    then w.kept else list_append(w.kept, {'id': p.id, 'document': p.document, 'words': p.words}) end from walk w join placed p on p.r = w.r + 1),
+kept_hits as (select * from hits where id in (select unnest(list_transform(kept, lambda k: k.id)) from (select kept from walk order by r desc limit 1)))"""
+
+
 def context_hits(spark, sf):
     hits = search.semantic(corpus.points(spark, sf), _vector(spark, sf), 20)
     return hits.select("id", F.concat(F.lit("doc-"), F.col("document").cast("string")).alias("document"), "score")
@@ -161,16 +175,19 @@ def jn15(spark, sf):
     return search.graph_only(corpus.facts(spark, sf), context_hits(spark, sf))
 
 
-@query("se13_context_merge", sql("points", "facts", rest=f""", {_SEMANTIC}, {_CONTEXT_HITS}, counted as (select lower(document) as document, count(*) as n from facts group by 1),
-items as (select cast(h.id as varchar) as id, h.document, round(least(h.score + least(coalesce(n, 0) * 0.02, 0.1), 1), 9) as score, coalesce(n, 0) as n_facts, 'vector' as origin from hits h left join counted c on lower(h.document) = c.document
+@query("se13_context_merge", sql("points", "facts", rest=f""", {_SEMANTIC}, {_CONTEXT_HITS}, {_KEPT_HITS}, counted as (select lower(document) as document, count(*) as n from facts group by 1),
+items as (select cast(h.id as varchar) as id, h.document, round(least(h.score + least(coalesce(n, 0) * 0.02, 0.1), 1), 9) as score, coalesce(n, 0) as n_facts, 'vector' as origin from kept_hits h left join counted c on lower(h.document) = c.document
   union all select 'graph:' || document, document, round(least(greatest(0.3, coalesce(max(confidence), 0.5) * 0.7), 1), 9), count(*), 'graph' from facts where lower(document) not in (select document from hits) group by document)
 select * from items order by score desc, id limit 15"""))
 def se13(spark, sf):
-    """A hit's passage is the whole text of its id, which begins on page 1."""
+    return search.context(placed_hits(spark, sf), corpus.facts(spark, sf), 15)
+
+
+def placed_hits(spark, sf):
+    """Hits with page and content: a hit's passage is the whole text of its id, which begins on page 1."""
     hits = context_hits(spark, sf)
-    texts = _texts(spark, sf).join(F.broadcast(hits.select("id")), "id").groupBy("id").agg(F.min("content").alias("content"))
-    placed = hits.join(texts, "id", "left").withColumn("page", F.lit(1))
-    return search.context(placed, corpus.facts(spark, sf), 15)
+    texts = _texts(spark, sf).join(F.broadcast(hits.select("id")), "id").groupBy("id").agg(F.min("content").alias("content"))  # of a top-k
+    return hits.join(texts, "id", "left").withColumn("page", F.lit(1))
 
 
 @query("se15_search_with_entities", sql("points", "nodes", rest=f""", {_SEMANTIC}, {_HITS}, texts as (select h.id, h.score, d.text from hits h join documents d on h.id = d.doc_id),
@@ -191,12 +208,6 @@ def jn22(spark, sf):
     return search.near_passages(corpus.chunks(spark, sf))
 
 
-@query("se16_highlight")
-def se16(spark, sf):
-    hits = search.keyword(_texts(spark, sf), tx.strings(TERMS), 25)
-    return hits.select("id", "score", tx.highlight(F.col("content"), tx.strings(TERMS)).alias("excerpt"))
-
-
 @query("se17_distinct_graph_facts", sql("facts", rest="select entity, relationship, target, max(confidence) as confidence, count(*) as n from facts group by all"))
 def se17(spark, sf):
     return corpus.facts(spark, sf).groupBy("entity", "relationship", "target").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n"))

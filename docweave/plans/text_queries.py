@@ -12,11 +12,6 @@ from docweave.sources import corpus
 from docweave.sources.corpus import sql, table
 
 
-@query("tx01_query_terms")
-def tx01(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", tx.query_terms(F.col("text")).alias("terms"))
-
-
 @query("tx03_headings")
 def tx03(spark, sf):
     return chunking.lines(table(spark, sf, "documents")).where(chunking.heading(F.col("line"))).select("doc_id", "n", "line")
@@ -56,11 +51,6 @@ def tx16(spark, sf):
     return table(spark, sf, "documents").select("doc_id", (hit("ignore (all|any|previous)") + hit("system prompt") + hit("password") * 0.5).alias("score"))
 
 
-@query("tx25_conversation_titles")
-def tx25(spark, sf):
-    return corpus.messages(spark, sf).where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first")).select("conv_id", tx.ordinal_title(F.col("first")).alias("title"))
-
-
 @query("tx28_unique_texts", "select sha256(text) as key, count(*) as n, min(doc_id) as doc_id from documents where text is not null group by text")
 def tx28(spark, sf):
     return table(spark, sf, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))

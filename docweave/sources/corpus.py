@@ -1,7 +1,6 @@
 """The engine's tables as views of the input tables: chunks, points, nodes, edges, and so on.
 
-SQL holds the same views for DuckDB, so that a query and the SQL it is compared with start alike. In facts and
-memories the SQL is still narrower than the views here; tests/test_whole.py compares with the whole SQL.
+SQL holds the same views for DuckDB, so that a query and the SQL it is compared with start alike.
 """
 
 from __future__ import annotations
@@ -58,7 +57,50 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     """Facts about documents, one for each label; entity, relationship, target, confidence, document name in capitals."""
-    return table(spark, sf, "labels").select(F.concat(F.lit("Q"), F.col("quality").cast("string")).alias("entity"), F.lit("HAS_LABEL").alias("relationship"), F.concat(F.lit("T"), F.col("toxic").cast("string")).alias("target"), (F.lit(0.5) + F.col("quality") * 0.25 + F.col("toxic") * 0.125).alias("confidence"), F.concat(F.lit("Doc-"), (F.col("doc_id") % 10).cast("string")).alias("document"))
+    return table(spark, sf, "labels").select(F.concat(F.lit("Q"), F.col("quality").cast("string")).alias("entity"), F.lit("HAS_LABEL").alias("relationship"), F.concat(F.lit("T"), F.col("toxic").cast("string")).alias("target"), (F.lit(0.5) + F.col("quality") * 0.25 + F.col("toxic") * 0.125).alias("confidence"), F.concat(F.lit("Doc-"), (F.col("doc_id") % 23).cast("string")).alias("document"))
+
+
+def reports(spark: SparkSession, sf: str) -> DataFrame:
+    """An inspection report for each part: doc_id, filename, title, doc_type, content with tags, events and references."""
+    n = F.col("p_partkey")
+    tag = lambda prefix, k: F.concat(F.lit(prefix), k.cast("string"))
+    pump, tank, valve, sop = tag("P-", n % 900 + 100), tag("T-", F.col("p_size") + 100), tag("V-", F.col("p_size") + 200), F.concat(F.lit("SOP-"), F.lpad((n % 40).cast("string"), 3, "0"))
+    event = F.when(n % 4 == 0, "Bearing failure caused vibration.").when(n % 4 == 1, "Seal leakage led to shutdown.").otherwise("No defects were noted.")
+    content = F.concat(
+        F.lit("Pump "), pump, F.lit(" feeds tank "), tank, F.lit(". Operator of "), pump, F.lit(" is "), F.col("p_brand"), F.lit(".\nValve "), valve, F.lit(" is connected to "), tank, F.lit(". "), event,
+        F.lit("\nInspection was performed by Engineer "), F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 4), F.lit(". See "), sop, F.lit(" and INC-2024-"), F.lpad((n % 97).cast("string"), 3, "0"), F.lit("."),
+    )
+    kind = F.element_at(F.array(F.lit("Inspection_Report"), F.lit("Incident"), F.lit("Equipment_Register"), F.lit("Notes")), (n % 4 + 1).cast("int"))
+    return table(spark, sf, "part").select(
+        n.alias("doc_id"), F.concat(kind, F.lit("_"), pump, F.lit(".txt")).alias("filename"), F.concat(F.replace(kind, F.lit("_"), F.lit(" ")), F.lit(" "), pump).alias("title"), F.lower(kind).alias("doc_type"), content.alias("content")
+    )
+
+
+def placed_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes with confidence, document and source_document; regions and nations belong to no document."""
+    n = F.substring("id", 2, 20).cast("long")
+    own = F.col("type").isin("Customer", "Supplier")
+    doc = F.when(own, F.concat(F.lit("doc-"), (n % 5).cast("string")))
+    return nodes(spark, sf).select("id", "type", "name", (F.lit(0.5) + n % 5 / 10).alias("confidence"), doc.alias("document"), F.when(own & (n % 3 == 0), F.concat(doc, F.lit(".txt"))).alias("source"))
+
+
+def placed_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges with document and source_document, which for some differ from those of their ends."""
+    n = F.substring("src", 2, 20).cast("long")
+    doc = F.when(F.col("type") == "LOCATED_IN", F.concat(F.lit("doc-"), F.when(n % 7 == 0, n % 4).otherwise(n % 5).cast("string")))
+    return edges(spark, sf).select("src", "dst", "type", "confidence", doc.alias("document"), F.when(n % 2 == 0, F.concat(doc, F.lit(".txt"))).alias("source"))
+
+
+def dialogues(spark: SparkSession, sf: str) -> DataFrame:
+    """Four turns about each report: a question, an answer, a question that may lean on the first, and a last one; conv_id, turn, role, content."""
+    r = reports(spark, sf).select("doc_id", "content", F.regexp_extract("content", "(P-[0-9]+)", 1).alias("pump"), F.regexp_extract("content", "(V-[0-9]+)", 1).alias("valve"))
+    third = F.when(F.col("doc_id") % 4 == 0, "What about the bearings?").when(F.col("doc_id") % 4 == 1, "Why did it fail, and were its seals checked by them?").when(
+        F.col("doc_id") % 4 == 2, F.concat(F.lit("Who inspected valve "), F.col("valve"), F.lit(" last year?"))
+    ).otherwise("Next steps?")
+    said = [("user", F.concat(F.lit("What is the vibration status of pump "), F.col("pump"), F.lit("?"))), ("assistant", F.col("content")), ("user", third), ("user", F.lit("Tell me more"))]
+    return r.select(F.col("doc_id").alias("conv_id"), F.posexplode(F.array(*[F.struct(F.lit(role).alias("role"), text.alias("content")) for role, text in said])).alias("turn", "m")).select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.content"
+    )
 
 
 def messages(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,13 +122,27 @@ SQL = {
   from (select doc_id, unnest(range(len(string_split(text, chr(10))))) as i, unnest(string_split(text, chr(10))) as content from documents) where content <> '')""",
     "docs": """docs as (select doc_id, text, lang, source as uploaded_by, n_chars, 'DOC-' || lpad(cast(doc_id as varchar), 6, '0') || '.txt' as filename,
   ['indexed', 'review', 'failed', 'pending'][doc_id % 4 + 1] as status, timestamp '2024-01-01' + to_minutes(cast(doc_id as int)) as created_at, doc_id % 13 = 0 as deleted from documents)""",
+    "reports": """reports as (select doc_id, kind || '_' || pump || '.txt' as filename, replace(kind, '_', ' ') || ' ' || pump as title, lower(kind) as doc_type,
+  'Pump ' || pump || ' feeds tank ' || tank || '. Operator of ' || pump || ' is ' || p_brand || '.' || chr(10) || 'Valve ' || valve || ' is connected to ' || tank || '. '
+  || case when doc_id % 4 = 0 then 'Bearing failure caused vibration.' when doc_id % 4 = 1 then 'Seal leakage led to shutdown.' else 'No defects were noted.' end
+  || chr(10) || 'Inspection was performed by Engineer ' || upper(substring(p_name, 1, 1)) || substring(p_name, 2, 4) || '. See SOP-' || lpad(cast(doc_id % 40 as varchar), 3, '0') || ' and INC-2024-' || lpad(cast(doc_id % 97 as varchar), 3, '0') || '.' as content
+  from (select p_partkey as doc_id, p_brand, p_name, 'P-' || (p_partkey % 900 + 100) as pump, 'T-' || (p_size + 100) as tank, 'V-' || (p_size + 200) as valve,
+    ['Inspection_Report', 'Incident', 'Equipment_Register', 'Notes'][p_partkey % 4 + 1] as kind from part))""",
+    "pnodes": """pnodes as (select id, type, name, 0.5 + n % 5 / 10 as confidence, doc as document, case when n % 3 = 0 then doc || '.txt' end as source from (
+  select *, cast(substring(id, 2) as bigint) as n, case when type in ('Customer', 'Supplier') then 'doc-' || (cast(substring(id, 2) as bigint) % 5) end as doc from nodes))""",
+    "pedges": """pedges as (select src, dst, type, confidence, doc as document, case when n % 2 = 0 then doc || '.txt' end as source from (
+  select *, cast(substring(src, 2) as bigint) as n, case when type = 'LOCATED_IN' then 'doc-' || case when cast(substring(src, 2) as bigint) % 7 = 0 then cast(substring(src, 2) as bigint) % 4 else cast(substring(src, 2) as bigint) % 5 end end as doc from edges))""",
+    "dialogues": """dialogues as (select doc_id as conv_id, unnest([0, 1, 2, 3])::bigint as turn, unnest(['user', 'assistant', 'user', 'user']) as role,
+  unnest(['What is the vibration status of pump ' || pump || '?', content, case when doc_id % 4 = 0 then 'What about the bearings?' when doc_id % 4 = 1 then 'Why did it fail, and were its seals checked by them?'
+    when doc_id % 4 = 2 then 'Who inspected valve ' || valve || ' last year?' else 'Next steps?' end, 'Tell me more']) as content
+  from (select *, regexp_extract(content, '(P-[0-9]+)', 1) as pump, regexp_extract(content, '(V-[0-9]+)', 1) as valve from reports))""",
     "points": "points as (select vec_id as id, label as document, embedding as vector from embeddings)",
     "nodes": """nodes as (select 'R' || r_regionkey as id, 'Region' as type, r_name as name from region union all select 'N' || n_nationkey, 'Nation', n_name from nation
   union all select 'C' || c_custkey, 'Customer', c_name from customer union all select 'S' || s_suppkey, 'Supplier', s_name from supplier)""",
     "edges": """edges as (select 'N' || n_nationkey as src, 'R' || n_regionkey as dst, 'PART_OF' as type, cast(0.9 as double) as confidence from nation
   union all select 'C' || c_custkey, 'N' || c_nationkey, 'LOCATED_IN', 0.75 from customer union all select 'S' || s_suppkey, 'N' || s_nationkey, 'LOCATED_IN', 0.85 from supplier)""",
-    "facts": """facts as (select 'Q' || quality as entity, 'HAS_LABEL' as relationship, 'T' || toxic as target, cast(0.5 + quality * 0.25 + toxic * 0.125 as double) as confidence, 'Doc-' || (doc_id % 10) as document from labels where doc_id % 3 = 0)""",
-    "memories": """memories as (select d.doc_id, source as user_name, substring(text, 1, 40) as title, substring(text, 1, 200) as content, embedding as vector, cast(quality * 0.5 + 0.25 as double) as importance,
+    "facts": """facts as (select 'Q' || quality as entity, 'HAS_LABEL' as relationship, 'T' || toxic as target, cast(0.5 + quality * 0.25 + toxic * 0.125 as double) as confidence, 'Doc-' || (doc_id % 23) as document from labels)""",
+    "memories": """memories as (select d.doc_id, source as user_name, substring(text, 1, 40) as title, text as content, embedding as vector, cast(quality * 0.5 + 0.25 as double) as importance,
   cast(1 - toxic * 0.5 as double) as confidence, case when d.doc_id % 7 = 0 then 'archived' else 'active' end as status, timestamp '2024-01-01' + to_hours(cast(d.doc_id as int)) as expires_at
   from documents d join embeddings e on d.doc_id = e.vec_id join labels l on d.doc_id = l.doc_id)""",
 }
