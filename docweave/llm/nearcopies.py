@@ -6,11 +6,13 @@ A document's set holds its distinct k-word shingles (A-Z lower-cased; with fewer
    that shares most buckets with others: the original among its copies. So pairs grow with the rows, not with
    the square of a bucket.
 3. A pair's similarity is estimated from both sketches by likelihood; what may pass is verified on full sets.
-4. Pairs that no hub decides lie in buckets where a class is in another component than its hub. In small buckets
-   such classes meet the rest of the bucket inside a join whose condition, on sizes and register parities, no
-   linked pair breaks. In large buckets they are joined exactly by their rarest shingles: linked sets share one
-   of the rarest n - ceil(0.8 n) + 1 in any order that all sets use, here that of approximate frequency. Under
-   each such shingle only classes outside its largest component look for partners.
+4. Pairs that no hub decides are looked at in two ways. Classes that are strangers to their hub meet the rest of
+   a small bucket inside a join whose condition, on sizes and register parities, no linked pair breaks; in large
+   buckets they meet, under the same condition, over their rarest shingles: linked sets share one of the rarest
+   n - ceil(0.8 n) + 1 in any order that all sets use, here that of approximate frequency, so what many documents
+   share brings none together. Classes that are near each other through hubs make up a family; what the family's
+   largest component leaves over is multiplied with the family, block by block, as 0/1 matrices over their shared
+   shingles, and only links come out. Pairs inside a component need no look.
 5. Components of the links, least doc_id first.
 
 With 32 bands of 4 registers, a pair at the threshold of 0.8 shares no bucket with probability 5e-8. Rows of a hot bucket,
@@ -45,8 +47,8 @@ PERCENT = 80
 DOUBT = 0.59
 #: Linked pairs differ in at most this many of 128 parities: 13 are expected, six standard deviations are 20.
 PARITIES = 34
-#: Classes of a small bucket; cells of approximate shingle frequencies.
-SMALL, CELLS = 32, 1 << 18
+#: Classes of a small bucket; cells of approximate shingle frequencies; shingles of a block of a family.
+SMALL, CELLS, BLOCK = 64, 1 << 16, 200_000
 
 
 def distinct_shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -143,14 +145,9 @@ def near_copies(docs: DataFrame, text_col: str = "text", k: int = 2) -> DataFram
 
     texts = docs.join(weight.select("rep"), F.col("doc_id") == F.col("rep")).groupBy("rep").agg(F.max("text").alias("text"))
     members = cut(whole_sets(texts, "text", k).join(classes.select("rep", "n_shingles", "registers"), "rep"))
-    links = cut(verify(pairs, members).where("linked").select("a", "b"))
-    roots = components(links)
-
-    parts = cut(parts_of(members.select("rep", "n_shingles"), roots))
-    own = parts.select("rep", "part")
-    ends = star_join(led.where("n > 2"), own.select(F.col("rep").alias("hub"), F.col("part").alias("hub_part")), "hub", "rep", cut(led.groupBy("hub").agg(F.count("*").alias("n")))).join(own, "rep")
-    ends = cut(ends.select("bucket", "rep", "n", (F.col("part") != F.col("hub_part")).alias("open")))
-    more = cut(strangers(ends, members, parts).union(rare_links(ends, members, parts)))
+    near = cut(verify(pairs, members))
+    roots = components(near.where("linked").select("a", "b"))
+    more = cut(strangers(led, near, members, roots).union(families(near, members, roots)))
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
@@ -164,27 +161,34 @@ def parts_of(reps: DataFrame, roots: DataFrame) -> DataFrame:
     return reps.join(roots, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("root", "rep")).drop("node", "root")
 
 
-def alike(x: str, y: str) -> Column:
-    """Whether sizes allow a link."""
-    return 100 * F.least(f"{x}.n_shingles", f"{y}.n_shingles") >= PERCENT * F.greatest(f"{x}.n_shingles", f"{y}.n_shingles")
+def strangers(led: DataFrame, near: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that their bucket's hub isn't near to and others in the bucket."""
+    several = led.where("n > 2")
+    unlike = several.select("bucket", "rep", "n", *ordered("rep", "hub")).join(near.select("a", "b"), ["a", "b"], "left_anti").select("bucket", "rep", "n")
+    unlike = cut(unlike)
+    facts = cut(parts_of(members.select("rep", "n_shingles", "registers").mapInArrow(_parities, "rep long, n_shingles long, p0 long, p1 long"), roots))
+    # small buckets: at most SMALL rows meet one
+    x = unlike.where(F.col("n") <= SMALL).select("bucket", "rep").join(facts, "rep").alias("x")
+    y = several.where(F.col("n") <= SMALL).select("bucket", "rep").join(facts, "rep").alias("y")
+    found = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & may("x", "y")).select(*ordered("x.rep", "y.rep"))
+    found = cut(found.union(over_rare_shingles(several, unlike, members, facts)).distinct())
+    return verify(found, members).where("linked").select("a", "b")
 
 
-def strangers(ends: DataFrame, members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Links (a, b) between open classes of small buckets and others in the bucket; at most SMALL rows meet one."""
-    facts = members.select("rep", "registers").mapInArrow(_parities, "rep long, p0 long, p1 long").join(parts, "rep")
-    small = ends.where(F.col("n") <= SMALL)
-    y = cut(small.join(small.where("open").select("bucket").distinct(), "bucket", "left_semi").join(facts, "rep"))
-    x, y = y.where("open").alias("x"), y.alias("y")
-    apart = F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))) + F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1")))
-    may = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.part") != F.col("y.part")) & alike("x", "y") & (apart <= PARITIES)
-    found = cut(x.join(y, may).select(*ordered("x.rep", "y.rep")).distinct())
-    return verify(found, members).where("linked").select("a", "b")
+def may(x: str, y: str) -> Column:
+    """Whether two classes of different components can be linked, by their sizes and parities."""
+    apart = F.bit_count(F.col(f"{x}.p0").bitwiseXOR(F.col(f"{y}.p0"))) + F.bit_count(F.col(f"{x}.p1").bitwiseXOR(F.col(f"{y}.p1")))
+    sizes = 100 * F.least(f"{x}.n_shingles", f"{y}.n_shingles") >= PERCENT * F.greatest(f"{x}.n_shingles", f"{y}.n_shingles")
+    return (F.col(f"{x}.part") != F.col(f"{y}.part")) & sizes & (apart <= PARITIES)
 
 
-def rare_links(ends: DataFrame, members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Links (a, b) between classes of large buckets with open classes, by exact joins over rarest shingles."""
-    large = ends.where(F.col("n") > SMALL).groupBy("bucket").agg(F.bool_or("open").alias("open"))
-    inside = star_join(ends.where(F.col("n") > SMALL).select("bucket", "rep"), large.where("open").select("bucket"), "bucket", "rep", cut(ends.where(F.col("n") > SMALL).select("bucket", "n").distinct()))
+def over_rare_shingles(several: DataFrame, unlike: DataFrame, members: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of strangers of large buckets and other classes of such buckets that may be linked and share one of their rarest shingles."""
+    large = F.col("n") > SMALL
+    strange = cut(unlike.where(large).select("rep").distinct())
+    busy = unlike.where(large).groupBy("bucket").agg(F.count("*").alias("strangers"))
+    sizes = several.where(large).groupBy("bucket").agg(F.count("*").alias("n"))
+    inside = star_join(several.where(large).select("bucket", "rep"), busy, "bucket", "rep", cut(sizes))
     sets = cut(inside.select("rep").distinct().join(members.select("rep", "shingles"), "rep"))
     often = sets.select("shingles").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most
     level = np.zeros(CELLS, np.int64)
@@ -195,18 +199,70 @@ def rare_links(ends: DataFrame, members: DataFrame, parts: DataFrame) -> DataFra
         for batch in batches:
             for rep, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = np.frombuffer(packed, np.uint64)
-                rarest = h[np.lexsort((h, held.value[(h >> np.uint64(46)).astype(np.int64)]))][: prefix(len(h))]
+                rarest = h[np.lexsort((h, held.value[_cell(h)]))][: prefix(len(h))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rarest), rep)), pa.array(rarest.view(np.int64))], names=["rep", "key"])
 
-    keys = cut(sets.mapInArrow(run, "rep long, key long"))
-    number = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    keyed = cut(star_join(keys, number.select("key"), "key", "rep", number).join(parts, "rep"))
-    by_part = keyed.groupBy("key", "part").agg(F.count("*").alias("n"))
-    major = by_part.groupBy("key").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("major"), F.count("*").alias("parts")).where("parts > 1").select("key", "major")
-    rows = cut(star_join(keyed, major, "key", "rep", number))
-    x, y = rows.where("part <> major").alias("x"), rows.alias("y")
-    found = cut(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") != F.col("y.part")) & alike("x", "y")).select(*ordered("x.rep", "y.rep")).distinct())
-    return verify(found, members).where("linked").select("a", "b")
+    keys = cut(sets.select("rep", "shingles").mapInArrow(run, "rep long, key long"))
+    asked = keys.join(strange, "rep", "left_semi")
+    number = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").join(asked.select("key").distinct(), "key"))
+    rows = cut(star_join(keys, number.select("key"), "key", "rep", number).join(facts, "rep"))
+    x, y = rows.join(strange, "rep", "left_semi").alias("x"), rows.alias("y")
+    return x.join(y, (F.col("x.key") == F.col("y.key")) & may("x", "y")).select(*ordered("x.rep", "y.rep"))
+
+
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(48)).astype(np.int64)
+
+
+def families(near: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between components of one family: of each class left over, to the least class of every component it is linked with in a block."""
+    named = components(near.select("a", "b"))
+    kin = named.select(F.col("node").alias("rep"), F.col("root").alias("family")).union(named.select("root", "root").distinct())
+    kin = cut(parts_of(kin, roots).join(members.select("rep", "n_shingles"), "rep"))
+    sizes = kin.groupBy("family", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("load"))
+    major = sizes.groupBy("family").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("major"), F.count("*").alias("parts"), F.sum("load").alias("load"), F.max_by("load", F.struct("n", -F.col("part"))).alias("most"))
+    blocks = lambda load: F.ceil(load / F.lit(BLOCK)).cast("int")
+    open_ = major.where("parts > 1").select("family", "major", blocks(F.col("load")).alias("n_all"), blocks(F.col("load") - F.col("most")).alias("n_left"))
+    rows = kin.drop("n_shingles").join(open_, "family").join(members.select("rep", "shingles"), "rep")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    left = rows.where("part <> major").select("family", "rep", "part", "shingles", own("n_left").alias("i"), spread("n_all").alias("j"), F.lit(True).alias("over"))
+    whole = rows.select("family", "rep", "part", "shingles", spread("n_left").alias("i"), own("n_all").alias("j"), F.lit(False).alias("over"))
+    return left.union(whole).groupBy("family", "i", "j").applyInArrow(_multiplied, "a long, b long")
+
+
+def _multiplied(group: pa.Table) -> pa.Table:
+    """Links of the classes left over with the others of the group, by exact intersection sizes."""
+    group = group.combine_chunks()
+    over = group["over"].to_numpy()
+    rep, part = group["rep"].to_numpy(), group["part"].to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in group["shingles"].to_pylist()]
+    x, y = np.flatnonzero(over), np.flatnonzero(~over)
+    links: list[tuple[int, int]] = []
+    if len(x) and len(y):
+        size = np.array([len(s) for s in sets])
+        shared = np.intersect1d(np.concatenate([sets[i] for i in x]), np.concatenate([sets[i] for i in y]))
+        for low in range(0, len(x), 256):
+            for start in range(0, len(y), 1024):
+                u, v = x[low : low + 256], y[start : start + 1024]
+                both = np.zeros((len(u), len(v)), np.float32)
+                for c in range(0, len(shared), 2048):
+                    both += _present(sets, u, shared[c : c + 2048]) @ _present(sets, v, shared[c : c + 2048]).T
+                yes = (100 * both >= PERCENT * (size[u][:, None] + size[v][None, :] - both)) & (part[u][:, None] != part[v][None, :])
+                for i in np.flatnonzero(yes.any(1)):
+                    ends = v[yes[i]]
+                    _, first = np.unique(part[ends], return_index=True)
+                    links += [(rep[u[i]], r) for r in rep[ends[first]]]
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def _present(sets: list[np.ndarray], rows: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """0/1 matrix: which of the shared shingles each row has."""
+    out = np.zeros((len(rows), len(shared)), np.float32)
+    for k, i in enumerate(rows):
+        at = np.minimum(np.searchsorted(sets[i], shared), len(sets[i]) - 1)
+        out[k] = sets[i][at] == shared
+    return out
 
 
 def prefix(n: int) -> int:
@@ -219,13 +275,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(CELLS, np.int64)
     for batch in batches:
         for packed in batch.column(0).to_pylist():
-            np.add.at(n, (np.frombuffer(packed, np.uint64) >> np.uint64(46)).astype(np.int64), 1)
+            np.add.at(n, _cell(np.frombuffer(packed, np.uint64)), 1)
     some = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], names=["cell", "n"])
 
 
 def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, setsketch.REGISTERS)
+        marks = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(-1, setsketch.REGISTERS)
         halves = np.packbits(marks & 1, axis=1).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["rep", "p0", "p1"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(halves[:, 0]), pa.array(halves[:, 1])], names=["rep", "n_shingles", "p0", "p1"])
