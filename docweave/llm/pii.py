@@ -1,24 +1,27 @@
 """Personal data: four patterns, and a linear-chain conditional random field over word shapes.
 
 The patterns find e-mail addresses, IP addresses, card numbers that pass the Luhn check and international phone
-numbers. The field adds what they miss, such as national phone numbers or grouped account numbers: it tags the
-words of a line from their shapes and their neighbours', its weights are learnt from a small labelled table by
-maximum likelihood, and lines are decoded by Viterbi in numpy, all lines of a block a word at a time. Neighbouring
-words of one tag make a span, less the punctuation around it; spans without a digit or an at sign, and those
-that touch a pattern's span, are dropped. So lines without both characters need no decoding.
-
-Offsets are in code points, end exclusive. Null and empty texts have no spans. Columns of the result replace
-columns of the same name; all others are kept. Repeated rows give repeated results, an empty table an empty one.
+numbers. The field adds what they miss of the same kinds and of identity numbers: national phone numbers, grouped
+account numbers, addresses without a dot. It knows no names and no postal addresses. It tags the words of a line from their
+shapes and their neighbours', its weights are learnt from a small labelled table by maximum likelihood, and lines are
+decoded by Viterbi in numpy, all lines of a block a word at a time. Neighbouring words of one tag make a span, which ends at a
+comma or semicolon; what a pattern's span covers is cut out of it, and of the rest the punctuation at both ends.
+Rests without a digit or an at sign are no spans, so lines without both characters need no decoding.
+
+Offsets are in code points, end exclusive. Spans that begin together are in the order of KINDS. Null and empty texts
+have no spans; very long texts, lines and words are read whole. Columns of the result replace columns of the same name; all
+others are kept. Repeated rows give repeated results, an empty table an empty one. An empty labelled table leaves the patterns alone.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +31,8 @@ PATTERNS = ("email", "ip", "card", "phone")
 TAGS = ("o", "email", "ip", "card", "phone", "id")
 KINDS = (*PATTERNS, *(f"crf_{t}" for t in TAGS[1:]))
 
-#: The labelled table: [tag words] in running text; all names and numbers are invented.
-LABELLED = (
+#: Lines of the labelled table when none is given: [tag words] in running text; all names and numbers are invented.
+WRITTEN = (
     "call me at [phone 555-0134] or at [phone (555) 010-9922] before noon",
     "phone [phone 020 7946 0018] fax [phone 020 7946 0921] and ask for the office",
     "Tel. [phone 0171-5550123] oder [phone 030/5550199], bitte nicht nach 18 Uhr",
@@ -69,7 +72,42 @@ LABELLED = (
     "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16",
 )
 
-BUCKETS, ROUNDS, RATE, DECAY = 4096, 150, 0.15, 2e-3
+#: More lines come from forms, of which # is any digit, and the phrases they stand in.
+FORMS = {
+    "phone": ("555-####", "(###) 555-####", "0## 7946 ####", "###.555.####", "01## #######", "6## 555 ###", "0# 55 50 ## ##", "0#.55.50.##.##", "1-800-555-####", "+1 (555) ###-####", "0##/#######"),
+    "email": ("name##@host", "first.last#@example.com", "<info##@mail.example.org>"),
+    "ip": ("10.#.##.1##", "198.51.100.#:80##"),
+    "card": ("4### #### #### ####", "5###-####-####-####", "4###############", "DE## #### #### #### #### ##", "FR## #### #### #### ####"),
+    "id": ("###-##-####", "X#######", "L##X##T##", "##/###/#####"),
+    "o": ("19##", "20##", "##", "1,###.##", "12.##", "20##-05-1#", "##.0#.20##", "#.#.#", "##-##", "#####", "1#:##", "###,###"),
+}
+PHRASES = {
+    "phone": ("call {} before noon", "my number is {} at home", "Tel. {} nach 18 Uhr", "mi teléfono es {} por la tarde", "fax {} or write", "mon numéro est {} le soir"),
+    "email": ("write to {} today", "mail {} got no answer", "Kontakt: {} im Büro"),
+    "ip": ("the host {} answered", "from {} in 3 hops"),
+    "card": ("card {} expires 09/27", "paid with {} on 3 May", "the account {} at the bank", "Karte {} wurde gesperrt"),
+    "id": ("ssn {} was shown", "passport {} is valid", "his social security number {} is known", "Ausweis {} liegt vor"),
+    "o": ("in {} they met", "the {} boxes came", "price of {} euro", "on {} it rained", "page {} of 300", "am {} war es kalt"),
+}
+LINES_BY_RULE = 110
+
+
+def labelled_by_rule(n: int = LINES_BY_RULE, seed: int = 17) -> tuple[str, ...]:
+    """n lines, kinds by turns, with forms, digits and phrases drawn at random."""
+    rng, kinds, out = np.random.default_rng(seed), ("phone", "id", "o", "card", "phone", "email", "o", "ip"), []
+    for i in range(n):
+        kind = kinds[i % len(kinds)]
+        form, phrase = (str(rng.choice(table[kind])) for table in (FORMS, PHRASES))
+        piece = "".join(str(rng.integers(10)) if c == "#" else c for c in form)
+        out.append(phrase.format(f"[{kind} {piece}]"))
+    return tuple(out)
+
+
+LABELLED = WRITTEN + labelled_by_rule()
+
+BUCKETS, ROUNDS, RATE, DECAY = 4096, 60, 0.5, 2e-3
+#: Most rows of a labelled table that are learnt from, those of the lowest hash.
+LINES = 1000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -130,11 +168,11 @@ class Features(dict):
     def __missing__(self, word: str) -> np.ndarray:
         if len(self) > 100_000:
             self.clear()
-        form, bare = shape(word[:40]), shape(word[:40].strip(_TRIM))
+        form, bare = shape(word), shape(word.strip(_TRIM))
         short = re.sub(r"(.)\1+", r"\1", form)
         digits = form.count("0")
         kind = "d" if digits else "@" if "@" in word else "w"
-        own = (f"s:{short}", f"f:{bare[:24]}", f"n:{min(digits, 20)}:{min(len(word), 24)}", f"p:{form[:2]}", f"e:{form[-2:]}", f"k:{kind}")
+        own = (f"s:{short}", f"f:{bare}", f"n:{min(digits, 20)}:{min(len(word), 24)}", f"p:{form[:2]}", f"e:{form[-2:]}", f"k:{kind}")
         near = (f"s:{short}", f"k:{kind}:{min(digits, 6)}", f"w:{word.lower().strip(_TRIM)}")
         ids = [zlib.crc32(f"own:{f}".encode()) % BUCKETS for f in own]
         for side, place in (("last", 1), ("next", 2)):
@@ -153,7 +191,7 @@ def feature_ids(words: list[str], known: Features) -> np.ndarray:
     return np.hstack([rows[1:-1, :OWN], rows[:-2, OWN : OWN + NEAR], rows[2:, OWN + NEAR :]])
 
 
-def labelled_lines(table: tuple[str, ...]) -> list[tuple[list[str], np.ndarray]]:
+def labelled_lines(table: Iterable[str]) -> list[tuple[list[str], np.ndarray]]:
     """Words and tags of each line of the labelled table."""
     out = []
     for line in table:
@@ -170,7 +208,7 @@ def labelled_lines(table: tuple[str, ...]) -> list[tuple[list[str], np.ndarray]]
 class Field:
     """Weights of the features and of tag pairs."""
 
-    def __init__(self, table: tuple[str, ...] = LABELLED):
+    def __init__(self, table: Iterable[str] = LABELLED):
         self.weight, self.step = np.zeros((3 * BUCKETS, len(TAGS))), np.zeros((len(TAGS), len(TAGS)))
         known = Features()
         lines = [(feature_ids(words, known), tags) for words, tags in labelled_lines(table)]
@@ -249,16 +287,28 @@ def tagged(texts: list[str], field: Field, known: Features) -> list[list[tuple[i
     for i, words in lines:
         own = tags[first : first + len(words)]
         first += len(words)
-        for k in np.flatnonzero((own > 0) & (np.concatenate([[0], own[:-1]]) != own)):
+        ends = np.array([w[-1] in ",;" for w, _ in words], bool)
+        for k in np.flatnonzero((own > 0) & (np.concatenate([[True], (own[1:] != own[:-1]) | ends[:-1]]))):
             last = k
-            while last + 1 < len(words) and own[last + 1] == own[k]:
+            while last + 1 < len(words) and own[last + 1] == own[k] and not ends[last]:
                 last += 1
-            start, end = words[k][1], words[last][1] + len(words[last][0])
-            found = texts[i][start:end]
-            start += len(found) - len(found.lstrip(_TRIM.replace("(", "") if ")" in found else _TRIM))
-            end -= len(found) - len(found.rstrip(_TRIM))
-            if start < end and (_DIGITS.search(found) or "@" in found):
-                out[i].append((start, len(PATTERNS) - 1 + int(own[k]), end))
+            out[i].append((words[k][1], len(PATTERNS) - 1 + int(own[k]), words[last][1] + len(words[last][0])))
+    return out
+
+
+def rests(text: str, spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """What is left of the field's spans beside those of the patterns, trimmed."""
+    out = []
+    for start, kind, end in spans:
+        at = start
+        for low, _, high in [*((a, k, b) for a, k, b in base if a < end and b > start), (end, 0, end)]:
+            piece = text[at:low] if low > at else ""
+            trim = _TRIM + " \t\n\v\f\r"
+            left = len(piece) - len(piece.lstrip(trim.replace("(", "") if ")" in piece else trim))
+            right = len(piece.rstrip(trim))
+            if left < right and (_DIGITS.search(piece, left, right) or "@" in piece[left:right]):
+                out.append((at + left, kind, at + right))
+            at = max(at, high)
     return out
 
 
@@ -267,9 +317,18 @@ _MARK = np.zeros(256, bool)
 _MARK[list(b"0123456789@")] = True
 
 
-def find(docs: DataFrame, text_col: str = "text", table: tuple[str, ...] = LABELLED) -> DataFrame:
-    """`docs` with spans: array of (start, rank, end, kind), by start and kind. table: labelled lines, some dozens; the weights (under a megabyte) are broadcast."""
-    field = docs.sparkSession.sparkContext.broadcast(Field(table))
+def labelled_table(spark: SparkSession) -> DataFrame:
+    """The labelled table that stands in when none is given: line, one row each."""
+    return spark.createDataFrame([(x,) for x in LABELLED], "line string")
+
+
+def find(docs: DataFrame, text_col: str = "text", table: DataFrame | None = None) -> DataFrame:
+    """`docs` with spans: array of (start, rank, end, kind), by start and kind.
+
+    table: labelled lines (line), small; at most LINES rows of it teach the field, whose weights (under a megabyte) are broadcast."""
+    table = labelled_table(docs.sparkSession) if table is None else table
+    lines = [r.line for r in table.where("line is not null").select("line").orderBy(F.xxhash64("line"), "line").limit(LINES).collect()]
+    field = docs.sparkSession.sparkContext.broadcast(Field(lines) if lines else None)
 
     def make():
         known = Features()
@@ -280,10 +339,10 @@ def find(docs: DataFrame, text_col: str = "text", table: tuple[str, ...] = LABEL
             some = np.flatnonzero(total[at[1:]] > total[at[:-1]])
             texts = block.take(pa.array(some)).to_pylist()
             spans: list[list] = [[] for _ in range(len(block))]
-            for i, text, more in zip(some, texts, tagged(texts, field.value, known), strict=True):
+            added = tagged(texts, field.value, known) if field.value is not None else [[] for _ in texts]
+            for i, text, more in zip(some, texts, added, strict=True):
                 base = patterns(text)
-                own = [s for s in more if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
-                spans[i] = [{"start": a, "rank": k, "end": b, "kind": KINDS[k]} for a, k, b in sorted(base + own)]
+                spans[i] = [{"start": a, "rank": k, "end": b, "kind": KINDS[k]} for a, k, b in sorted(base + rests(text, more, base))]
             return {"spans": spans}
 
         return work
