@@ -12,9 +12,13 @@ within which a word has its added-one share of the counts. So every word, known
 4. Each text is scored from its first token to its last with the state carried on. Words that aren't among the
    frequent ones leave as rows and meet their counts in a join, so nothing that grows is broadcast.
 
-All tasks start from the model after WARM training texts, those of the lowest hashed doc_id, so that their
-parameters stay close enough to be averaged.
-Null and empty texts consist of an end. Rows with a null doc_id are scored and learnt from like others. Without training rows
+All tasks start from the model after a warm start, so that their parameters stay close enough to be averaged: the
+training texts of the lowest hashed doc_id, at most WARM of them and WARM_BYTES in all (a text that goes beyond that is
+passed over here; it teaches its own task like all others). In training, state is carried along a lane of a block and
+begins anew in the next block. What a task learns depends on its texts, so scores depend on how the table's files
+split into tasks; on one split, reruns agree.
+
+Null and empty texts consist of an end. Very long texts are scored whole, with the state carried to their end. Rows with a null doc_id are scored and learnt from like others. Without training rows
 N and V are 0, and the model is the untrained one. Columns of the result replace columns of the same name; all
 others are kept. Repeated rows give repeated results, an empty table an empty one.
 """
@@ -33,8 +37,8 @@ from docweave.llm import gru
 from docweave.llm.blocks import add_columns, blocks, hash_spans, lower, raw, word_bounds
 from docweave.session import cut
 
-#: Words with classes of their own, frequent words that are broadcast, rows of the warm start, rows averaged at once.
-WORDS, HEAD, WARM, FAN = 2048, 262_144, 1500, 32
+#: Words with classes of their own, frequent words that are broadcast, texts and bytes of the warm start, rows averaged at once.
+WORDS, HEAD, WARM, WARM_BYTES, FAN = 2048, 262_144, 1500, 16 << 20, 8
 TEXT_BYTES, SCORE_BYTES = 1 << 20, 8 << 20
 #: Distinct words that a task holds before it hands its counts on.
 HELD = 2_000_000
@@ -137,8 +141,10 @@ def averaged(parts: DataFrame) -> bytes | None:
     """The mean of the tasks' parameters (part, weight, packed), FAN rows at a time."""
 
     def merge(group: pa.Table) -> pa.Table:
+        group = group.sort_by("part")  # sums in one order, so that reruns agree
         weight = group["weight"].to_pylist()
-        return pa.table({"part": pa.array([group["part"][0].as_py() // FAN], pa.int64()), "weight": pa.array([float(sum(weight))]), "packed": pa.array([gru.mean(group["packed"].to_pylist(), weight)], pa.binary())})
+        packed = gru.mean(group["packed"].to_pylist(), weight)
+        return pa.table({"part": pa.array([group["part"][0].as_py() // FAN], pa.int64()), "weight": pa.array([float(sum(weight))]), "packed": pa.array([packed], pa.binary())})
 
     parts = cut(parts)
     n = (parts.agg(F.max("part")).first()[0] or 0) + 1
@@ -171,6 +177,19 @@ def train(docs: DataFrame, text_col: str, facts: Facts, start: bytes | None) ->
     return docs.select(text_col, F.spark_partition_id().cast("long").alias("part")).mapInArrow(run, "part long, weight double, packed binary")
 
 
+def warm_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """text of the warm start, chosen by ids and sizes alone, so that no task gathers texts that aren't taken."""
+    first = docs.where("doc_id is not null").select("doc_id", F.octet_length(F.coalesce(text_col, F.lit(""))).alias("size"))
+    ids, total = [], 0
+    for r in first.groupBy("doc_id").agg(F.max("size").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM).collect():
+        if total + r["size"] <= WARM_BYTES:
+            ids.append((r["doc_id"],))
+            total += r["size"]
+    chosen = docs.sparkSession.createDataFrame(ids, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]))
+    texts = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")  # WARM ids at most
+    return texts.groupBy("doc_id").agg(F.max("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").select("text")
+
+
 LOCAL = T.StructType([
     T.StructField("n_tokens", T.LongType()), T.StructField("__known", T.LongType()), T.StructField("__base", T.DoubleType()), T.StructField("__model", T.DoubleType()),
     T.StructField("__rare", T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("n", T.LongType())]))),
@@ -185,8 +204,7 @@ def score(docs: DataFrame, learn: Column, text_col: str = "text") -> DataFrame:
     total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
     least, h, c = frequent(counts, HEAD)
     facts = Facts(h, c, total, distinct)
-    warm = learning.orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM).select(F.col(text_col).alias("text"))
-    start = averaged(train(warm.coalesce(1), "text", facts, None))
+    start = averaged(train(warm_texts(learning, text_col).coalesce(1), "text", facts, None))
     packed = averaged(train(learning, text_col, facts, start))
     held = spark.sparkContext.broadcast((facts, packed))
 
