@@ -12,8 +12,8 @@ from docweave.session import table
 
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = telephony.store_and_read(docs, outputs=("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"))
-    return done.drop("text")
+    digests = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256")
+    return telephony.store_and_read(docs, outputs=digests).drop("text")
 
 
 def op2_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:

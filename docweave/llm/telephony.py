@@ -6,7 +6,7 @@ the same bytes are decoded as ADPCM blocks (a step at a time, across all blocks
 samples are resampled to 16 kHz and stored as 16-bit PCM in a second WAV file.
 
 Null and empty texts become one block of padding. A text ends where its bytes end, whatever they are; `n_bytes`
-tells padding from text. Columns of the result replace columns of the same name; all others are kept.
+tells padding from text. Very long texts make one long call. Columns of the result replace columns of the same name; all others are kept.
 Repeated rows give repeated results, an empty table an empty one.
 """
 
@@ -129,6 +129,7 @@ OUTPUTS = {
     "media_bytes": T.LongType(),
     "media_sha256": T.StringType(),
     "pcm": T.BinaryType(),
+    "pcm_bytes": T.LongType(),
     "pcm_sha256": T.StringType(),
     "feature": T.StringType(),
 }
@@ -162,11 +163,11 @@ def store_and_read(docs: DataFrame, text_col: str = "text", outputs: tuple[str,
                     given["tail_crc32"] = zlib.crc32(payload[-32:])
                 if "media_sha256" in asked:
                     given["media_sha256"] = hashlib.sha256(media).hexdigest()
-                if asked & {"pcm", "pcm_sha256", "feature"}:
+                if asked & {"pcm", "pcm_bytes", "pcm_sha256", "feature"}:
                     code = np.frombuffer(payload, np.uint8)
                     heard = MU_LAW_SAMPLES[code]
                     pcm = wav(double_rate(heard).tobytes(), PCM, 2 * RATE, 16)
-                    given["pcm"] = pcm
+                    given["pcm"], given["pcm_bytes"] = pcm, len(pcm)
                     if "pcm_sha256" in asked:
                         given["pcm_sha256"] = hashlib.sha256(pcm).hexdigest()
                     if "feature" in asked:

@@ -66,5 +66,45 @@ def test_stored_bytes(spark):
     assert rows[4].feature == rows[6].feature and rows[0].feature == rows[1].feature
 
 
+def plain_mu(byte):
+    u = ~byte & 255
+    size = (((u & 15) * 8 + 132) << ((u >> 4) & 7)) - 132
+    return -size if u & 128 else size
+
+
+def plain_a(byte):
+    a = byte ^ 0x55
+    part, low = (a >> 4) & 7, (a & 15) * 16
+    size = low + 8 if part == 0 else (low + 264) << (part - 1)
+    return size if a & 128 else -size
+
+
+def plain_pcm(samples):
+    """Twice the rate, a sample at a time; silence beyond both ends."""
+    out = []
+    for i, x in enumerate(samples):
+        at = lambda k: samples[k] if 0 <= k < len(samples) else 0
+        total = sum(tap * (at(i - k) + at(i + 1 + k)) for k, tap in enumerate((10053, -2436, 731, -156)))
+        out += [x, max(-32768, min(32767, (total + 8192) >> 14))]
+    return b"".join(int(x).to_bytes(2, "little", signed=True) for x in out)
+
+
+def test_feature_and_pcm_by_the_definition(spark):
+    given = ["", "é" * 40, "A telephone call about 3 things. " * 30, "\x7f\x00" * 700]
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    for r in tel.store_and_read(df, outputs=("feature", "pcm", "pcm_bytes", "pcm_sha256")).collect():
+        b = given[r.doc_id].encode()
+        payload = b + b"\xff" * (576 * max(1, -(-len(b) // 576)) - len(b))
+        mu, a = [plain_mu(x) for x in payload], [plain_a(x) for x in payload]
+        spoken = [plain_adpcm(payload[i : i + 576]) for i in range(0, len(payload), 576)]
+        flat = [x for block in spoken for x in block]
+        pcm = plain_pcm(mu)
+        assert tel.unwav(bytes(r.pcm)) == (tel.PCM, 16000, pcm) and r.pcm_bytes == len(r.pcm) and r.pcm_sha256 == hashlib.sha256(bytes(r.pcm)).hexdigest()
+        energy = lambda x: sum(v * v for v in x) // len(x)
+        crossings = sum((x >= 0) != (y >= 0) for x, y in zip(mu, mu[1:], strict=False))
+        want = f"mu={energy(mu)};zc={crossings};a={energy(a)};adpcm={energy(flat)},{sum(block[-1] for block in spoken)};pcm={zlib.crc32(bytes(r.pcm)):08x}"
+        assert r.feature == want
+
+
 def test_empty_table(spark):
     assert tel.store_and_read(spark.createDataFrame([], "doc_id long, text string")).collect() == []
