@@ -28,10 +28,14 @@ WEIGHTS, COPIES, SLOT = (5, 2, 1), 3, 512
 DIGITS, CHUNKS, CELLS = 3, 4096, 1024
 
 
+def n_words(text: Column) -> Column:
+    """Words of a text, 0 of a null one."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
 def sized(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """row, doc_id, source, size: a number for each row, and its words."""
-    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", words.alias("size"), F.monotonically_increasing_id().alias("row"))
+    return docs.select("doc_id", "source", n_words(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("row"))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, copies: int = COPIES) -> DataFrame:
