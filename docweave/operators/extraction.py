@@ -1,4 +1,4 @@
-"""Entities and relationships from passages by tables of patterns; the tables are parameters."""
+"""Entities and relationships from passages by tables of rules; the tables are parameters, those here a small set of our own."""
 
 from __future__ import annotations
 
@@ -6,37 +6,95 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
-
-#: (pattern, type, confidence); group 0 is the name.
-ENTITY_RULES = (
-    (r"\b[A-Z]{1,3}-[0-9]{2,5}\b", "Tag", 0.9),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", "Contact", 0.8),
-    (r"\b(?:19|20)[0-9]{2}\b", "Year", 0.5),
-    (r"[A-Z]{4,}", "Acronym", 0.4),
+from docweave.functions.matching import around, matches
+
+TAG = r"\b([A-Z]{1,4}-?[0-9]{2,5})\b"
+#: What a tag's first letters say, and how sure that is; the longest known beginning of three letters counts.
+PREFIXES = {"P": ("Pump", 0.9), "PT": ("Instrument", 0.85), "PSV": ("Valve", 0.85), "T": ("Tank", 0.85), "V": ("Valve", 0.9), "SOP": ("Procedure", 0.95), "INC": ("Incident", 0.9), "E": ("Exchanger", 0.8)}
+#: (pattern, group, type, confidence): named things. The group names the thing, or if it is empty the whole match.
+NAMED = (
+    (r"(?i)\b((?:bearing|seal|motor|pump) (?:failure|leakage|damage))\b", 1, "Failure", 0.75),
+    (r"(?i)\b(vibration|shutdown|overheating)\b", 1, "Event", 0.6),
+    (r"\b(SOP-[0-9]{3})\b", 1, "Procedure", 0.95),
+    (r"\b(INC-[0-9]{4}-[0-9]{3})\b", 1, "Incident", 0.9),
+    (r"\bEngineer ([A-Z][a-z]+)\b", 1, "Person", 0.7),
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+", 0, "Contact", 0.8),
+    (r"[A-Z]{4,}", 0, "Acronym", 0.4),
+)
+#: Rules that a word nearby makes likely, and no more.
+CONTEXTUAL = (
+    (r"(?i)\boperator of (\S+)", 1, "Equipment", 0.35),
+    (r"(?i)\bconnected to (?:the )?(\w+)", 1, "Equipment", 0.3),
+    (r"(?i)\bperformed by (\w+ \w+)", 1, "Person", 0.4),
 )
-#: (pattern, type, confidence); group 1 is the source, group 2 the target.
-RELATION_RULES = (
-    (r"(\w+) (?:is|was) (?:a|an) (\w+)", "IS_A", 0.6),
-    (r"(\w+) of (\w+)", "PART_OF", 0.4),
+#: Names that say nothing.
+GENERIC = ("the", "tank", "pump", "valve", "unit", "system", "page", "section")
+#: (pattern, type, confidence): group 1 is related to group 2.
+RELATIONS = (
+    (r"(?i)\bpump (\S+) feeds tank ([A-Z]-[0-9]+)", "FEEDS", 0.8),
+    (r"(?i)\bvalve (\S+) is connected to ([A-Z]-[0-9]+)", "CONNECTED_TO", 0.75),
+    (r"(?i)\boperator of (\S+) is ([^.\n]+)", "OPERATED_BY", 0.6),
+    (r"(?i)\b(\w+ failure|\w+ leakage) (?:caused|led to) (\w+)", "CAUSES", 0.7),
+    (r"(?i)\b(\w+) was performed by (\w+ \w+)", "PERFORMED_BY", 0.6),
+    (r"\b(\w+) of (\w+)\b", "PART_OF", 0.4),
 )
+#: What a document of some kind says of the tag in its title: (beginning of the kind, relationship, confidence).
+TITLES = (("inspection", "INSPECTED_IN", 0.7), ("incident", "INVOLVED_IN", 0.7), ("equipment", "LISTED_IN", 0.6), ("", "DESCRIBED_IN", 0.5))
+#: Characters between a failure and the tag it belongs to.
+NEAR = 500
+KIND = "struct<name:string,type:string,confidence:double,start:int,context:string>"
+
+
+def _one(text: Column, name: Column, kind: Column, sure: Column, m: Column) -> Column:
+    return F.struct(name.alias("name"), kind.alias("type"), sure.cast("double").alias("confidence"), m["start"].alias("start"), around(text, m["start"], m["end"]).alias("context"))
+
+
+def tags(text: Column, prefixes: dict = PREFIXES) -> Column:
+    """Tags whose prefix is known, in one spelling."""
+    table = F.create_map(*[x for k, (kind, sure) in prefixes.items() for x in (F.lit(k), F.struct(F.lit(kind).alias("kind"), F.lit(sure).alias("sure")))])
+
+    def entity(m: Column) -> Column:
+        prefix = F.regexp_extract(m["found"], "^([A-Z]+)", 1)
+        known = F.coalesce(*[F.element_at(table, F.substring(prefix, 1, n)) for n in (3, 2, 1)])
+        return _one(text, tx.normal_tag(m["found"]), known["kind"], known["sure"], m)
+
+    return F.filter(F.transform(matches(text, TAG, 1), entity), lambda e: e["type"].isNotNull()).cast(f"array<{KIND}>")
 
 
-def entities(passages: DataFrame, key: str, rules: tuple = ENTITY_RULES) -> DataFrame:
-    """`key`, id, name, type, confidence: each distinct name of a passage once for each type."""
+def by_rules(text: Column, rules: tuple, generic: tuple = GENERIC) -> Column:
+    """What the rules find, less generic words."""
+
+    def of(rule: tuple) -> Column:
+        pattern, group, kind, sure = rule
+        found = F.filter(matches(text, pattern, group), lambda m: ~F.lower(F.trim(m["found"])).isin(*generic))
+        return F.transform(found, lambda m: _one(text, F.rtrim(tx.normal_name(m["found"]), F.lit(".,;:")), F.lit(kind), F.lit(sure), m))
+
+    return F.concat(*[of(r).cast(f"array<{KIND}>") for r in rules])
+
+
+def entities(passages: DataFrame, key: str, prefixes: dict = PREFIXES, named: tuple = NAMED, contextual: tuple = CONTEXTUAL) -> DataFrame:
+    """`key`, id, name, type, confidence, start, context: in each passage (key, content) each name once for each type, the surest and first."""
     text = F.coalesce("content", F.lit(""))
-    found = [_named(text, *r) for r in rules]
-    rows = passages.select(key, F.explode(F.concat(*found)).alias("e"))
-    return rows.select(key, tx.entity_id(F.col("e.type"), F.col("e.name")).alias("id"), "e.name", "e.type", "e.confidence")
+    parts = [tags(text, prefixes)] if prefixes else []
+    parts += [by_rules(text, rules) for rules in (named, contextual) if rules]
+    rows = passages.select(key, F.explode(F.concat(*parts)).alias("e"))
+    best = F.min_by("e", F.struct(-F.col("e.confidence"), F.col("e.start"))).alias("e")
+    rows = rows.groupBy(key, F.col("e.type").alias("type"), F.lower("e.name").alias("low")).agg(best)
+    return rows.select(key, tx.entity_id(F.col("type"), F.col("e.name")).alias("id"), "e.name", "type", "e.confidence", "e.start", "e.context")
 
 
-def _named(text: Column, pattern: str, kind: str, sure: float) -> Column:
-    names = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("type"), F.lit(sure).alias("confidence")))
+def titled(docs: DataFrame) -> DataFrame:
+    """doc_id, id, name, type, confidence of the entities that a document is by its title and kind (doc_id, title, doc_type)."""
+    kind = F.when(F.col("doc_type").rlike("^(sop|procedure)"), "Procedure").when(F.col("doc_type").rlike("^incident"), "Incident").otherwise("Document")
+    own = docs.select("doc_id", F.col("title").alias("name"), kind.alias("type"), F.lit(0.95).alias("confidence")).where("name <> ''")
+    return own.select("doc_id", tx.entity_id(F.col("type"), F.col("name")).alias("id"), "name", "type", "confidence")
 
 
 def merged(found: DataFrame) -> DataFrame:
-    """One row for each entity: the surest name (the least of equals), and how often it was found."""
-    return found.groupBy("id").agg(F.min_by("name", F.struct(-F.col("confidence"), "name")).alias("name"), F.first("type").alias("type"), F.max("confidence").alias("confidence"), F.count("*").alias("n"))
+    """One row for each entity: the surest name (the least of equals), the other names as aliases, and how often it was found."""
+    best = F.min_by("name", F.struct(-F.col("confidence"), "name")).alias("name")
+    rows = found.groupBy("id").agg(best, F.min("type").alias("type"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("name")).alias("names"), F.count("*").alias("n"))
+    return rows.select("id", "name", "type", "confidence", F.filter("names", lambda x: x != F.col("name")).alias("aliases"), "n")
 
 
 def _groups(text: Column, pattern: str, kind: str, sure: float) -> Column:
@@ -44,11 +102,11 @@ def _groups(text: Column, pattern: str, kind: str, sure: float) -> Column:
     return F.transform(F.arrays_zip(each(1).alias("src"), each(2).alias("dst")), lambda p: F.struct(p["src"].alias("src"), p["dst"].alias("dst"), F.lit(kind).alias("type"), F.lit(sure).alias("confidence")))
 
 
-def relationships(passages: DataFrame, rules: tuple = RELATION_RULES) -> DataFrame:
+def relationships(passages: DataFrame, rules: tuple = RELATIONS) -> DataFrame:
     """src, dst, type, confidence (the highest), n; nothing is related to itself."""
     text = F.coalesce("content", F.lit(""))
     rows = passages.select(F.explode(F.concat(*[_groups(text, *r) for r in rules])).alias("r")).select("r.*")
-    rows = rows.withColumns({"src": F.lower("src"), "dst": F.lower("dst")}).where("src <> dst")
+    rows = rows.withColumns({c: F.lower(F.trim(c)) for c in ("src", "dst")}).where("src <> dst and src <> '' and dst <> ''")
     return rows.groupBy("src", "dst", "type").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n"))
 
 
@@ -56,3 +114,125 @@ def known_only(relations: DataFrame, names: DataFrame) -> DataFrame:
     """Relations of which both ends are among the names."""
     ends = names.select(F.lower("name").alias("known")).distinct()
     return relations.join(ends, F.col("src") == F.col("known"), "left_semi").join(ends, F.col("dst") == F.col("known"), "left_semi")
+
+
+def with_types(relations: DataFrame, found: DataFrame) -> DataFrame:
+    """Relations with the types of both ends by name, of several types the surest."""
+    types = found.groupBy(F.lower("name").alias("low")).agg(F.min_by("type", F.struct(-F.col("confidence"), "type")).alias("kind"))
+    end = lambda c: types.select(F.col("low").alias(c), F.col("kind").alias(f"{c}_type"))
+    return relations.join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+
+
+def inferred(docs: DataFrame, titles: tuple = TITLES, failures: tuple = (NAMED[0],), near: int = NEAR) -> DataFrame:
+    """doc_id, src, dst, type, confidence of what stands in no sentence: the title's tag is told of in the document, and a failure not far from a tag is its failure. docs: doc_id, filename, title, doc_type, content."""
+    text = F.coalesce("content", F.lit(""))
+    kind, sure = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for start, relation, confidence in reversed(titles):
+        hit = F.startswith(F.lower("doc_type"), F.lit(start))
+        kind, sure = F.when(hit, relation).otherwise(kind), F.when(hit, confidence).otherwise(sure)
+    head = F.transform(tags(F.coalesce("title", F.lit(""))), lambda e: F.struct(e["name"].alias("src"), F.col("filename").alias("dst"), kind.alias("type"), sure.alias("confidence")))
+    bad = by_rules(text, failures)
+    close = F.flatten(F.transform(tags(text), lambda e: F.transform(F.filter(bad, lambda b: F.abs(b["start"] - e["start"]) < near), lambda b: F.struct(e["name"].alias("src"), F.lower(b["name"]).alias("dst"), F.lit("HAS_FAILURE").alias("type"), F.lit(0.5).alias("confidence")))))
+    return docs.select("doc_id", F.explode(F.concat(head, close)).alias("r")).select("doc_id", "r.*").distinct()
+
+
+# What a filename, else a text, else an extension says of a document: (pattern, department, category, kind).
+FILENAME_CLASSES = (
+    ("(?i)^SOP[-_]", "Operations", "SOP", "sop"),
+    ("(?i)^MAN[-_]", "Maintenance", "OEM Manual", "manual"),
+    ("(?i)^MNT[-_]", "Maintenance", "Maintenance Report", "maintenance_log"),
+    ("(?i)^INS[-_]", "Inspection", "Inspection Report", "inspection_report"),
+    ("(?i)^INC[-_]", "HSE", "Incident Report", "incident_report"),
+    ("(?i)^LOG[-_]", "Operations", "Shift Log", "maintenance_log"),
+    ("(?i)^SCN[-_]", "Safety", "Safety", "safety_manual"),
+    ("(?i)^PPT[-_]", "Training", "Presentation", "presentation"),
+    (r"(?i)resume|curriculum[ _-]*vitae|\bcv\b", "General", "Resume", "resume"),
+    ("(?i)^Equipment_Register", "Engineering", "Spreadsheet", "spreadsheet"),
+    ("(?i)^Maintenance_Schedule", "Maintenance", "Spreadsheet", "spreadsheet"),
+    ("(?i)^Spare_Parts", "Stores", "Spreadsheet", "spreadsheet"),
+)
+CONTENT_CLASSES = (
+    (r"(?i)standard\s*operating\s*proced", "Operations", "SOP", "sop"),
+    (r"(?i)\bOEM\s+Manual\b|operator.{0,20}manual", "Maintenance", "OEM Manual", "manual"),
+    (r"(?i)preventive\s+maintenance|bearing\s+replacement|seal\s+leakage|\bmaintenance\b.{0,30}report|corrective\s+action", "Maintenance", "Maintenance Report", "maintenance_log"),
+    (r"(?i)inspection\s+report|vibration\s+analysis|pressure\s+vessel\s+inspection|boiler\s+inspection", "Inspection", "Inspection Report", "inspection_report"),
+    (r"(?i)\bincident\b.{0,30}report|root\s+cause|near.miss", "HSE", "Incident Report", "incident_report"),
+    (r"(?i)shift\s+log|handover\s+notes", "Operations", "Shift Log", "maintenance_log"),
+    (r"(?i)safety\s+inspection|confined\s+space|\bPPE\b", "Safety", "Safety", "safety_manual"),
+    (r"(?i)\bp[&\s]?id\b.*cooling", "Engineering", "P&ID", "engineering_drawing"),
+    (r"(?i)equipment\s+register|maintenance\s+schedule|spare\s+parts", "General", "Spreadsheet", "spreadsheet"),
+    (r"(?i)safety\s+training|plant\s+overview", "General", "Presentation", "presentation"),
+    (r"(?i)\b(?:education|academic)\b[\s\S]*\b(?:experience|projects?)\b", "General", "Resume", "resume"),
+)
+EXTENSION_CLASSES = {
+    "xlsx": ("General", "Spreadsheet", "spreadsheet"), "pptx": ("General", "Presentation", "presentation"), "pdf": ("General", "General", "document"), "docx": ("General", "General", "document"),
+    "txt": ("General", "General", "document"), "png": ("General", "Image", "image"), "jpg": ("General", "Image", "image"), "jpeg": ("General", "Image", "image"),
+}
+
+
+def document_class(filename: Column, content: Column) -> Column:
+    """(department, category, kind): by the filename, else by the text, else, without a text, by the extension."""
+    made = lambda c: F.struct(F.lit(c[0]).alias("department"), F.lit(c[1]).alias("category"), F.lit(c[2]).alias("kind"))
+    text, name = F.coalesce(content, F.lit("")), F.coalesce(filename, F.lit(""))
+    out = None
+    for column, rules in ((name, FILENAME_CLASSES), (text, CONTENT_CLASSES)):
+        for pattern, *rest in rules:
+            hit = column.rlike(pattern)
+            out = F.when(hit, made(rest)) if out is None else out.when(hit, made(rest))
+    ending = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
+    for extension, rest in EXTENSION_CLASSES.items():
+        out = out.when((text == "") & (ending == extension), made(rest))
+    return out.otherwise(made(("General", "General", "document")))
+
+
+# How a text tries to give orders, words that count towards it, and marks of a text's borders.
+ORDERS = (
+    r"(?i)\bignore\s+(all\s+)?(previous\s+)?instructions\b",
+    r"(?i)\byou\s+are\s+now\b",
+    r"(?i)\bbot\s+instruction\b",
+    r"(?i)\bforget\s+(all\s+)?(previous\s+)?instructions\b",
+    r"(?i)\bsystem\s+prompt\b",
+    r"(?i)\bdisregard\b",
+    r"(?i)\boverride\b",
+    r"(?i)\bnew\s+rule\b",
+    r"(?i)\bdo\s+not\s+obey\b",
+)
+ORDER_WORDS = {"ignore": 0.3, "instructions": 0.3, "system": 0.3, "override": 0.5, "bypass": 0.5, "sudo": 0.5}
+BORDERS = ("---", "```", "<system>", "<instruction>")
+
+
+def injection(prompt: Column) -> Column:
+    """Why a prompt is refused: orders, score (words that sum to one or more), borders; null if it isn't."""
+    words = F.split(F.lower(prompt), r"\s+")
+    score = sum((F.when(F.array_contains(words, w), s).otherwise(0.0) for w, s in ORDER_WORDS.items()), F.lit(0.0))
+    orders = prompt.rlike("|".join(f"(?:{p})" for p in ORDERS))
+    borders = F.lit(False)
+    for b in BORDERS:
+        borders = borders | F.contains(prompt, F.lit(b))
+    return F.when(orders, "orders").when(F.round(score, 6) >= 1.0, "score").when(borders, "borders")
+
+
+# The head of a model's own evidence card, headings that go with it, and lines that are a card's data.
+CARD = r"(?i)^\s*>?\s*\[!(?:DOCUMENT|SOURCE|EVIDENCE)\](?:\s|$)"
+CARD_HEADING = r"(?i)^\s*(?:#{1,6}\s*)?\*{0,2}(?:evidence|sources|documents drawn on)\*{0,2}\s*:?\s*$|^\s*More details available\.?\s*$"
+CARD_DATA = r'"document_name"\s*:'
+CARD_DATA_START = r'^\s*(?:>\s?)?\s*(?:\[object Object\]\s*\{.*|\{.*"(?:confidence|score|preview)"\s*:.*)$'
+
+
+def without_cards(answer: Column) -> Column:
+    """An answer without the evidence cards that a model wrote: a card's head, the quotes and blank lines after it, and lines of data; then headings of evidence go too."""
+    lines = F.transform(F.split(F.coalesce(answer, F.lit("")), "\r?\n"), lambda s: F.struct(
+        s.alias("line"), s.rlike(CARD).alias("head"), (s.rlike(r"^\s*>") | (F.trim(s) == "")).alias("quoted"), (s.rlike(CARD_DATA) & s.rlike(CARD_DATA_START)).alias("data")
+    ))
+    start = F.struct(F.lit(False).alias("skip"), F.lit(False).alias("removed"), F.array().cast("array<string>").alias("kept"))
+
+    def step(acc: Column, s: Column) -> Column:
+        goes = s["head"] | (acc["skip"] & s["quoted"]) | s["data"]
+        skip = s["head"] | (acc["skip"] & s["quoted"])
+        return F.struct(skip.alias("skip"), (acc["removed"] | s["head"] | (s["data"] & ~(acc["skip"] & s["quoted"]))).alias("removed"), F.when(goes, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(s["line"]))).alias("kept"))
+
+    def joined(acc: Column) -> Column:
+        kept = F.when(acc["removed"], F.filter(acc["kept"], lambda s: ~s.rlike(CARD_HEADING))).otherwise(acc["kept"])
+        return F.trim(F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"), r"^\s+|\s+$", ""))
+
+    return F.aggregate(lines, start, step, joined)

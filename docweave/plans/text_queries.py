@@ -22,12 +22,6 @@ def tx06(spark, sf):
     return chunking.chunks(table(spark, sf, "documents"))
 
 
-@query("tx09_document_classes", "select doc_id, case when regexp_matches(lower(text), 'copyright|licen[cs]e') then 'legal' when regexp_matches(lower(text), 'password|secret|token') then 'security' when regexp_matches(text, '[0-9]{3}') then 'record' else 'other' end as class from documents")
-def tx09(spark, sf):
-    rules = [("copyright|licen[cs]e", "legal"), ("password|secret|token", "security"), ("[0-9]{3}", "record")]
-    return table(spark, sf, "documents").select("doc_id", tx.classified(rules, F.lower("text"), F.lit("other")).alias("class"))
-
-
 @query("tx10_tags", """select doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Z]{1,3}[- ]?[0-9]{2,5}'), lambda x: upper(replace(x, ' ', '')))).len() as n_tags from documents""")
 def tx10(spark, sf):
     found = F.regexp_extract_all("text", F.lit(r"[A-Z]{1,3}[- ]?[0-9]{2,5}"), F.lit(0))
@@ -44,13 +38,6 @@ def tx12(spark, sf):
     return corpus.nodes(spark, sf).select("id", tx.entity_id(F.col("type"), F.col("name")).alias("entity"))
 
 
-@query("tx16_injection_screen", """select doc_id, (cast(regexp_matches(lower(text), 'ignore (all|any|previous)') as int) + cast(regexp_matches(lower(text), 'system prompt') as int) + cast(contains(lower(text), 'password') as int) * 0.5)::double as score from documents""")
-def tx16(spark, sf):
-    low = F.lower("text")
-    hit = lambda p: F.when(low.rlike(p), 1.0).otherwise(0.0)
-    return table(spark, sf, "documents").select("doc_id", (hit("ignore (all|any|previous)") + hit("system prompt") + hit("password") * 0.5).alias("score"))
-
-
 @query("tx28_unique_texts", "select sha256(text) as key, count(*) as n, min(doc_id) as doc_id from documents where text is not null group by text")
 def tx28(spark, sf):
     return table(spark, sf, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("key")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
