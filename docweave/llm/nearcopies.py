@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from docweave.llm import setsketch
 from docweave.llm.blocks import add_columns, hash_spans, lower, mix, raw, shingles, word_bounds
 from docweave.llm.components import components
-from docweave.llm.skew import star_join
+from docweave.llm.skew import counted, star_join
 from docweave.session import cut
 
 BAND = 4
@@ -48,7 +48,7 @@ DOUBT = 0.59
 #: Linked pairs differ in at most this many of 128 parities: 13 are expected, six standard deviations are 20.
 PARITIES = 34
 #: Classes of a small bucket; cells of approximate shingle frequencies; shingles of a block of a family.
-SMALL, CELLS, BLOCK = 64, 1 << 16, 200_000
+SMALL, CELLS, BLOCK = 256, 1 << 16, 200_000
 
 
 def distinct_shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -93,11 +93,11 @@ def whole_sets(docs: DataFrame, text_col: str, k: int) -> DataFrame:
     return add_columns(docs, text_col, make, T.StructType([T.StructField("shingles", T.BinaryType())]), drop=(text_col,))
 
 
-def verify(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b; written) that are near by their sketches, and whether they are linked. members: rep, registers, shingles."""
+def verify(pairs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """The n pairs (a, b; written) that are near by their sketches, and whether they are linked. members: rep, registers, shingles."""
     side = lambda c: members.select(F.col("rep").alias(c), F.col("registers").alias(f"registers_{c}"), F.col("shingles").alias(f"shingles_{c}"))
-    number = lambda c: cut(pairs.groupBy(c).agg(F.count("*").alias("n")))
-    rows = star_join(star_join(pairs, side("a"), "a", "b", number("a")), side("b"), "b", "a", number("b"))
+    number = lambda c: pairs.groupBy(c).agg(F.count("*").alias("n"))
+    rows = star_join(star_join(pairs, side("a"), "a", "b", number("a"), n), side("b"), "b", "a", number("b"), n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -135,19 +135,22 @@ def near_copies(docs: DataFrame, text_col: str = "text", k: int = 2) -> DataFram
     band = F.posexplode(F.array(*[F.substring("registers", 1 + width * i, width) for i in range(setsketch.REGISTERS // BAND)])).alias("band", "part")
     bands = classes.select("rep", band).select("rep", F.xxhash64("band", "part").alias("bucket"))
     filled = cut(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    placed = cut(star_join(bands, filled, "bucket", "rep", filled))
+    placed, n_placed = counted(star_join(bands, filled, "bucket", "rep", filled))
 
     # each class with the hub of its bucket
     weight = cut(placed.groupBy("rep").agg(F.sum("n").alias("weight")))
     hubs = placed.join(weight, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("hub"))
-    led = cut(star_join(placed, hubs, "bucket", "rep", filled).where("rep <> hub").select("bucket", "rep", "hub", "n"))
-    pairs = cut(led.select(*ordered("rep", "hub")).distinct())
+    led = cut(star_join(placed, hubs, "bucket", "rep", filled, n_placed).where("rep <> hub").select("bucket", "rep", "hub", "n"))
+    pairs, n_pairs = counted(led.select(*ordered("rep", "hub")).distinct())
 
     texts = docs.join(weight.select("rep"), F.col("doc_id") == F.col("rep")).groupBy("rep").agg(F.max("text").alias("text"))
     members = cut(whole_sets(texts, "text", k).join(classes.select("rep", "n_shingles", "registers"), "rep"))
-    near = cut(verify(pairs, members))
+    near = cut(verify(pairs, members, n_pairs))
     roots = components(near.where("linked").select("a", "b"))
-    more = cut(strangers(led, near, members, roots).union(families(near, members, roots)))
+    more = strangers(led, near, members, roots)
+    if not near.where("not linked").isEmpty():
+        more = more.union(families(near, members, roots))
+    more = cut(more)
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
@@ -171,8 +174,8 @@ def strangers(led: DataFrame, near: DataFrame, members: DataFrame, roots: DataFr
     x = unlike.where(F.col("n") <= SMALL).select("bucket", "rep").join(facts, "rep").alias("x")
     y = several.where(F.col("n") <= SMALL).select("bucket", "rep").join(facts, "rep").alias("y")
     found = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & may("x", "y")).select(*ordered("x.rep", "y.rep"))
-    found = cut(found.union(over_rare_shingles(several, unlike, members, facts)).distinct())
-    return verify(found, members).where("linked").select("a", "b")
+    found, n = counted(found.union(over_rare_shingles(several, unlike, members, facts)).distinct())
+    return verify(found, members, n).where("linked").select("a", "b")
 
 
 def may(x: str, y: str) -> Column:
@@ -186,9 +189,11 @@ def over_rare_shingles(several: DataFrame, unlike: DataFrame, members: DataFrame
     """Pairs (a, b) of strangers of large buckets and other classes of such buckets that may be linked and share one of their rarest shingles."""
     large = F.col("n") > SMALL
     strange = cut(unlike.where(large).select("rep").distinct())
+    if strange.isEmpty():
+        return unlike.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
     busy = unlike.where(large).groupBy("bucket").agg(F.count("*").alias("strangers"))
     sizes = several.where(large).groupBy("bucket").agg(F.count("*").alias("n"))
-    inside = star_join(several.where(large).select("bucket", "rep"), busy, "bucket", "rep", cut(sizes))
+    inside = star_join(several.where(large).select("bucket", "rep"), busy, "bucket", "rep", sizes)
     sets = cut(inside.select("rep").distinct().join(members.select("rep", "shingles"), "rep"))
     often = sets.select("shingles").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most
     level = np.zeros(CELLS, np.int64)
@@ -202,10 +207,10 @@ def over_rare_shingles(several: DataFrame, unlike: DataFrame, members: DataFrame
                 rarest = h[np.lexsort((h, held.value[_cell(h)]))][: prefix(len(h))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rarest), rep)), pa.array(rarest.view(np.int64))], names=["rep", "key"])
 
-    keys = cut(sets.select("rep", "shingles").mapInArrow(run, "rep long, key long"))
+    keys, n = counted(sets.select("rep", "shingles").mapInArrow(run, "rep long, key long"))
     asked = keys.join(strange, "rep", "left_semi")
-    number = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").join(asked.select("key").distinct(), "key"))
-    rows = cut(star_join(keys, number.select("key"), "key", "rep", number).join(facts, "rep"))
+    number = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").join(asked.select("key").distinct(), "key")
+    rows = cut(star_join(keys, number.select("key"), "key", "rep", number, n).join(facts, "rep"))
     x, y = rows.join(strange, "rep", "left_semi").alias("x"), rows.alias("y")
     return x.join(y, (F.col("x.key") == F.col("y.key")) & may("x", "y")).select(*ordered("x.rep", "y.rep"))
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-#: A key is heavy with more than this share of an average partition's rows, and with more than LEAST rows.
-SHARE, LEAST = 0.25, 256
+from docweave.session import cut
+
+#: A key is heavy with more than this share of an average partition's rows, and with more than LEAST rows, which are about a megabyte.
+SHARE, LEAST = 0.25, 1 << 16
 
 
 def heavy_keys(counts: DataFrame, key: str) -> DataFrame | None:
@@ -20,12 +22,19 @@ def heavy_keys(counts: DataFrame, key: str) -> DataFrame | None:
     return counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("__salts"))
 
 
-def star_join(many: DataFrame, one: DataFrame, key: str, by: str, counts: DataFrame) -> DataFrame:
-    """Inner join of `many` with `one`, which has a row a key at most; a heavy key's rows are dealt by `by`, and its one row is repeated for each deal. counts: (key, n), written."""
-    heavy = heavy_keys(counts, key)
+def star_join(many: DataFrame, one: DataFrame, key: str, by: str, counts: DataFrame, rows: int | None = None) -> DataFrame:
+    """Inner join of `many` with `one`, which has a row a key at most; a heavy key's rows are dealt by `by`, and its one row is repeated for each deal. counts: (key, n). rows: how many `many` has, if that is known; few rows have no heavy key."""
+    heavy = None if rows is not None and rows <= LEAST else heavy_keys(counts, key)
     if heavy is None:
         return many.join(one, key)
     heavy, salts = F.broadcast(heavy), F.coalesce("__salts", F.lit(1))
     dealt = many.join(heavy, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("__salts")
     repeated = one.join(heavy, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
     return dealt.join(repeated, [key, "__salt"]).drop("__salt")
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """`df` as a written table, and its number of rows, seen while it is written."""
+    seen = Observation()
+    table = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return table, seen.get["n"]

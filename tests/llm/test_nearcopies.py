@@ -78,6 +78,17 @@ def test_components_are_exact(spark):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+def test_components_with_dealt_hubs(spark, monkeypatch):
+    """The paths of large tables: every key of more than a few rows is dealt, and all buckets are large."""
+    monkeypatch.setattr(skew, "LEAST", 4)
+    monkeypatch.setattr("docweave.llm.components.LEAST", 4)
+    monkeypatch.setattr(nearcopies, "SMALL", 3)
+    rows = corpus()
+    want = plain_components(plain_sets(rows))
+    got = nearcopies.near_copies(spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_empty_table(spark):
     assert nearcopies.near_copies(spark.createDataFrame([], SCHEMA)).collect() == []
 
@@ -97,7 +108,8 @@ def test_linked_sets_share_a_rare_shingle():
             assert first[0] & first[1]
 
 
-def test_hot_keys_are_dealt_to_several_tasks(spark):
+def test_hot_keys_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 256)
     rows = spark.range(20_000).selectExpr("if(id % 3 = 0, 7, id) as key", "id as row")
     counts = rows.groupBy("key").count().withColumnRenamed("count", "n")
     one = spark.range(20_000).selectExpr("id as key", "id * 2 as twice").union(spark.createDataFrame([(99_999, 0)], "key long, twice long"))
