@@ -1,4 +1,8 @@
-"""Documents to passages: lines, headings, sections, and packing by a token budget."""
+"""Documents to passages: lines, headings, regions, packing by a token budget, and merging of small passages.
+
+All of it is windows over a document's lines and folds over its regions; a document is as large as one row may be.
+Tokens are counted by `tokens`, a quarter of the characters.
+"""
 
 from __future__ import annotations
 
@@ -6,38 +10,173 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Tokens of a chunk, and tokens under which a line joins the chunk before it whatever its section.
-MOST, LEAST = 256, 8
+from docweave.functions.matching import gathered
+
+#: Tokens of a passage, tokens that pieces of a long paragraph share, tokens under which a passage joins its neighbour.
+SIZE, OVERLAP, LEAST = 256, 40, 32
+#: What a list item begins with.
+ITEM = r"^\s*(?:[-*+]\s|[-*+]\[[ x]\]\s|[0-9]+[.)]\s)"
+FENCE = r"^(`{3,}|~{3,})"
+
+
+def tokens(text: Column) -> Column:
+    return F.ceil(F.length(text) / 4).cast("long")
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, n, line, offset of each line that isn't blank."""
+    """doc_id, n, line, offset of each line."""
     split = docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("parts"))
     rows = split.select("doc_id", F.posexplode("parts").alias("n", "line"))
     before = W.partitionBy("doc_id").orderBy("n").rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))).where("trim(line) <> ''")
+    return rows.withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
 
 
 def heading(line: Column) -> Column:
-    """Marked, numbered, named or upper-case lines of at most 200 characters that don't end like a sentence."""
+    """Marked, numbered (in digits or Roman), named or upper-case lines of at most 200 characters that don't end like a sentence."""
     bare = F.trim(line)
-    shape = bare.rlike(r"^#{1,6}\s+\S") | bare.rlike(r"^[0-9]+(\.[0-9]+)*\.?\s+\p{Lu}") | bare.rlike(r"^[IVXLC]+\.\s+\p{Lu}") | bare.rlike(r"(?i)^(section|chapter|part|appendix)\s+\S") | bare.rlike(r"^[\p{Lu}0-9][\p{Lu}0-9 \-]{3,}$")
-    return shape & (F.length(bare) <= 200) & (bare.rlike(r"^#") | ~bare.rlike(r"[.!?;:]$"))
+    shape = bare.rlike(r"^#{1,6}\s+.") | bare.rlike(r"^[0-9]+(\.[0-9]+)*[.)]?\s+.") | bare.rlike(r"(?i)^[IVXLCDM]+[.)]\s+.") | bare.rlike(r"(?i)^(section|chapter|part|appendix)\s+[0-9IVXLCDMA]+[\s:].")
+    upper = (F.upper(bare) == bare) & (F.lower(bare) != bare) & (F.length(bare) > 3)
+    return (bare != "") & (F.length(bare) <= 200) & ~bare.rlike(r"[.!?;:]$") & (shape | upper)
+
+
+def headings(rows: DataFrame) -> DataFrame:
+    """doc_id, offset, title of the headings among lines: those of `heading`, and lines that are underlined."""
+    after = F.lead("line").over(W.partitionBy("doc_id").orderBy("n"))
+    under = F.coalesce(after.rlike(r"^[=\-]+\s*$"), F.lit(False)) & (F.trim("line") != "")
+    return rows.withColumn("title", F.when(heading(F.col("line")) | under, F.trim("line"))).where("title is not null").select("doc_id", "offset", "title")
+
 
+def fences(rows: DataFrame) -> DataFrame:
+    """doc_id and its fenced stretches: first and last line. A fence is closed by one of the same sign that is no shorter; an open one goes to the end."""
+    mark = F.regexp_extract(F.trim("line"), FENCE, 1)
+    found = rows.where(F.trim("line").rlike(FENCE)).select("doc_id", F.struct("n", F.substring(mark, 1, 1).alias("sign"), F.length(mark).alias("size"), F.length(F.trim("line")).alias("length")).alias("f"))
+    kind = "struct<first:int,last:int>"
+    none = F.struct(F.lit(-1).alias("n"), F.lit("").alias("sign"), F.lit(0).alias("size"))
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, chunk_index, section, start, tokens, content.
+    def step(open_: Column, f: Column) -> tuple[Column, Column]:
+        begins, closes = open_["n"] < 0, (f["sign"] == open_["sign"]) & (f["length"] >= open_["size"])
+        state = F.when(begins, F.struct(f["n"].alias("n"), f["sign"].alias("sign"), f["size"].alias("size"))).when(closes, none).otherwise(open_)
+        out = F.array(F.struct(open_["n"].alias("first"), f["n"].alias("last")))
+        return state, F.when(~begins & closes, out).otherwise(F.array().cast(f"array<{kind}>"))
 
-    Lines are packed in order: a chunk ends at a heading, or where the tokens since the section's begin pass a
-    multiple of MOST. All of it is window sums over a document's lines.
-    """
+    last = lambda s: F.when(s["n"] >= 0, F.array(F.struct(s["n"].alias("first"), F.lit(2**31 - 1).alias("last")))).otherwise(F.array().cast(f"array<{kind}>"))
+    return found.groupBy("doc_id").agg(F.array_sort(F.collect_list("f")).alias("f")).select("doc_id", gathered(F.col("f"), none, kind, step, last).alias("fenced"))  # lines of one document
+
+
+def regions(rows: DataFrame) -> DataFrame:
+    """doc_id, region, type, content, offset: stretches of lines of one kind (code, table, list, paragraph), and single headings and breaks; blank lines part all but code."""
     own = W.partitionBy("doc_id").orderBy("n")
-    rows = lines(docs).withColumn("tokens", F.ceil(F.length("line") / 4).cast("long")).withColumn("head", heading(F.col("line")))
-    rows = rows.withColumn("part", F.sum(F.col("head").cast("int")).over(own)).withColumn("section", F.last(F.when(F.col("head"), F.trim("line")), ignorenulls=True).over(own))
-    inside = W.partitionBy("doc_id", "part").orderBy("n")
-    rows = rows.withColumn("block", F.floor((F.sum("tokens").over(inside) - F.least("tokens", F.lit(LEAST))) / MOST))
-    packed = rows.groupBy("doc_id", "part", "block").agg(
-        F.first("section").alias("section"), F.min("offset").alias("start"), F.sum("tokens").alias("tokens"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda s: s["line"]), "\n").alias("content"),
+    bare = F.trim("line")
+    rows = rows.join(fences(rows), "doc_id", "left")
+    code = F.get(F.filter(F.coalesce("fenced", F.array().cast("array<struct<first:int,last:int>>")), lambda f: (F.col("n") >= f["first"]) & (F.col("n") <= f["last"])), 0)["first"]
+    kind = (
+        F.when(F.col("code").isNotNull(), "code").when(bare == "", "blank").when(bare.rlike(r"^(-{3,}|\*{3,}|_{3,})\s*$"), "break").when(bare.rlike(r"^\|.+\|$"), "table")
+        .when(bare.rlike(ITEM), "list").when(heading(F.col("line")), "heading").otherwise("paragraph")
     )
-    return packed.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("part", "block")) - 1).alias("chunk_index"), "section", "start", "tokens", "content")
+    rows = rows.withColumn("code", code).withColumn("type", kind).drop("fenced")
+    before = F.lag("type").over(own)
+    begins = before.isNull() | (F.col("type") != before) | F.col("type").isin("heading", "break") | ((F.col("type") == "code") & (F.col("code") == F.col("n")))
+    rows = rows.withColumn("begins", begins.cast("int")).withColumn("region", F.sum("begins").over(own)).where("type <> 'blank'")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda s: s["line"])
+    out = rows.groupBy("doc_id", "region").agg(F.first("type").alias("type"), F.array_join(listed, "\n").alias("content"), F.min("offset").alias("offset"))
+    return out.withColumn("content", F.when(F.col("type").isin("heading", "break"), F.trim("content")).otherwise(F.col("content")))
+
+
+def pieces(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """(start, content) of a long paragraph's pieces of at most `size` tokens: of whole lines if each fits, else of words; a word too long is cut. A piece begins with as much of the one before as `overlap` tokens hold."""
+    most, share = 4 * size, 4 * overlap
+    by_line = F.split(text, "\n")
+    fits = ~F.exists(by_line, lambda s: F.length(s) > most)
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.greatest((F.length(w) - 1) / most, F.lit(0)).cast("int")), lambda i: F.substring(w, i * most + 1, F.lit(most)))
+    units = F.when(fits, by_line).otherwise(F.flatten(F.transform(F.split(text, r"[ \n]"), cut)))
+    sep = F.when(fits, "\n").otherwise(" ")
+    kind, span = "struct<start:int,content:string>", "struct<a:int,b:int>"
+
+    def made(u: Column) -> Column:
+        size_of = lambda a, b: F.length(F.array_join(F.slice(u, a + 1, b - a + 1), " "))  # noqa: E731  of units a to b
+        state = F.struct(F.lit(0).alias("a"), F.lit(0).alias("held"))
+
+        def step(s: Column, i: Column) -> tuple[Column, Column]:
+            n = F.length(u[i])
+            over = (s["held"] > 0) & (s["held"] + 1 + n > most)
+            tail = F.filter(F.sequence(s["a"] + 1, F.greatest(i, s["a"] + 1)), lambda k: (k >= i) | ((size_of(k, i - 1) <= share) & (size_of(k, i - 1) + 1 + n <= most)))
+            again = F.least(tail[0], i)
+            new = F.when(over, F.struct(again.alias("a"), size_of(again, i).alias("held"))).otherwise(F.struct(s["a"].alias("a"), F.when(s["held"] > 0, s["held"] + 1 + n).otherwise(n).alias("held")))
+            return new, F.when(over, F.array(F.struct(s["a"].alias("a"), (i - 1).alias("b")))).otherwise(F.array().cast(f"array<{span}>"))
+
+        last = lambda s: F.array(F.struct(s["a"].alias("a"), (F.size(u) - 1).alias("b")))
+        spans = gathered(F.sequence(F.lit(0), F.size(u) - 1), state, span, step, last)
+        start = lambda a: F.when(a == 0, F.lit(0)).otherwise(F.length(F.array_join(F.slice(u, F.lit(1), a), " ")) + 1)
+        return F.transform(spans, lambda s: F.struct(start(s["a"]).alias("start"), F.array_join(F.slice(u, s["a"] + 1, s["b"] - s["a"] + 1), "\x00").alias("content")))
+
+    raw = F.transform(F.array(units), made)[0]
+    out = F.transform(raw, lambda p: F.struct(p["start"].alias("start"), F.replace(p["content"], F.lit("\x00"), sep).alias("content")))
+    return F.filter(out, lambda p: F.trim(p["content"]) != "").cast(f"array<{kind}>")
+
+
+def packed(parts: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, place, offset, content of passages: regions in order as long as they fit; a heading or a break begins a new one; a long paragraph that comes first in one is cut."""
+    rows = parts.withColumn("tokens", tokens(F.col("content")))
+    kind = "struct<region:bigint,no:int,cut:boolean>"
+    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("region", "type", "tokens"))).alias("r"))  # regions of one document
+    state = F.struct(F.lit(0).alias("no"), F.lit(0).cast("long").alias("held"), F.lit(False).alias("open"))
+
+    def step(s: Column, r: Column) -> tuple[Column, Column]:
+        after = s["no"] + F.when(s["open"], 1).otherwise(0)
+        made = lambda no, held, open_: F.struct(no.alias("no"), held.cast("long").alias("held"), F.lit(open_).alias("open"))
+        fits = s["held"] + r["tokens"] <= size
+        alone = ~s["open"] & ~fits
+        new = (
+            F.when(r["type"] == "break", made(after, F.lit(0), False)).when(r["type"] == "heading", made(after, r["tokens"], True)).when(fits, made(s["no"], s["held"] + r["tokens"], True))
+            .when(alone, made(s["no"] + 1, F.lit(0), False)).otherwise(made(s["no"] + 1, r["tokens"], True))
+        )
+        no = F.when(r["type"] == "heading", after).when(fits | alone, s["no"]).otherwise(s["no"] + 1)
+        one = F.array(F.struct(r["region"].alias("region"), no.alias("no"), (alone & (r["type"] == "paragraph")).alias("cut")))
+        return new, F.when(r["type"] == "break", F.array().cast(f"array<{kind}>")).otherwise(one)
+
+    numbered = listed.select("doc_id", F.explode(gathered(F.col("r"), state, kind, step)).alias("x")).select("doc_id", "x.region", "x.no", "x.cut")
+    rows = rows.join(numbered, ["doc_id", "region"])
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("region", "content"))), lambda s: s["content"])
+    kept = rows.where("not cut").groupBy("doc_id", "no").agg(F.min("offset").alias("offset"), F.array_join(whole, "\n\n").alias("content")).select("doc_id", "no", F.lit(0).alias("piece"), "offset", "content")
+    split = rows.where("cut").select("doc_id", "no", "offset", F.posexplode(pieces(F.col("content"), size)).alias("piece", "p"))
+    rows = kept.union(split.select("doc_id", "no", "piece", F.col("offset") + F.col("p.start"), "p.content"))
+    return rows.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("no", "piece")) - 1).alias("place"), "offset", "content")
+
+
+def merged(rows: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
+    """Passages after those of fewer than `least` tokens have joined the one before them, as long as both fit; a small first one joins the next."""
+    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", F.length("content").alias("length")))).alias("r"))  # passages of one document
+    kind = "struct<place:int,into:int>"
+    count = lambda n: F.ceil(n / 4)
+    state = F.struct(F.lit(-1).alias("into"), F.lit(0).alias("length"))
+
+    def step(s: Column, r: Column) -> tuple[Column, Column]:
+        joins = (s["into"] >= 0) & (count(r["length"]) < least) & (count(s["length"]) + count(r["length"]) <= size)
+        into = F.when(joins, s["into"]).otherwise(r["place"])
+        return F.struct(into.alias("into"), F.when(joins, s["length"] + 1 + r["length"]).otherwise(r["length"]).alias("length")), F.array(F.struct(r["place"].alias("place"), into.alias("into")))
+
+    groups = listed.select("doc_id", F.explode(gathered(F.col("r"), state, kind, step)).alias("x")).select("doc_id", "x.place", "x.into")
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "content"))), lambda s: s["content"]), "\n")
+    once = rows.join(groups, ["doc_id", "place"]).groupBy("doc_id", "into").agg(F.min("offset").alias("offset"), content.alias("content"))
+    own = W.partitionBy("doc_id").orderBy("into")
+    first = once.withColumns({"no": F.row_number().over(own), "next": F.lead("content").over(own)})
+    joins = (F.col("no") == 1) & F.col("next").isNotNull() & (tokens(F.col("content")) < least) & (tokens(F.col("content")) + tokens(F.col("next")) <= size)
+    marked = first.withColumn("joins", joins).withColumn("after", F.lag("joins").over(own))
+    kept = marked.where("not coalesce(after, false)").select("doc_id", "offset", F.when(F.col("joins"), F.concat_ws("\n", "content", "next")).otherwise(F.col("content")).alias("content"))
+    return kept.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("offset")) - 1).alias("chunk_index"), "offset", "content")
+
+
+def chunks(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
+    """doc_id, chunk_index, section, start, tokens, content; section: the last heading at or before the passage's beginning."""
+    rows = lines(docs)
+    done = merged(packed(regions(rows), size), size, least)
+    out = section_of(done, headings(rows))
+    return out.select("doc_id", "chunk_index", F.col("title").alias("section"), F.col("offset").alias("start"), tokens(F.col("content")).alias("tokens"), "content")
+
+
+def section_of(rows: DataFrame, titles: DataFrame) -> DataFrame:
+    """Rows (doc_id, offset, ...) with title: the last heading (doc_id, offset, title) of the document at or before the offset."""
+    none = F.array().cast("array<struct<offset:bigint,title:string>>")
+    listed = titles.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("offset").cast("bigint").alias("offset"), "title"))).alias("titles"))  # headings of one document
+    before = F.filter(F.coalesce("titles", none), lambda t: t["offset"] <= F.col("offset"))
+    return rows.join(listed, "doc_id", "left").withColumn("title", F.try_element_at(before, F.lit(-1))["title"]).drop("titles")

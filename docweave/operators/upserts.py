@@ -22,6 +22,13 @@ def updated(rows: DataFrame, where: Column, values: dict[str, Column]) -> DataFr
     return rows.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
+def patched(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Old rows with those values of the new ones of their keys that aren't null."""
+    names = [c for c in new.columns if c not in keys]
+    fresh = new.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in names])
+    return old.join(fresh, keys, "left").select(*[F.coalesce(f"__new_{c}", c).alias(c) if c in names else F.col(c) for c in old.columns])
+
+
 def deleted(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(keys.select(*on).distinct(), on, "left_anti")
 

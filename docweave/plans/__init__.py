@@ -9,6 +9,7 @@ from docweave.plans import (  # noqa: F401
     relational_queries,
     retrieval_queries,
     search_queries,
+    state_queries,
     text_queries,
     understanding_queries,
 )

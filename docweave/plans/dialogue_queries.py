@@ -65,13 +65,13 @@ def me07(spark, sf):
     return upserts.updated(m, due, {"status": F.lit("expired")}).drop("expires_at")
 
 
-@query("el10_slices", "select coalesce(lang, 'all') as slice, count(*) as n, avg(quality) as quality, quantile_cont(n_chars, 0.95) as p95 from documents join labels using (doc_id) group by grouping sets ((lang), ())")
+@query("el10_slices", "select case when grouping(lang) = 1 then 'all' else coalesce(lang, '(none)') end as slice, count(*) as n, avg(quality) as quality, quantile_cont(n_chars, 0.95) as p95 from documents join labels using (doc_id) group by grouping sets ((lang), ())")
 def el10(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("lang", "quality", "n_chars")
     one, every = F.struct(F.col("lang"), F.lit(False).alias("whole")), F.struct(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("whole"))
     d = d.select(F.explode(F.array(one, every)).alias("key"), "quality", "n_chars")
     means = d.groupBy("key").agg(F.count("*").alias("n"), F.avg("quality").alias("quality"))
-    return rel.with_columns_of(means, rel.percentiles(d, "key", "n_chars", {"p95": 0.95}), "key").select(F.coalesce("key.lang", F.lit("all")).alias("slice"), "n", "quality", "p95")
+    return rel.with_columns_of(means, rel.percentiles(d, "key", "n_chars", {"p95": 0.95}), "key").select(F.when(F.col("key.whole"), "all").otherwise(F.coalesce("key.lang", F.lit("(none)"))).alias("slice"), "n", "quality", "p95")
 
 
 @query("el11_floors", "select count(*) filter (quality = 1) / count(*)::double as good, count(*) filter (quality = 1) / count(*)::double >= 0.5 as passed from labels")
@@ -80,26 +80,6 @@ def el11(spark, sf):
     return table(spark, sf, "labels").agg(share.alias("good"), (share >= 0.5).alias("passed"))
 
 
-@query("in01_orphan_points", "select vec_id from embeddings where vec_id not in (select doc_id from documents where doc_id % 13 <> 0)")
-def in01(spark, sf):
-    live = corpus.documents(spark, sf).where("not deleted").select(F.col("doc_id").alias("vec_id"))
-    return table(spark, sf, "embeddings").select("vec_id").join(live, "vec_id", "left_anti")
-
-
-@query("in02_duplicate_payloads", "select min(doc_id) as doc_id, count(*) as n from documents group by text having count(*) > 1")
-def in02(spark, sf):
-    return table(spark, sf, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n > 1").drop("text")
-
-
-@query("in05_three_way", "select coalesce(d.doc_id, v.vec_id) as id, case when v.vec_id is null then 'stale' when d.doc_id is null then 'orphan' when l.doc_id is null then 'unlabelled' else 'valid' end as state from documents d full join embeddings v on d.doc_id = v.vec_id left join (select distinct doc_id from labels) l on l.doc_id = d.doc_id")
-def in05(spark, sf):
-    d, v = table(spark, sf, "documents").select("doc_id"), table(spark, sf, "embeddings").select("vec_id")
-    l = table(spark, sf, "labels").select(F.col("doc_id").alias("known")).distinct()
-    rows = d.join(v, F.col("doc_id") == F.col("vec_id"), "full").join(l, F.col("doc_id") == F.col("known"), "left")
-    state = F.when(F.col("vec_id").isNull(), "stale").when(F.col("doc_id").isNull(), "orphan").when(F.col("known").isNull(), "unlabelled").otherwise("valid")
-    return rows.select(F.coalesce("doc_id", "vec_id").alias("id"), state.alias("state"))
-
-
 @query("in06_dimensions", "select len(embedding)::int as dims, count(*) as n from embeddings group by all")
 def in06(spark, sf):
     return table(spark, sf, "embeddings").groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n"))
@@ -110,12 +90,6 @@ def in08(spark, sf):
     return corpus.chunks(spark, sf).agg(F.count_if(F.trim("content") == "").alias("blank"), F.count_if(F.col("tokens") == 0).alias("empty"), F.count_if(F.col("tokens") > 200).alias("large"))
 
 
-@query("in09_snapshot", "select 'documents' as name, count(*) as n, coalesce(sum(n_chars), 0)::bigint as total from documents union all select 'orders', count(*), sum(o_custkey)::bigint from orders")
-def in09(spark, sf):
-    one = lambda t, c: table(spark, sf, t).agg(F.lit(t).alias("name"), F.count("*").alias("n"), F.coalesce(F.sum(c), F.lit(0)).alias("total"))
-    return one("documents", "n_chars").union(one("orders", "o_custkey"))
-
-
 _SPLIT = "old as (select o_orderkey, o_orderstatus, o_totalprice from orders where o_orderkey % 3 <> 0), new as (select o_orderkey, 'N' as o_orderstatus, o_totalprice from orders where o_orderkey % 2 = 0)"
 
 
@@ -129,8 +103,8 @@ def snk01(spark, sf):
     return upserts.upserted(*_split(spark, sf), ["o_orderkey"])
 
 
-@query("snk02_insert_missing", f"with {_SPLIT} select * from old union all select * from new where o_orderkey not in (select o_orderkey from old)")
-def snk02(spark, sf):
+@query("snk08_insert_missing", f"with {_SPLIT} select * from old union all select * from new where o_orderkey not in (select o_orderkey from old)")
+def snk08(spark, sf):
     return upserts.inserted(*_split(spark, sf), ["o_orderkey"])
 
 
@@ -139,8 +113,8 @@ def snk03(spark, sf):
     return upserts.updated(table(spark, sf, "orders"), F.col("o_totalprice") > 100000, {"o_orderstatus": F.lit("L")}).select("o_orderkey", "o_orderstatus")
 
 
-@query("snk04_delete_cascade", "select l_orderkey, l_linenumber from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')")
-def snk04(spark, sf):
+@query("snk02_deleted_rows", "select l_orderkey, l_linenumber from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')")
+def snk02_deleted(spark, sf):
     gone = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
     return upserts.deleted(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), gone, ["l_orderkey"])
 

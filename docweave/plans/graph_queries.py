@@ -101,8 +101,3 @@ def jn12(spark, sf):
 def jn13(spark, sf):
     n = corpus.nodes(spark, sf).where("type in ('Region', 'Nation')").select("id")
     return n.join(graph.both_ways(corpus.edges(spark, sf)).select(F.col("node").alias("id"), "other"), "id", "left").select("id", "other")
-
-
-@query("in04_orphan_nodes", sql("nodes", "edges", rest="select id, type from nodes where id not in (select src from edges union all select dst from edges)"))
-def in04(spark, sf):
-    return graph.orphans(corpus.nodes(spark, sf), corpus.edges(spark, sf)).select("id", "type")

@@ -76,6 +76,16 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def structured(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports with marks: doc_id, text with headings, fenced code, a table, a list, a break and long paragraphs."""
+    r = reports(spark, sf)
+    text = F.concat(
+        F.lit("# "), "title", F.lit("\n\n"), "content", F.lit("\n\n1.2 Readings\n```\n# no heading\n\n- no item\n```\n| tag | value |\n| a | "), F.col("doc_id").cast("string"),
+        F.lit(" |\n- first item\n- second item\n\nOVERVIEW\n"), F.repeat(F.concat("content", F.lit(" ")), F.col("doc_id") % 13 + 1), F.lit("\n\n---\nShort.\n\nUnderlined\n======\n~~~\nopen code\n"), "content",
+    )
+    return r.select("doc_id", text.alias("text"))
+
+
 def placed_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes with confidence, document and source_document; regions and nations belong to no document."""
     n = F.substring("id", 2, 20).cast("long")
@@ -128,6 +138,9 @@ SQL = {
   || chr(10) || 'Inspection was performed by Engineer ' || upper(substring(p_name, 1, 1)) || substring(p_name, 2, 4) || '. See SOP-' || lpad(cast(doc_id % 40 as varchar), 3, '0') || ' and INC-2024-' || lpad(cast(doc_id % 97 as varchar), 3, '0') || '.' as content
   from (select p_partkey as doc_id, p_brand, p_name, 'P-' || (p_partkey % 900 + 100) as pump, 'T-' || (p_size + 100) as tank, 'V-' || (p_size + 200) as valve,
     ['Inspection_Report', 'Incident', 'Equipment_Register', 'Notes'][p_partkey % 4 + 1] as kind from part))""",
+    "structured": """structured as (select doc_id, '# ' || title || chr(10) || chr(10) || content || chr(10) || chr(10) || '1.2 Readings' || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || chr(10) || '- no item' || chr(10) || '```' || chr(10)
+  || '| tag | value |' || chr(10) || '| a | ' || doc_id || ' |' || chr(10) || '- first item' || chr(10) || '- second item' || chr(10) || chr(10) || 'OVERVIEW' || chr(10) || repeat(content || ' ', doc_id % 13 + 1) || chr(10) || chr(10)
+  || '---' || chr(10) || 'Short.' || chr(10) || chr(10) || 'Underlined' || chr(10) || '======' || chr(10) || '~~~' || chr(10) || 'open code' || chr(10) || content as text from reports)""",
     "pnodes": """pnodes as (select id, type, name, 0.5 + n % 5 / 10 as confidence, doc as document, case when n % 3 = 0 then doc || '.txt' end as source from (
   select *, cast(substring(id, 2) as bigint) as n, case when type in ('Customer', 'Supplier') then 'doc-' || (cast(substring(id, 2) as bigint) % 5) end as doc from nodes))""",
     "pedges": """pedges as (select src, dst, type, confidence, doc as document, case when n % 2 = 0 then doc || '.txt' end as source from (
