@@ -23,7 +23,7 @@ def tx03(spark, sf):
     return chunking.headings(chunking.lines(corpus.structured(spark, sf)))
 
 
-@query("wn05_section_titles", sql("reports", "structured", rest=f", {_HEADINGS}, asked as (select doc_id, unnest([0, 50, 200, 400, 900]) as "offset" from structured) select a.doc_id, a."offset", arg_max(title, t."offset") as title from asked a left join titles t on t.doc_id = a.doc_id and t."offset" <= a."offset" group by all"))
+@query("wn05_section_titles", sql("reports", "structured", rest=f", {_HEADINGS}, asked as (select doc_id, unnest([0, 50, 200, 400, 900]) as off from structured) select a.doc_id, a.off as \"offset\", arg_max(title, t.\"offset\") as title from asked a left join titles t on t.doc_id = a.doc_id and t.\"offset\" <= a.off group by all"))
 def wn05(spark, sf):
     asked = corpus.structured(spark, sf).select("doc_id", F.explode(F.array(*[F.lit(n) for n in (0, 50, 200, 400, 900)])).alias("offset"))
     return chunking.section_of(asked, chunking.headings(chunking.lines(corpus.structured(spark, sf)))).select("doc_id", "offset", "title")
