@@ -69,6 +69,15 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.drop("text")
 
 
+def columns_of(query, *names: str):
+    """A query's columns that SQL can express, so that they can be compared with it."""
+    return lambda spark, sf_dir: query(spark, sf_dir).select(*names)
+
+
+def unigram_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_gru_scores(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
 QUERIES = {
     "op1_telephony": op1_telephony,
     "op2_neighbour_votes": op2_neighbour_votes,
@@ -80,9 +89,18 @@ QUERIES = {
     "op8_gru_scores": op8_gru_scores,
     "op9_crf_pii": op9_crf_pii,
     "op10_byte_bpe": op10_byte_bpe,
+    "columns1_payloads": columns_of(op1_telephony, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"),
+    "columns5_rules": columns_of(op5_isolation_rules, "doc_id", *rules.BASE, "base_failed"),
+    "columns8_unigrams": unigram_columns,
+    "columns9_patterns": columns_of(op9_crf_pii, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"),
 }
 
 ORACLES: dict[str, str] = {
+    "op3_entropy_secrets": sql.SECRETS,
     "op4_setsketch": sql.NEAR_COPIES,
     "op7_slot_mixing": sql.MIXING,
+    "columns1_payloads": sql.PAYLOADS,
+    "columns5_rules": sql.RULES,
+    "columns8_unigrams": sql.UNIGRAMS,
+    "columns9_patterns": sql.PERSONAL,
 }
