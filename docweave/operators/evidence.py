@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.config import Evidence
@@ -38,22 +38,40 @@ def guarded(statements: DataFrame) -> DataFrame:
     return out.select("answer", F.when(F.size("kept") > 0, F.array_join("kept", " ")).otherwise(FALLBACK).alias("text"), "dropped")
 
 
+#: Most passages of which the keys are broadcast.
+KEYS = 200_000
+
+
 def contained(passages: DataFrame, docs: DataFrame) -> DataFrame:
     """item_id, n_documents: in how many documents each passage occurs word for word.
 
-    Documents are looked up by every window of HEAD words, so no passage meets a document it can't be in; passages
-    of fewer words are short and few, and are looked for in every text.
+    The first and last word of a passage may be parts of a document's words; those between are whole. Documents are
+    looked up by their windows of HEAD words, or of as many whole words as a short passage has, so that no passage
+    meets a document it can't be in. Keys of a moderate number of passages are broadcast. Passages without a whole word
+    are looked for in every text.
     """
     words = lambda c: F.split(c, r"\s+")
     named = passages.select("item_id", F.col("text").alias("passage"), words(F.trim("text")).alias("w"))
-    # the first and last word of a passage may be parts of a document's words
-    long_ = named.where(F.size("w") >= HEAD + 2).select("item_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, HEAD), " ")).alias("key"))
-    heads = docs.select("doc_id", "text", words(F.col("text")).alias("w")).where(F.size("w") >= HEAD)
-    window = F.transform(F.sequence(F.lit(1), F.size("w") - (HEAD - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, HEAD), " ")))
-    keys = heads.select("doc_id", F.explode(F.array_distinct(window)).alias("key"))
-    pairs = keys.join(long_.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
-    hits = pairs.join(long_.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage")))
-    short = named.where(F.size("w") < HEAD + 2).select("item_id", "passage")
-    more = docs.select("doc_id", "text").join(short, F.contains("text", F.col("passage")))
-    found = hits.select("item_id", "doc_id").union(more.select("item_id", "doc_id")).groupBy("item_id").agg(F.count("*").alias("n_documents"))
-    return passages.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n_documents", F.lit(0)).cast("long").alias("n_documents"))
+    named = named.withColumn("m", F.greatest(F.least(F.size("w") - 2, F.lit(HEAD)), F.lit(0)))
+    sizes = {r.m: r.n for r in named.groupBy("m").agg(F.count("*").alias("n")).collect()}  # HEAD + 1 rows at most
+    split = docs.select("doc_id", words(F.col("text")).alias("w"))
+    found = None
+    for m, n in sorted(sizes.items()):
+        own = named.where(F.col("m") == m)
+        if m == 0:
+            hits = docs.select("doc_id", "text").join(own.select("item_id", "passage"), F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+        else:
+            asked = own.select("item_id", F.xxhash64(F.array_join(F.slice("w", 2, m), " ")).alias("key"))
+            keys = split.where(F.size("w") >= m).select("doc_id", F.explode(F.array_distinct(_windows(m))).alias("key"))
+            pairs = keys.join(F.broadcast(asked) if n <= KEYS else asked, "key").select("item_id", "doc_id").distinct()
+            hits = pairs.join(own.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+        found = hits if found is None else found.union(hits)
+    if found is None:
+        return passages.select("item_id", F.lit(0).cast("long").alias("n_documents"))
+    number = found.groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    return passages.select("item_id").join(number, "item_id", "left").select("item_id", F.coalesce("n_documents", F.lit(0)).cast("long").alias("n_documents"))
+
+
+def _windows(m: int) -> Column:
+    """Hashes of the windows of m words of w."""
+    return F.transform(F.sequence(F.lit(1), F.size("w") - (m - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, m), " ")))

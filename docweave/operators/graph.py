@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.session import cut
+from docweave.session import counted, cut
 
 #: Longest walks that are answered.
 MOST_DEPTH, MOST_PATH = 10, 20
@@ -30,14 +30,24 @@ def neighbours(edges: DataFrame, nodes: DataFrame, starts: DataFrame) -> DataFra
     return near.join(nodes.select(F.col("id").alias("other"), F.col("name").alias("neighbour")), "other").select("node", "other", "neighbour", "type", "confidence")
 
 
+#: Most nodes of a frontier that is broadcast, so that a step doesn't shuffle the edges.
+FRONTIER = 100_000
+
+
+def small(frontier: DataFrame, n: int) -> DataFrame:
+    """The frontier of n nodes, to be broadcast if it is small enough."""
+    return F.broadcast(frontier) if n <= FRONTIER else frontier
+
+
 def within_depth(edges: DataFrame, starts: DataFrame, depth: int, types: list[str] | None = None) -> DataFrame:
     """(node, depth): what is reached from the starts, and in how few steps; the starts themselves at 0."""
     links = both_ways(edges, types).select("node", "other")
-    reached = frontier = cut(starts.select("node").distinct().withColumn("depth", F.lit(0)))
+    frontier, n = counted(starts.select("node").distinct().withColumn("depth", F.lit(0)))
+    reached = frontier
     for d in range(1, min(depth, MOST_DEPTH) + 1):
-        step = frontier.join(links, "node").select(F.col("other").alias("node")).distinct().join(reached, "node", "left_anti")
-        frontier = cut(step.withColumn("depth", F.lit(d)))
-        if frontier.isEmpty():
+        step = small(frontier, n).join(links, "node").select(F.col("other").alias("node")).distinct().join(reached, "node", "left_anti")
+        frontier, n = counted(step.withColumn("depth", F.lit(d)))
+        if not n:
             break
         reached = reached.unionByName(frontier)
     return reached
@@ -46,14 +56,14 @@ def within_depth(edges: DataFrame, starts: DataFrame, depth: int, types: list[st
 def shortest_path(edges: DataFrame, source: str, target: str, depth: int = MOST_PATH) -> DataFrame:
     """(path, length) of one shortest undirected path, that of the least predecessors; no row if there is none."""
     links = both_ways(edges).select("node", "other")
-    frontier = cut(edges.sparkSession.createDataFrame([(source, [source])], "node string, path array<string>"))
+    frontier, n = counted(edges.sparkSession.createDataFrame([(source, [source])], "node string, path array<string>"))
     seen = frontier.select("node")
     for _ in range(min(depth, MOST_PATH) + 1):
         found = frontier.where(F.col("node") == target)
-        if not found.isEmpty() or frontier.isEmpty():
+        if not n or not found.isEmpty():
             break
-        step = frontier.join(links, "node").groupBy(F.col("other").alias("node")).agg(F.min("path").alias("path")).join(seen, "node", "left_anti")
-        frontier = cut(step.select("node", F.concat("path", F.array("node")).alias("path")))
+        step = small(frontier, n).join(links, "node").groupBy(F.col("other").alias("node")).agg(F.min("path").alias("path")).join(seen, "node", "left_anti")
+        frontier, n = counted(step.select("node", F.concat("path", F.array("node")).alias("path")))
         seen = seen.union(frontier.select("node"))
     return frontier.where(F.col("node") == target).select("path", (F.size("path") - 1).alias("length"))
 

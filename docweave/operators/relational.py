@@ -99,3 +99,10 @@ def percentiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -
 def with_columns_of(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left's rows with the other columns of right's row of the same key, null keys included; right has few rows."""
     return left.join(F.broadcast(right.withColumnRenamed(key, "__other")), F.col(key).eqNullSafe(F.col("__other")), "left").drop("__other")
+
+
+def not_in(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not in the others', as SQL's NOT IN has it: none if the others hold a null, and none of a null key unless the others are empty."""
+    facts = others.agg(F.coalesce(F.max(F.col(key).isNull()), F.lit(False)).alias("__null"), F.count("*").alias("__n"))
+    marked = rows.join(F.broadcast(facts)).where("__n = 0 or (not __null and " + key + " is not null)")  # with one row
+    return marked.drop("__null", "__n").join(others.select(key), key, "left_anti")

@@ -38,6 +38,31 @@ def keyword(chunks: DataFrame, terms: Column, k: int, offset: int = 0) -> DataFr
     return top(scored, k, offset)
 
 
+def top_of_each(df: DataFrame, key: str, k: int, score: str = "score", item: str = "id") -> DataFrame:
+    """The k best rows of each key with their rank; Spark cuts each task's rows to k of a key before they are shuffled."""
+    own = W.partitionBy(key).orderBy(F.col(score).desc_nulls_last(), F.col(item))
+    return df.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+
+
+def keyword_batch(chunks: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """question, id, score, rank: for each of many questions (question, words) the k chunks (id, content) that hold the greatest share of its words. Chunks are taken to words once, and only those that some question asks for are kept."""
+    asked = questions.select("question", F.explode(F.array_distinct("words")).alias("word"), F.size(F.array_distinct("words")).alias("n"))
+    said = chunks.select("id", F.explode(F.array_distinct(tx.words_of(F.col("content")))).alias("word")).join(asked, "word")
+    scored = said.groupBy("question", "id").agg(F.count("*").alias("hits"), F.max("n").alias("n")).select("question", "id", F.round(F.col("hits") / F.col("n"), DIGITS).alias("score"))
+    return top_of_each(scored, "question", k)
+
+
+def fused_batch(arms: list[DataFrame], k: int, constant: int = SEARCH.rrf_constant) -> DataFrame:
+    """question, id, score, rank: reciprocal rank fusion of arms (question, id, score, rank), question by question; with one arm empty for it, the other's own scores stand."""
+    hits = None
+    for i, arm in enumerate(arms):
+        one = arm.select("question", "id", "score", "rank", F.lit(i).alias("arm"))
+        hits = one if hits is None else hits.union(one)
+    arms_of = hits.groupBy("question").agg(F.count_distinct("arm").alias("arms"))
+    summed = hits.join(arms_of, "question").groupBy("question", "id").agg(F.round(F.when(F.max("arms") > 1, F.sum(1.0 / (constant + F.col("rank")))).otherwise(F.max("score")), DIGITS).alias("score"))
+    return top_of_each(summed, "question", k)
+
+
 def fused(arms: list[DataFrame], k: int, constant: int = SEARCH.rrf_constant) -> DataFrame:
     """Reciprocal rank fusion of arms (id, score). With one arm empty, the other's own scores stand."""
     marked = [ranked(a.select("id", "score")).select("id", "score", "rank", F.lit(i).alias("arm")) for i, a in enumerate(arms)]

@@ -27,6 +27,7 @@ def ge03(spark, sf):
     return j.cube("c_mktsegment", "o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@query("ge04_customers_without_orders", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("ge04_customers_without_urgent_orders", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 def ge04(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    return table(spark, sf, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")

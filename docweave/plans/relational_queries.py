@@ -14,9 +14,9 @@ from docweave.sources.corpus import sql, table
 # filters, projections, pages
 
 
-@query("flt01_document_list", sql("docs", rest="select doc_id, filename, status from docs where not deleted and (filename ilike '%heard%' or text ilike '%heard%') and status = 'review' and lang = 'en'"))
+@query("flt01_document_list", sql("docs", rest="select doc_id, filename, status from docs where not deleted and (filename ilike '%THE%' or text ilike '%THE%') and status = 'review' and lang = 'en'"))
 def flt01(spark, sf):
-    return rel.documents_where(corpus.documents(spark, sf), search="heard", status="review", language="en").select("doc_id", "filename", "status")
+    return rel.documents_where(corpus.documents(spark, sf), search="THE", status="review", language="en").select("doc_id", "filename", "status")
 
 
 @query("flt02_payload_filter", sql("docs", rest="select doc_id, lang, uploaded_by, created_at from docs where lang = 'de' and uploaded_by = 'src4' and created_at between timestamp '2024-01-01 01:00:00' and timestamp '2024-01-01 12:00:00'"))
@@ -179,12 +179,14 @@ def jn06(spark, sf):
 
 @query("jn07_not_extracted", "select doc_id from documents where doc_id not in (select doc_id from labels)")
 def jn07(spark, sf):
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id")
+    return rel.not_in(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id"), "doc_id")
 
 
-@query("jn08_without_chunks", sql("chunks", rest="select c_custkey from customer where c_custkey not in (select o_custkey from orders)"))
+@query("jn08_without_chunks", sql("chunks", rest="select doc_id from documents where doc_id not in (select document from chunks where length(content) > 400)"))
 def jn08(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Documents without a long passage."""
+    held = corpus.chunks(spark, sf).where("length(content) > 400").select(F.col("document").alias("doc_id"))
+    return table(spark, sf, "documents").select("doc_id").join(held, "doc_id", "left_anti")
 
 
 @query("jn09_single_version", "select c_custkey from customer where (select count(*) from orders where o_custkey = c_custkey) <= 1")
@@ -342,10 +344,10 @@ def wn13(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n"))
 
 
-@query("wn15_evicted", "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) > 100")
+@query("wn15_evicted", "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) > 20")
 def wn15(spark, sf):
     own = W.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return table(spark, sf, "events").withColumn("n", F.row_number().over(own)).where("n > 100").select("user_id", "event_id")
+    return table(spark, sf, "events").withColumn("n", F.row_number().over(own)).where("n > 20").select("user_id", "event_id")
 
 
 # set operations

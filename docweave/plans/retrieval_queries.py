@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docweave.config import CONTEXT
 from docweave.functions import text as tx
 from docweave.operators import graph, retrieval, search
+from docweave.operators.nearest import nearest
 from docweave.plans.registry import query
 from docweave.plans.search_queries import _CONTEXT_HITS, _KEPT_HITS, _SEMANTIC, context_hits, placed_hits
 from docweave.sources import corpus
@@ -100,6 +101,36 @@ def se16(spark, sf):
     return table(spark, sf, "documents").select("doc_id", tx.highlight(F.col("text"), F.lit(EXCERPT_ASKED)).alias("excerpt"))
 
 
+#: Every item of the benchmark asks, with its words and with the vector of twenty times its number, if there is one.
+_BATCH = f"""questions as (select item_id as question, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 2 and not list_contains({str(list(tx.QUERY_STOPWORDS))}, w))) as words from benchmark),
+asked as (select question, unnest(words) as word, len(words) as n from questions), said as (select distinct doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from documents),
+word_hits as (select question, id, round(count(*) / max(n)::double, 9) as score from said join asked using (word) group by all), b as (select * , row_number() over (partition by question order by score desc, id) as rank from word_hits qualify rank <= 20),
+near as (select q.vec_id // 20 as question, e.vec_id as id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 9) as score from embeddings q join embeddings e on e.vec_id <> q.vec_id where q.vec_id % 20 = 0 and q.vec_id // 20 in (select item_id from benchmark)),
+a as (select *, row_number() over (partition by question order by score desc, id) as rank from near qualify rank <= 20), hits as (select *, 0 as arm from a union all select *, 1 from b), arms as (select question, count(distinct arm) as n from hits group by question)"""
+
+
+def questions(spark, sf):
+    words = F.filter(tx.words_of(F.col("text")), lambda w: (F.length(w) >= 2) & ~F.array_contains(tx.strings(tx.QUERY_STOPWORDS), w))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("question"), words.alias("words"))
+
+
+def vector_batch(spark, sf, k):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    near = nearest(e, F.col("id") % 20 == 0, k).withColumn("question", F.floor(F.col("query") / 20)).join(questions(spark, sf).select("question"), "question", "left_semi")
+    return near.select("question", "id", F.round("score", search.DIGITS).alias("score"), "rank")
+
+
+@query("se02_keyword_batch", f"with {_BATCH} select question, id, score, cast(rank as int) as rank from b")
+def se02_batch(spark, sf):
+    return search.keyword_batch(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), questions(spark, sf), 20)
+
+
+@query("se03_hybrid_batch", f"with {_BATCH}, fused as (select question, id, round(case when max(n) > 1 then sum(1.0 / (60 + rank)) else max(score) end, 9) as score from hits join arms using (question) group by question, id) select question, id, score, cast(row_number() over (partition by question order by score desc, id) as int) as rank from fused qualify row_number() over (partition by question order by score desc, id) <= 10")
+def se03_batch(spark, sf):
+    """Hybrid search for all questions of the benchmark at once."""
+    return search.fused_batch([vector_batch(spark, sf, 20), se02_batch(spark, sf)], 10)
+
+
 @query("wn12_prompt_budget", sql("points", rest=f""", {_SEMANTIC}, wide as (select id, 'doc-' || document as source, score from semantic order by score desc, id limit 60),
 blocks as (select w.id, score, w.source, coalesce(d.text, '') as content, row_number() over (order by score desc, w.id) as n from wide w join documents d on d.doc_id = w.id),
 lined as (select *, '[' || n || '] Source: ' || source as line from blocks), whole as (select *, line || chr(10) || '    Content: ' || content as block from lined),

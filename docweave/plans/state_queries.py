@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from docweave.operators import graph, integrity, jobs, upserts
 from docweave.operators import memories as mem
 from docweave.plans.registry import query
-from docweave.session import shared_folder
+from docweave.session import scratch
 from docweave.sources import corpus, intake
 from docweave.sources.corpus import sql, table
 from docweave.streaming import windows
@@ -109,7 +107,7 @@ def sm05(spark, sf):
 @query("sm01_drained_queue", "select event_type, count(*) as n, count(distinct user_id) as n_users from events group by event_type")
 def sm01(spark, sf):
     """A stream over the folder of events, some files at a time, drained into a table, which is then counted."""
-    folder = f"{shared_folder(spark)}/queue-{uuid.uuid4().hex}"
+    folder = scratch(spark, "queue")
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 5).parquet(f"{sf}/events.parque[t]").select("event_id", "user_id", "event_type")
     windows.drain(stream, f"{folder}/jobs", f"{folder}/checkpoint").awaitTermination()

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -44,14 +45,31 @@ def shared_folder(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which `release` removes with all others of this application."""
+    return f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared folder and go on from there. Shuffle files on the way to it go as soon as it is written."""
+    """Write `df` as a table in the shared folder and go on from there. From the first such write on, the session's shuffle files go as soon as the query that wrote them ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
+    path = scratch(spark, "cut")
+    if spark.conf.get(_CLEANUP) != "true":
+        spark.conf.set(_CLEANUP, "true")
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """`df` as a written table, and its number of rows, seen while it is written."""
+    seen = Observation()
+    table = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return table, seen.get["n"]
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables that this application has written to the shared folder, once their results are stored."""
+    jvm, folder = spark._jvm, shared_folder(spark)
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/*-{spark.sparkContext.applicationId}-*")) or ():
+        fs.delete(f.getPath(), True)

@@ -1,66 +1,15 @@
-"""Queries over whole tables, against their SQL without its cuts (a label modulo, a prefix of texts, ids below a bound)."""
+"""Views and queries over whole tables: no cut of labels, texts or ids, and no group in one task."""
 
-import os
 import re
 from pathlib import Path
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from docweave.operators import relational, search
-from docweave.plans import ORACLES, QUERIES
-from docweave.plans.search_queries import _CONTEXT_HITS, _SEMANTIC
+from docweave.plans import QUERIES
 from docweave.sources import corpus
-from tests.test_queries import SF, duck, plain  # noqa: F401
-
-#: Parts of the registered SQL that cut the input, and what stands there for the whole.
-UNCUT = {
-    " from labels where doc_id % 3 = 0": " from labels",
-    "substring(text, 1, 200) as content": "text as content",
-    " where doc_id < 400": "",
-    " where document < 200": "",
-    " where doc_id < 200": "",
-    "(select 'doc-' || label from embeddings where vec_id < 40)": "(select document from hits)",
-}
-FACTS = ("jn14_facts_of_documents", "jn15_uncovered_facts", "se13_context_merge", "se17_distinct_graph_facts", "ag32_mean_confidence", "flt12_facts_of_scope", "flt14_informative_facts")
-
-
-#: Larger than the bounds on ids were.
-LARGER = "/root/testdata/sf0.01"
-
-
-def same_as_whole_sql(spark, duck, name, sf):  # noqa: F811
-    sql = ORACLES[name]
-    for part, whole in UNCUT.items():
-        sql = sql.replace(part, whole)
-    if name.startswith("flt12"):
-        sql = sql.replace("\nselect * from facts", f", {corpus.SQL['points']}, {_SEMANTIC}, {_CONTEXT_HITS}\nselect * from facts")
-    df = QUERIES[name](spark, sf)
-    columns = sorted(df.columns)
-    cursor = duck.execute(sql)
-    names = [d[0] for d in cursor.description]
-    assert sorted(names) == columns
-    wanted = sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in cursor.fetchall())
-    assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == wanted
-
-
-@pytest.fixture(scope="module")
-def larger():
-    con = duckdb.connect()
-    for f in os.listdir(LARGER):
-        con.execute(f"create view {f.removesuffix('.parquet')} as select * from read_parquet('{LARGER}/{f}')")
-    return con
-
-
-@pytest.mark.parametrize("name", [*FACTS, "me02_memory_keywords", "me06_blended_memories"])
-def test_same_as_whole_sql(spark, duck, name):  # noqa: F811
-    same_as_whole_sql(spark, duck, name, SF)
-
-
-@pytest.mark.parametrize("name", ["jn05_conversation_counts", "wn06_page_of_offset", "flt12_facts_of_scope"])
-def test_every_id_counts(spark, larger, name):
-    same_as_whole_sql(spark, larger, name, LARGER)
+from tests.test_queries import SF
 
 
 def test_every_label_is_a_fact(spark):
