@@ -39,7 +39,7 @@ OUTPUTS = {
 }
 
 #: White space of the Unicode standard, as fixed values.
-WHITE = r"\t-\r \x85\xa0  -     　"
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def splitter(pattern: str) -> regex.Pattern:
