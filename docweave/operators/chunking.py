@@ -93,7 +93,11 @@ def pieces(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     kind, span = "struct<start:int,content:string>", "struct<a:int,b:int>"
 
     def made(u: Column) -> Column:
-        size_of = lambda a, b: F.length(F.array_join(F.slice(u, a + 1, b - a + 1), " "))  # noqa: E731  of units a to b
+        before = gathered(u, F.lit(0), "int", lambda s, x: (s + F.length(x), F.array(s)), lambda s: F.array(s))  # characters before each unit, and of all
+        return F.transform(F.array(before), lambda sums: cut_up(u, sums))[0]
+
+    def cut_up(u: Column, sums: Column) -> Column:
+        size_of = lambda a, b: sums[b + 1] - sums[a] + (b - a)  # noqa: E731  of units a to b
         state = F.struct(F.lit(0).alias("a"), F.lit(0).alias("held"))
 
         def step(s: Column, i: Column) -> tuple[Column, Column]:
@@ -101,13 +105,13 @@ def pieces(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
             over = (s["held"] > 0) & (s["held"] + 1 + n > most)
             tail = F.filter(F.sequence(s["a"] + 1, F.greatest(i, s["a"] + 1)), lambda k: (k >= i) | ((size_of(k, i - 1) <= share) & (size_of(k, i - 1) + 1 + n <= most)))
             again = F.least(tail[0], i)
-            new = F.when(over, F.struct(again.alias("a"), size_of(again, i).alias("held"))).otherwise(F.struct(s["a"].alias("a"), F.when(s["held"] > 0, s["held"] + 1 + n).otherwise(n).alias("held")))
+            fresh = F.transform(F.array(again), lambda k: F.struct(k.alias("a"), size_of(k, i).alias("held")))[0]
+            new = F.when(over, fresh).otherwise(F.struct(s["a"].alias("a"), F.when(s["held"] > 0, s["held"] + 1 + n).otherwise(n).alias("held")))
             return new, F.when(over, F.array(F.struct(s["a"].alias("a"), (i - 1).alias("b")))).otherwise(F.array().cast(f"array<{span}>"))
 
         last = lambda s: F.array(F.struct(s["a"].alias("a"), (F.size(u) - 1).alias("b")))
         spans = gathered(F.sequence(F.lit(0), F.size(u) - 1), state, span, step, last)
-        start = lambda a: F.when(a == 0, F.lit(0)).otherwise(F.length(F.array_join(F.slice(u, F.lit(1), a), " ")) + 1)
-        return F.transform(spans, lambda s: F.struct(start(s["a"]).alias("start"), F.array_join(F.slice(u, s["a"] + 1, s["b"] - s["a"] + 1), "\x00").alias("content")))
+        return F.transform(spans, lambda s: F.struct((sums[s["a"]] + s["a"]).alias("start"), F.array_join(F.slice(u, s["a"] + 1, s["b"] - s["a"] + 1), "\x00").alias("content")))
 
     raw = F.transform(F.array(units), made)[0]
     out = F.transform(raw, lambda p: F.struct(p["start"].alias("start"), F.replace(p["content"], F.lit("\x00"), sep).alias("content")))
