@@ -45,11 +45,11 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -
         low = high
 
 
-def add_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], dict]], added: T.StructType, drop: tuple[str, ...] = (), limit: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> DataFrame:
+def add_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Array], dict]], added: T.StructType, drop: tuple[str, ...] = (), limit: int = BLOCK_BYTES, rows: int = BLOCK_ROWS, whole: bool = False) -> DataFrame:
     """`df` with the columns of `added`, which replace any of the same name.
 
     make() is called once in each task and returns the function that maps a block of texts to
-    {column: values}. Rows stay where they are: no shuffle.
+    {column: values}; with `whole` it is given all columns of the block. Rows stay where they are: no shuffle.
     """
     names = {f.name.lower() for f in added} | {c.lower() for c in drop}
     kept = [f for f in df.schema if f.name.lower() not in names]
@@ -63,7 +63,7 @@ def add_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[[pa.Ar
             texts = batch.column(batch.schema.get_field_index(text_col))
             for low, high in blocks(texts, limit, rows):
                 part = batch.slice(low, high - low)
-                made = work(texts.slice(low, high - low))
+                made = work(part if whole else texts.slice(low, high - low))
                 old = [part.column(part.schema.get_field_index(c)).cast(arrow.field(c).type) for c in keep]
                 new = [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], arrow.field(f.name).type) for f in added]
                 yield pa.RecordBatch.from_arrays(old + new, schema=arrow)

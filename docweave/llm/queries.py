@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, extraction, mixing, nearcopies, neighbours, pii, rules, scoring, secrets, sql, telephony
+from docweave.llm import bpe, extraction, middles, mixing, nearcopies, neighbours, periods, pieces, pii, rules, scoring, secrets, sql, telephony
 from docweave.session import table
 
 
@@ -69,6 +69,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.drop("text")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periods.repeated_tail(F.col("doc_id"), F.col("text")).alias("text"))
+    return periods.find_runs(docs, outputs=("n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")).drop("text")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return middles.fill_in_middle(docs, outputs=("prefix_chars", "middle_chars", "output_sha256", "restored_sha256"))
+
+
+def op13_merge_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
+
+
 def columns_of(query, *names: str):
     """A query's columns that SQL can express, so that they can be compared with it."""
     return lambda spark, sf_dir: query(spark, sf_dir).select(*names)
@@ -89,6 +104,9 @@ QUERIES = {
     "op8_gru_scores": op8_gru_scores,
     "op9_crf_pii": op9_crf_pii,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_merge_pieces": op13_merge_pieces,
     "columns1_payloads": columns_of(op1_telephony, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"),
     "columns5_rules": columns_of(op5_isolation_rules, "doc_id", *rules.BASE, "base_failed"),
     "columns8_unigrams": unigram_columns,
@@ -99,6 +117,7 @@ ORACLES: dict[str, str] = {
     "op3_entropy_secrets": sql.SECRETS,
     "op4_setsketch": sql.NEAR_COPIES,
     "op7_slot_mixing": sql.MIXING,
+    "op12_fill_in_middle": sql.MIDDLES,
     "columns1_payloads": sql.PAYLOADS,
     "columns5_rules": sql.RULES,
     "columns8_unigrams": sql.UNIGRAMS,

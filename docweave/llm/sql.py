@@ -183,3 +183,20 @@ select t.doc_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as
   sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, k) filter (k < 3), '')) as base_sha256, coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, k), '') as spans
 from t left join every e on e.doc_id = t.doc_id group by t.doc_id
 """
+
+_H = [f"cast('0x' || substring(h, {8 * k + 1}, 8) as bigint)" for k in range(4)]
+
+#: Texts cut between their units at two seeded places; whatever the order, the text comes back.
+MIDDLES = f"""
+with units as (
+  select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || doc_id) as h from documents
+), seeded as (
+  select *, len(u) as n, least({_H[0]} % (len(u) + 1), {_H[1]} % (len(u) + 1)) as a, greatest({_H[0]} % (len(u) + 1), {_H[1]} % (len(u) + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or {_H[2]} % 100 >= 90 then 'plain' when {_H[3]} % 100 < 20 then 'spm' else 'psm' end as form from units
+), parts as (
+  select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:], '') as s from seeded
+)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256
+from parts
+"""
