@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.operators import dictionary
+
 #: Fields of a point's payload that repeat its document's and its passage's.
 FIELDS = ("document", "filename", "chunk_index", "content")
 
@@ -77,12 +79,11 @@ def classified_nodes(nodes: DataFrame, docs: DataFrame, chunks: DataFrame) -> Da
 
 
 def repair_plan(nodes: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
-    """old_id, document, new_id: global nodes (id, type, name, without a document) scoped anew to each document that shows them: through an edge (src, dst, document) or a passage (document, chunk_index, content) that holds the name; and the passage that owns the node there: the first that names it, else the document's first."""
+    """old_id, document, new_id, owner: global nodes (id, type, name, without a document) scoped anew to each document that shows them: through an edge (src, dst, document) or a passage (document, chunk_index, content) that holds the name; and the passage that owns the node there: the first that names it, else the document's first."""
     free = nodes.where("document is null").select("id", "type", "name")
     seen = edges.where("document is not null").select(F.explode(F.array("src", "dst")).alias("id"), "document").distinct()
     pairs = free.join(seen, "id").select("id", "type", "name", "document")
-    held = pairs.join(chunks, "document").select("id", "type", "name", "document", "chunk_index", F.contains(F.lower("content"), F.lower("name")).alias("named"))
-    owned = held.groupBy("id", "document").agg(F.min_by("chunk_index", F.struct(~F.col("named"), "chunk_index")).alias("owner"))
+    owned = dictionary.owners(pairs.select("id", "document").distinct(), free.select("id", "name"), chunks)
     new = F.substring(F.sha2(F.concat_ws(":", "type", F.lower("name"), F.col("document").cast("string")), 256), 1, 16)
     return pairs.join(owned, ["id", "document"], "left").select(F.col("id").alias("old_id"), "document", new.alias("new_id"), "owner")
 

@@ -6,6 +6,7 @@ from docweave.plans import (  # noqa: F401
     extraction_queries,
     generic_queries,
     graph_queries,
+    intake_queries,
     relational_queries,
     retrieval_queries,
     search_queries,

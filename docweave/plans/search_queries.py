@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
 from docweave.functions import vectors as vx
-from docweave.operators import search
+from docweave.operators import dictionary, search
 from docweave.plans.registry import query
 from docweave.sources import corpus
-from docweave.sources.corpus import sql
+from docweave.sources.corpus import sql, table
 
 ASKED = "Where is the rent of P-101 and the thing that was heard with erin?"
 TERMS = ["P-101", "heard", "thing", "rent", "erin"]
@@ -194,11 +194,20 @@ def placed_hits(spark, sf):
 names as (select distinct name from nodes where type in ('Nation', 'Region'))
 select t.id, t.score, cast(coalesce(list_sum(list_transform((select list(name) from names), lambda n: case when contains(lower(t.text), lower(n)) then 1 else 0 end)), 0) as int) as n_entities from texts t"""))
 def se15(spark, sf):
-    """Hits with the number of entity names in their text; the names are those of a fixed set of some dozens."""
+    """Hits with the number of entity names in their text."""
     hits = search.semantic(corpus.points(spark, sf), _vector(spark, sf), 60).join(_texts(spark, sf), "id")
-    names = corpus.nodes(spark, sf).where("type in ('Nation', 'Region')").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    count = F.size(F.filter("names", lambda n: F.contains(F.lower("content"), F.lower(n))))
-    return hits.join(F.broadcast(names)).select("id", "score", count.alias("n_entities"))
+    names = corpus.nodes(spark, sf).where("type in ('Nation', 'Region')").select(F.col("name").alias("id"), "name")
+    found = dictionary.named_in(names, hits.select(F.col("id").alias("passage"), "content")).groupBy(F.col("passage").alias("id")).agg(F.count("*").cast("int").alias("n"))
+    return hits.join(found, "id", "left").select("id", "score", F.coalesce("n", F.lit(0)).alias("n_entities"))
+
+
+@query("jn16_names_in_passages", sql("reports", rest=""", names as (select distinct regexp_extract(content, 'P-[0-9]+') as name from reports union select distinct p_brand from part)
+  select name as id, doc_id as passage from names n join reports r on contains(lower(r.content), lower(n.name))"""))
+def jn16(spark, sf):
+    """Which reports hold which tags of pumps and which brands, inside other tags too."""
+    r = corpus.reports(spark, sf)
+    names = r.select(F.regexp_extract("content", "P-[0-9]+", 0).alias("id")).union(table(spark, sf, "part").select("p_brand")).distinct()
+    return dictionary.named_in(names.withColumn("name", F.col("id")), r.select(F.col("doc_id").alias("passage"), "content"))
 
 
 @query("jn22_near_duplicate_passages", sql("chunks", rest=""", words as (select distinct id, document, page, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) as word from chunks), sizes as (select id, count(*) as n from words group by id),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docweave.operators import graph, integrity, jobs, upserts
+from docweave.operators import dictionary, graph, integrity, jobs, upserts
 from docweave.operators import memories as mem
 from docweave.plans.registry import query
 from docweave.session import scratch
@@ -130,20 +130,20 @@ def sm12(spark, sf):
 
 # ── checks between stores ──
 
-_POINTS = """act as (select doc_id as document, filename, left(text, 20) as content from docs where not deleted),
+_POINTS = """act as (select doc_id as document, filename, text as content from docs where not deleted),
 passages as (select document as chunk, document, 0 as chunk_index, content from act where document % 17 <> 0),
 pts as (select vec_id as id, case when vec_id % 11 = 0 then vec_id + 1 else vec_id end as chunk, vec_id as document, case when vec_id % 7 = 0 then 'old.txt' else 'DOC-' || lpad(cast(vec_id as varchar), 6, '0') || '.txt' end as filename,
-  case when vec_id % 5 = 0 then 1 else 0 end as chunk_index, case when vec_id % 6 = 0 then 'x' else left(d.text, 20) end as content from embeddings left join documents d on d.doc_id = vec_id)"""
+  case when vec_id % 5 = 0 then 1 else 0 end as chunk_index, case when vec_id % 6 = 0 then 'x' else d.text end as content from embeddings left join documents d on d.doc_id = vec_id)"""
 
 
 def _points(spark, sf):
-    active = corpus.documents(spark, sf).where("not deleted").select(F.col("doc_id").alias("document"), "filename", F.substring("text", 1, 20).alias("content"))
+    active = corpus.documents(spark, sf).where("not deleted").select(F.col("doc_id").alias("document"), "filename", F.col("text").alias("content"))
     chunks = active.where("document % 17 <> 0").select(F.col("document").alias("chunk"), "document", F.lit(0).alias("chunk_index"), "content")
     v = F.col("vec_id")
     texts = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     name = F.when(v % 7 == 0, "old.txt").otherwise(F.concat(F.lit("DOC-"), F.lpad(v.cast("string"), 6, "0"), F.lit(".txt")))
     points = table(spark, sf, "embeddings").select("vec_id").join(texts, "vec_id", "left").select(
-        v.alias("id"), F.when(v % 11 == 0, v + 1).otherwise(v).alias("chunk"), v.alias("document"), name.alias("filename"), F.when(v % 5 == 0, 1).otherwise(0).alias("chunk_index"), F.when(v % 6 == 0, "x").otherwise(F.substring("text", 1, 20)).alias("content")
+        v.alias("id"), F.when(v % 11 == 0, v + 1).otherwise(v).alias("chunk"), v.alias("document"), name.alias("filename"), F.when(v % 5 == 0, 1).otherwise(0).alias("chunk_index"), F.when(v % 6 == 0, "x").otherwise(F.col("text")).alias("content")
     )
     return points, active, chunks
 
@@ -231,12 +231,12 @@ def gr12(spark, sf):
 @query("jn20_passage_owners", sql("nodes", rest=""", passages as (select 'doc-' || (s_suppkey % 5) as document, s_suppkey as chunk_index, 'Made in NATION_' || s_nationkey as content from supplier)
   select n.id, p.document, arg_min(chunk_index, (not contains(lower(content), lower(name)), chunk_index)) as owner from nodes n cross join passages p where n.type = 'Nation' group by all"""))
 def jn20(spark, sf):
-    """The passage of each document that owns an entity: the first that names it, else the first. There are as many entities here as nations."""
+    """The passage of each document that owns an entity: the first that names it, else the first. Asked for every nation in every document."""
     s = table(spark, sf, "supplier")
-    passages = s.select(F.concat(F.lit("doc-"), (F.col("s_suppkey") % 5).cast("string")).alias("document"), F.col("s_suppkey").alias("chunk_index"), F.lower(F.concat(F.lit("Made in NATION_"), F.col("s_nationkey").cast("string"))).alias("content"))
-    names = corpus.nodes(spark, sf).where("type = 'Nation'").agg(F.collect_list(F.struct("id", F.lower("name").alias("name"))).alias("names"))
-    rows = passages.join(F.broadcast(names)).select("document", "chunk_index", "content", F.explode("names").alias("n"))  # one row
-    return rows.groupBy("n.id", "document").agg(F.min_by("chunk_index", F.struct(~F.contains("content", F.col("n.name")), "chunk_index")).alias("owner"))
+    passages = s.select(F.concat(F.lit("doc-"), (F.col("s_suppkey") % 5).cast("string")).alias("document"), F.col("s_suppkey").alias("chunk_index"), F.concat(F.lit("Made in NATION_"), F.col("s_nationkey").cast("string")).alias("content"))
+    names = corpus.nodes(spark, sf).where("type = 'Nation'").select("id", "name")
+    asked = names.select("id").crossJoin(passages.select("document").distinct())  # the pairs that are asked for, all of them answers
+    return dictionary.owners(asked, names, passages)
 
 
 # ── writes ──

