@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 
 from docweave.llm.blocks import add_columns
 
-#: Distinct words that a task remembers before it starts afresh, and the longest that it remembers.
-MEMO, LONGEST = 300_000, 64
+#: Distinct words that a worker remembers, some 230 bytes each, and the longest that it remembers.
+MEMO, LONGEST = 1_000_000, 64
 #: The mark that stands for a space.
 MARK = "▁"
 #: Bits of a symbol or place, and the symbol that a merge has taken up.
@@ -186,11 +186,11 @@ class Pieces:
 
 
 class Memo(dict):
-    """Word -> its ids, packed as 32-bit integers."""
+    """Word -> its ids, packed as 32-bit integers. When half of MEMO is full, it becomes the old half: words met again move over, others go with the next change."""
 
     def __init__(self, pieces: Pieces, library: sentencepiece.SentencePieceProcessor | None):
         super().__init__()
-        self.pieces, self.library = pieces, library
+        self.pieces, self.library, self.old = pieces, library, {}
 
     def _by_library(self, words: list[str]) -> list[list[int]]:
         """The library's ids; only for an empty text does it put no mark."""
@@ -199,9 +199,13 @@ class Memo(dict):
 
     def learn(self, words: list[str]) -> list[str]:
         """Encode the words that aren't known yet, compare them with the library's, and return those too long to remember. Each word begins with a mark, which the library puts there itself."""
-        if len(self) > MEMO:
+        if len(self) > MEMO // 2:
+            self.old = dict(self)
             self.clear()
-        new = list(set(words).difference(self))
+        unmet = set(words).difference(self)
+        again = unmet & self.old.keys()
+        self.update((w, self.old[w]) for w in again)
+        new = list(unmet - again)
         ids = list(map(self.pieces.encode, new))
         if self.library is not None and self._by_library(new) != ids:
             raise ValueError("the agenda and the sentencepiece library give different ids")

@@ -80,3 +80,13 @@ def test_other_models_are_refused():
 
 def test_empty_table(spark):
     assert pieces.encode_decode(spark.createDataFrame([], "doc_id long, text string"), MODEL).collect() == []
+
+
+def test_words_come_back_from_the_old_half(own, monkeypatch):
+    monkeypatch.setattr(pieces, "MEMO", 4)
+    memo, made = pieces.Memo(own, None), []
+    monkeypatch.setattr(own, "encode", lambda w, f=own.encode: made.append(w) or f(w))
+    for word in ("▁a", "▁b", "▁c", "▁a", "▁d", "▁a", "▁e", "▁a"):
+        memo.learn([word])
+        assert list(memo[word]) == list(bytes(memo[word])) and len(memo) <= 4
+    assert made == ["▁a", "▁b", "▁c", "▁d", "▁e"]
