@@ -1,10 +1,11 @@
 """Fill-in-middle: a text is cut at two seeded places, and its middle is put last.
 
 The cuts fall between units, which are words of the letters A-Z and a-z, or single other characters. Where the units end
-depends on the text alone, so it is found once for each distinct text: documents are grouped by the digest of their text,
-the least and greatest text of a digest must be equal, and the list of boundaries (bytes) is kept in Elias-Fano form, two
-to three bits a unit. Documents, without their texts, are joined back to this index by digest; each selects the
-boundaries of its two cuts from the list and cuts there.
+depends on the text alone, so it is found once for each distinct text: documents are grouped by the SHA-256 digest of
+their text, copies being combined before the shuffle; the texts of a digest must agree in length and in a second hash too.
+Documents, without their texts, are joined back by digest. Those of one text come to a task one after the other: its list of
+boundaries (bytes) is made once, in Elias-Fano form, two to three bits a unit, and each document selects the boundaries
+of its two cuts from the list and cuts there.
 
 A text shared by many documents would bring all of these to one task. Digests whose documents hold many bytes, more than
 a quarter of an average partition and more than a megabyte, are dealt to several tasks: fewer than four digests a
@@ -12,7 +13,7 @@ partition can be so large, which bounds the broadcast list of them.
 
 Null and empty texts, having no units, stay as they are (form "plain", no lengths), like texts that hold one of the three
 marks. A null doc_id counts as empty in its seed. Repeated rows give repeated results, an empty table an empty one;
-columns of the result replace columns of the same name. A very long text is a row of its own in each step.
+columns of the result replace columns of the same name. A very long text is a block of its own in each step.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +40,7 @@ SHARE, LEAST_BYTES, ROW_BYTES = 0.25, 1 << 20, 256
 
 #: What an output column holds.
 OUTPUTS = {
+    "n": T.LongType(),
     "prefix_chars": T.LongType(),
     "middle_chars": T.LongType(),
     "output": T.StringType(),
@@ -48,11 +49,6 @@ OUTPUTS = {
     "restored_sha256": T.StringType(),
 }
 
-#: A list of boundaries: their number, the bits of the low parts, the low and the high parts, and ones before each STEP bits.
-LIST = T.StructType(
-    [T.StructField("n", T.LongType()), T.StructField("width", T.IntegerType()), T.StructField("low", T.BinaryType()), T.StructField("high", T.BinaryType()), T.StructField("ones", T.BinaryType())]
-)
-
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
@@ -66,7 +62,7 @@ def unit_starts(data: np.ndarray) -> np.ndarray:
 
 
 def packed_list(values: np.ndarray, above: int) -> dict:
-    """Elias-Fano form of increasing values under `above`: low bits side by side, high parts as gaps in unary."""
+    """Elias-Fano form of increasing values under `above`: low bits side by side, high parts as gaps in unary, and the ones before each STEP bits."""
     n = len(values)
     width = max(0, (above // n).bit_length() - 1) if n else 0
     bits = ((values[:, None] >> np.arange(width)) & 1).astype(np.uint8) if width else np.zeros((n, 0), np.uint8)
@@ -88,15 +84,6 @@ def select(packed: dict, k: int) -> int:
     return (place - k) << width | (window >> first % 8) & ((1 << width) - 1)
 
 
-def _lists(texts: pd.Series) -> pd.DataFrame:
-    """The list of boundaries of each text."""
-    made = []
-    for text in texts:
-        data = np.frombuffer(text.encode(), np.uint8)
-        made.append(packed_list(unit_starts(data), len(data)))
-    return pd.DataFrame(made, columns=LIST.names)
-
-
 def rebuilt(output: bytes, form: str) -> bytes:
     """The text from a document in parts."""
     p, s, m = PREFIX.encode(), SUFFIX.encode(), MIDDLE.encode()
@@ -115,30 +102,41 @@ def _chars(part: bytes) -> int:
     return int(np.count_nonzero((np.frombuffer(part, np.uint8) & 0xC0) != 0x80))
 
 
+def _boundaries(text: np.ndarray) -> dict:
+    return packed_list(unit_starts(text), len(text))
+
+
 def _cut_texts(outputs: tuple[str, ...]):
-    """The function that cuts a block of texts, given their lists, cuts and forms."""
+    """The function that cuts a block of texts, given their digests, seeds and forms."""
     asked, p, s, m = set(outputs), PREFIX.encode(), SUFFIX.encode(), MIDDLE.encode()
+    lists: dict[bytes, dict] = {}  # those of a block; the last one stays for the next
 
     def work(block: pa.RecordBatch) -> dict:
         made: dict = {c: [] for c in outputs}
         data, at = raw(block.column("__text"))
-        rows = zip(block.column("__list").to_pylist(), block.column("__low").to_pylist(), block.column("__high").to_pylist(), block.column("form").to_pylist())
-        for i, (units, low, high, form) in enumerate(rows):
-            text = data[at[i] : at[i + 1]].tobytes()
-            chars = None, None
-            output = text
+        digest = None
+        for i, (digest, h, form) in enumerate(zip(*(block.column(c).to_pylist() for c in ("__digest", "__seeds", "form")))):
+            units = lists.get(digest)
+            if units is None:
+                units = lists[digest] = _boundaries(data[at[i] : at[i + 1]])
+            text, n = data[at[i] : at[i + 1]].tobytes(), units["n"]
+            output, chars = text, (None, None)
             if form != "plain":
-                first, last = (select(units, k) if k < units["n"] else len(text) for k in (low, high))
+                first, last = (select(units, k) if k < n else len(text) for k in sorted((h[0] % (n + 1), h[1] % (n + 1))))
                 prefix, middle, suffix = text[:first], text[first:last], text[last:]
                 output = b"".join([p, prefix, s, suffix, m, middle] if form == "psm" else [s, suffix, p, prefix, m, middle])
                 chars = _chars(prefix), _chars(middle)
             back = rebuilt(output, form) if asked & {"restored", "restored_sha256"} else b""
             for c in outputs:
-                if c.endswith("_chars"):
+                if c == "n":
+                    made[c].append(n)
+                elif c.endswith("_chars"):
                     made[c].append(chars[c == "middle_chars"])
                 else:
                     part = output if c.startswith("output") else back
                     made[c].append(hashlib.sha256(part).hexdigest() if c.endswith("_sha256") else part.decode())
+        for other in [d for d in lists if d != digest]:
+            del lists[other]
         return made
 
     return work
@@ -149,10 +147,11 @@ def _digest(text: Column) -> Column:
 
 
 def _index(texts: DataFrame) -> DataFrame:
-    """(__digest, __text, __list) of the distinct texts of `texts` (__digest, __text)."""
-    one = texts.groupBy("__digest").agg(F.min("__text").alias("__text"), F.max("__text").alias("__most"))
-    verified = F.when(F.col("__text") == F.col("__most"), F.col("__text")).otherwise(F.raise_error(F.lit("two texts have one digest")).cast("string"))
-    return one.select("__digest", verified.alias("__text")).withColumn("__list", F.pandas_udf(_lists, LIST)("__text"))
+    """(__digest, __text) of the distinct texts of `texts` (__digest, __text)."""
+    check = F.struct(F.octet_length("__text"), F.xxhash64("__text"))
+    one = texts.withColumn("__check", check).groupBy("__digest").agg(F.min("__text").alias("__text"), F.min("__check").alias("__least"), F.max("__check").alias("__most"))
+    verified = F.when(F.col("__least") == F.col("__most"), F.col("__text")).otherwise(F.raise_error(F.lit("two texts have one digest")).cast("string"))
+    return one.select("__digest", verified.alias("__text"))
 
 
 def _large(texts: DataFrame) -> DataFrame | None:
@@ -167,13 +166,13 @@ def _large(texts: DataFrame) -> DataFrame | None:
 
 
 def fill_in_middle(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("output",), seed: int = 1) -> DataFrame:
-    """`docs` without their texts, with n (units), form ("plain", "psm" or "spm") and the asked-for OUTPUTS.
+    """`docs` without their texts, with form ("plain", "psm" or "spm") and the asked-for OUTPUTS; n is the number of units.
 
     With h1 to h4 the first four 8-digit groups of the sha256 of `seed:doc_id`, the cuts are after h1 % (n + 1) and
     h2 % (n + 1) units; the form is plain if h3 % 100 is among the last PLAIN, and spm if h4 % 100 is among the first
     SUFFIX_FIRST.
     """
-    names = {c.lower() for c in ("n", "form", text_col, *OUTPUTS)}
+    names = {c.lower() for c in ("form", text_col, *OUTPUTS)}
     kept = [c for c in docs.columns if c.lower() not in names]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     texts = docs.select(_digest(text).alias("__digest"), text.alias("__text"))
@@ -190,11 +189,10 @@ def fill_in_middle(docs: DataFrame, doc_id: str = "doc_id", text_col: str = "tex
         rest = light.join(large, "__digest", "left_anti").join(_index(texts.join(large, "__digest", "left_anti")), "__digest")
         joined = rest.unionByName(dealt.join(few, ["__digest", "__deal"]).drop("__deal"))
     h = [F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce("__doc", F.lit(""))), 256), 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)]
-    n, text = F.col("__list.n"), F.col("__text")
+    text = F.col("__text")
     plain = (text == "") | text.contains(PREFIX) | text.contains(SUFFIX) | text.contains(MIDDLE) | (h[2] % 100 >= 100 - PLAIN)
     form = F.when(plain, "plain").when(h[3] % 100 < SUFFIX_FIRST, "spm").otherwise("psm")
-    cuts = [h[0] % (n + 1), h[1] % (n + 1)]
-    ready = joined.select("__own", "__text", "__list", n.alias("n"), form.alias("form"), F.least(*cuts).alias("__low"), F.greatest(*cuts).alias("__high"))
+    ready = joined.select("__own", "__text", "__digest", F.array(h[0], h[1]).alias("__seeds"), form.alias("form"))
     added = T.StructType([T.StructField(c, OUTPUTS[c]) for c in outputs])
-    done = add_columns(ready, "__text", lambda: _cut_texts(outputs), added, drop=("__text", "__list", "__low", "__high"), whole=True)
-    return done.select(*[F.col("__own")[c].alias(c) for c in kept], "n", "form", *outputs)
+    done = add_columns(ready, "__text", lambda: _cut_texts(outputs), added, drop=("__text", "__digest", "__seeds"), whole=True)
+    return done.select(*[F.col("__own")[c].alias(c) for c in kept], "form", *outputs)

@@ -76,7 +76,7 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return middles.fill_in_middle(docs, outputs=("prefix_chars", "middle_chars", "output_sha256", "restored_sha256"))
+    return middles.fill_in_middle(docs, outputs=("n", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"))
 
 
 def op13_merge_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from docweave.llm import middles
 
-ALL = ("prefix_chars", "middle_chars", "output", "output_sha256", "restored", "restored_sha256")
+ALL = ("n", "prefix_chars", "middle_chars", "output", "output_sha256", "restored", "restored_sha256")
 
 
 def plain_cut(doc_id, text):
@@ -83,5 +83,17 @@ def test_hot_text_is_dealt(spark, monkeypatch):
 def test_odd_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b", {"k": "v"}, "x", "y")], "doc_id long, text string, m map<string,string>, `a.b` string, __text string")
     got = middles.fill_in_middle(df)
-    assert got.columns == ["doc_id", "m", "a.b", "__text", "n", "form", "output"] and got.first()["__text"] == "y"
+    assert got.columns == ["doc_id", "m", "a.b", "__text", "form", "output"] and got.first()["__text"] == "y"
     assert middles.fill_in_middle(df.limit(0)).collect() == []
+
+
+def test_a_list_is_made_once_for_a_text(monkeypatch):
+    import pyarrow as pa
+
+    made = []
+    monkeypatch.setattr(middles, "_boundaries", lambda text, f=middles._boundaries: made.append(len(text)) or f(text))
+    work = middles._cut_texts(("output",))
+    block = lambda texts: pa.record_batch({"__text": texts, "__digest": [t.encode() for t in texts], "__seeds": [[k, 3 * k] for k in range(len(texts))], "form": ["psm"] * len(texts)})
+    assert len(work(block(["one two"] * 5 + ["x"] * 4))["output"]) == 9
+    work(block(["x"] * 3 + ["y"]))
+    assert made == [7, 1, 1]
