@@ -10,6 +10,7 @@ from docweave.plans import (  # noqa: F401
     relational_queries,
     retrieval_queries,
     search_queries,
+    sink_queries,
     state_queries,
     text_queries,
     understanding_queries,
