@@ -50,3 +50,16 @@ def rate_limited(events: DataFrame, key: str, most: int, seconds: int) -> DataFr
     """`events` with allowed: no more than `most` events of a key in the seconds up to it."""
     own = W.partitionBy(key).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("allowed", F.count("*").over(own) <= most)
+
+
+def retry_after(events: DataFrame, key: str, most: int, seconds: int, seq: str = "event_id") -> DataFrame:
+    """`events` with allowed, and retry_after: seconds until the event is allowed that comes after the last `most` ones, at least 1; null for those allowed. Events of one moment count for each other."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    own = W.partitionBy(key).orderBy("__at")
+    rows = events.withColumn("__at", micros).withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy("__at", seq))).withColumn("__upto", F.count("*").over(own.rangeBetween(W.unboundedPreceding, 0)))
+    first = rows.select(F.col(key).alias("__key"), (F.col("__n") + most).alias("__place"), F.col("__at").alias("__first"))
+    joined = rows.join(first, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__upto") == F.col("__place")), "left")
+    left = F.col("__first") + seconds * 1_000_000 - F.col("__at")
+    allowed = F.coalesce(left < 0, F.lit(True))
+    wait = F.when(~allowed, F.greatest(F.lit(1), F.ceil(left / 1_000_000)).cast("long"))
+    return joined.select(*[events[c] for c in events.columns], allowed.alias("allowed"), wait.alias("retry_after"))

@@ -12,6 +12,7 @@ from docweave.plans import (  # noqa: F401
     search_queries,
     sink_queries,
     state_queries,
+    stream_queries,
     text_queries,
     understanding_queries,
 )
