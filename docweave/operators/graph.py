@@ -97,6 +97,59 @@ def merged_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(best("name"), best("type"), F.max("confidence").alias("confidence"))
 
 
+def walked(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """id, src, dst, type, depth of the edges (id, src, dst, type) on which a node of `reached` (node, depth; see within_depth) is come to from one a step nearer, or that lie between two of them; depth: that of the farther end, at least 1."""
+    at = lambda end: reached.select(F.col("node").alias(end), F.col("depth").alias(f"{end}_depth"))
+    both = edges.where("src <> dst").join(at("src"), "src").join(at("dst"), "dst")
+    return both.select("id", "src", "dst", "type", F.greatest("src_depth", "dst_depth", F.lit(1)).alias("depth"))
+
+
+def path_of_edges(edges: DataFrame, source: str, target: str, depth: int = MOST_PATH) -> DataFrame:
+    """nodes, edges, length of the shortest undirected path over edges (id, src, dst): of equal ones that whose list of edge ids is the least. No row if there is none of up to `depth` edges.
+
+    Two frontiers go out from the ends, the smaller one first, and meet in the middle; each of their rows has the least
+    list of edges to its node, of as many as the frontier has gone steps. A path crosses both frontiers when they first
+    share a node, so the least of the joined lists is the least of all.
+    """
+    spark = edges.sparkSession
+    e = edges.where("src <> dst").select("id", "src", "dst")
+    links = e.select(F.col("src").alias("node"), F.col("dst").alias("other"), "id").unionByName(e.select(F.col("dst").alias("node"), F.col("src").alias("other"), "id"))
+    kind = "node string, edges array<string>, nodes array<string>"
+    sides = [counted(spark.createDataFrame([(end, [], [end])], kind)) for end in (source, target)]
+    seen = [sides[0][0].select("node"), sides[1][0].select("node")]
+    met = sides[0][0].alias("a").join(sides[1][0].alias("b"), "node")
+    for gone in range(min(depth, MOST_PATH) + 1):
+        met = sides[0][0].alias("a").join(sides[1][0].alias("b"), "node")
+        if gone == min(depth, MOST_PATH) or not sides[0][1] or not sides[1][1] or not met.isEmpty():
+            break
+        k = 0 if sides[0][1] <= sides[1][1] else 1
+        front, n = sides[k]
+        step = small(front, n).join(links, "node")
+        longer = (lambda c, x: F.concat(c, F.array(x))) if k == 0 else (lambda c, x: F.concat(F.array(x), c))
+        step = step.select(F.col("other").alias("node"), longer(F.col("edges"), F.col("id")).alias("edges"), longer(F.col("nodes"), F.col("other")).alias("nodes"))
+        least = step.join(seen[k], "node", "left_anti").groupBy("node").agg(F.min(F.struct("edges", "nodes")).alias("p"))
+        sides[k] = counted(least.select("node", "p.edges", "p.nodes"))
+        seen[k] = seen[k].union(sides[k][0].select("node"))
+    whole = met.select(F.concat("a.edges", "b.edges").alias("edges"), F.concat("a.nodes", F.slice("b.nodes", F.lit(2), F.greatest(F.size("b.nodes") - 1, F.lit(0)))).alias("nodes"))
+    best = whole.agg(F.min(F.struct("edges", "nodes")).alias("p")).where("p is not null")
+    return best.select("p.nodes", "p.edges", F.size("p.edges").alias("length"))
+
+
+def resolved_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All `edges` (id, src, dst, src_name, dst_name, document) with src_node and dst_node: each end is the node (id, name, document) of the id it gives, or, if it gives none, the one of its name in the edge's document (of several the least id); null where there isn't any.
+
+    Nodes and ends meet over one key, which says which of the two kinds it is; so no join needs an OR.
+    """
+    key = lambda kind, *parts: F.concat_ws("\x1f", F.lit(kind), *parts)
+    named = nodes.where("name is not null and document is not null").groupBy("name", "document").agg(F.min("id").alias("node"))
+    known = nodes.select(key("id", F.col("id")).alias("key"), F.col("id").alias("node")).distinct()
+    known = known.union(named.select(key("name", F.col("name"), F.col("document").cast("string")), "node"))
+    end = lambda side: F.struct(F.lit(side).alias("side"), F.when(F.col(side).isNotNull(), key("id", F.col(side))).otherwise(F.when(F.col(f"{side}_name").isNotNull() & F.col("document").isNotNull(), key("name", F.col(f"{side}_name"), F.col("document").cast("string")))).alias("key"))
+    ends = edges.select("id", F.explode(F.array(end("src"), end("dst"))).alias("e")).select("id", "e.side", "e.key").distinct()
+    found = ends.join(known, "key").groupBy("id").agg(*[F.max(F.when(F.col("side") == side, F.col("node"))).alias(f"{side}_node") for side in ("src", "dst")])
+    return edges.join(found, "id", "left").select(*edges.columns, "src_node", "dst_node")
+
+
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of which both ends are nodes."""
     ids = nodes.select("id")

@@ -7,6 +7,7 @@ from docweave.plans import (  # noqa: F401
     generic_queries,
     graph_queries,
     intake_queries,
+    mode_queries,
     relational_queries,
     retrieval_queries,
     search_queries,

@@ -101,3 +101,56 @@ def jn12(spark, sf):
 def jn13(spark, sf):
     n = corpus.nodes(spark, sf).where("type in ('Region', 'Nation')").select("id")
     return n.join(graph.both_ways(corpus.edges(spark, sf)).select(F.col("node").alias("id"), "other"), "id", "left").select("id", "other")
+
+
+_EDGE_IDS = ", named as (select src || '-' || type || '-' || dst as id, src, dst, type from edges), ways as (select src as node, dst as other, id from named union all select dst, src, id from named)\n"
+
+
+def _with_ids(spark, sf):
+    return corpus.edges(spark, sf).select(F.concat_ws("-", "src", "type", "dst").alias("id"), "src", "dst", "type")
+
+
+@query("gr05_edges_within_depth", sql("edges", rest=_EDGE_IDS + """, walk as (select 'R1' as node, 0 as depth union select w.other, walk.depth + 1 from walk join ways w on w.node = walk.node where walk.depth < 2),
+  reached as (select node, min(depth) as depth from walk group by node) select n.id, src, dst, type, cast(greatest(a.depth, b.depth, 1) as int) as depth from named n join reached a on a.node = src join reached b on b.node = dst"""))
+def gr05_edges(spark, sf):
+    """The edges of the subgraph of up to two steps around a node."""
+    e = _with_ids(spark, sf)
+    return graph.walked(e, graph.within_depth(corpus.edges(spark, sf), spark.createDataFrame([("R1",)], "node string"), 2))
+
+
+@query("gr06_path_with_edges", sql("edges", rest=_EDGE_IDS + """, walk as (select 'C1' as node, []::varchar[] as edges, ['C1'] as nodes union all
+    select w.other, list_append(edges, w.id), list_append(nodes, w.other) from walk join ways w on w.node = walk.node where len(edges) < 4 and not list_contains(nodes, w.other) and (w.other[1] <> 'C' or w.other = 'C11') and w.other[1] <> 'S'),
+  found as (select nodes, edges, cast(len(edges) as int) as length from walk where node = 'C11') select nodes, edges, length from found where length = (select min(length) from found) order by edges limit 1"""))
+def gr06_edges(spark, sf):
+    """The shortest path between two customers, with its edges."""
+    return graph.path_of_edges(_with_ids(spark, sf), "C1", "C11")
+
+
+_ENDS = """, ends as (select src || '-' || e.type || '-' || dst as id, case when length(src) % 2 = 0 then src end as src, case when length(dst) % 2 = 1 then dst end as dst, a.name as src_name, b.name as dst_name, e.document
+  from pedges e join nodes a on a.id = e.src join nodes b on b.id = e.dst),
+homes as (select id, name, coalesce(document, 'doc-' || (ascii(right(id, 1)) % 5)) as document from pnodes where id not in ('C7', 'S2')),
+by_name as (select name, document, min(id) as id from homes group by all),
+resolved as (select e.id, case when e.src is not null then (select h.id from homes h where h.id = e.src) else (select b.id from by_name b where b.name = e.src_name and b.document = e.document) end as src_node,
+  case when e.dst is not null then (select h.id from homes h where h.id = e.dst) else (select b.id from by_name b where b.name = e.dst_name and b.document = e.document) end as dst_node from ends e)"""
+
+
+def _resolved(spark, sf):
+    p, n = corpus.placed_edges(spark, sf), corpus.nodes(spark, sf)
+    name = lambda end: n.select(F.col("id").alias(end), F.col("name").alias(f"{end}_name"))
+    numbered = p.join(name("src"), "src").join(name("dst"), "dst").withColumn("id", F.concat_ws("-", "src", "type", "dst"))
+    keep = lambda end, odd: F.when(F.length(end) % 2 == odd, F.col(end)).alias(end)
+    ends = numbered.select("id", keep("src", 0), keep("dst", 1), "src_name", "dst_name", "document")
+    homes = corpus.placed_nodes(spark, sf).where("id not in ('C7', 'S2')").select("id", "name", F.coalesce("document", F.concat(F.lit("doc-"), (F.ascii(F.substring("id", -1, 1)) % 5).cast("string"))).alias("document"))
+    return graph.resolved_edges(ends, homes)
+
+
+@query("jn12_endpoints_by_id_or_name", sql("nodes", "edges", "pnodes", "pedges", rest=_ENDS + " select id, src_node, dst_node from resolved"))
+def jn12_either(spark, sf):
+    """Ends of edges by id, or by name in the edge's document where no id is given."""
+    return _resolved(spark, sf).select("id", "src_node", "dst_node")
+
+
+@query("snk12_edges_written", sql("nodes", "edges", "pnodes", "pedges", rest=_ENDS + " select count(*) filter (src_node is not null and dst_node is not null) as written, count(*) filter (src_node is null or dst_node is null) as dropped from resolved"))
+def snk12(spark, sf):
+    there = F.col("src_node").isNotNull() & F.col("dst_node").isNotNull()
+    return _resolved(spark, sf).agg(F.count_if(there).alias("written"), F.count_if(~there).alias("dropped"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docweave.operators import languages
+from docweave.operators import answers, languages
 from docweave.plans.registry import query
-from docweave.session import table
+from docweave.session import scratch, table
+from docweave.sources import files
 
 _LANGUAGES = rf"""sample as (
   select lang, text from (select *, row_number() over (partition by lang order by md5(cast(doc_id as varchar)), doc_id) as place from documents where lang is not null and text is not null) where place <= {languages.SAMPLE}
@@ -51,3 +52,60 @@ def stg07(spark, sf):
     staged = docs.join(_detected(spark, sf), "doc_id").select("doc_id", F.to_json(F.struct("source", found.alias("detected_language"))).alias("metadata"))
     read = lambda path: F.get_json_object("metadata", path)
     return staged.select("doc_id", read("$.source").alias("source"), read("$.detected_language.code").alias("detected"), read("$.detected_language.confidence").cast("double").alias("confidence"))
+
+
+# ── files against records ──
+
+
+@query("in07_files_and_records", """with placed as (select doc_id % 40 as part, 2 * octet_length(encode(coalesce(text, ''))) + 1 as size from documents),
+  there as (select 'part=' || part as path, sum(size) as bytes from placed where part % 7 <> 0 group by part union all select 'part=99', sum(size) from placed where part = 1),
+  expected as (select 'part=' || part as path, sum(size) + case when part % 5 = 0 then 5 else 0 end as bytes, part % 11 <> 0 as wanted from placed group by part)
+  select coalesce(e.path, t.path) as path, case when e.path is null then 'extra' when t.path is null then case when wanted then 'missing' else 'gone' end when not wanted then 'orphan' when e.bytes <> t.bytes then 'different' else 'valid' end as state,
+    cast(e.bytes as bigint) as expected_bytes, cast(t.bytes as bigint) as bytes from expected e full join there t on t.path = e.path""")
+def in07(spark, sf):
+    """Documents stored as files by part: some parts are missing, one is extra, some are of another size than recorded, some belong to deleted documents. Sizes come from the listing."""
+    folder = scratch(spark, "files")
+    lines = table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("part"), F.hex(F.coalesce("text", F.lit(""))).alias("line"))
+    stored = lines.where("part % 7 <> 0").union(lines.where("part = 1").select(F.lit(99), "line"))
+    stored.repartition("part").write.partitionBy("part").text(folder)
+    there = files.listed(spark, folder).groupBy(F.regexp_extract("path", "^(part=[0-9]+)/", 1).alias("path")).agg(F.sum("bytes").alias("bytes"))
+    sizes = lines.groupBy("part").agg(F.sum(F.length("line") + 1).alias("size"))
+    expected = sizes.select(F.concat(F.lit("part="), F.col("part").cast("string")).alias("path"), (F.col("size") + F.when(F.col("part") % 5 == 0, 5).otherwise(0)).alias("bytes"), (F.col("part") % 11 != 0).alias("wanted"))
+    return files.compared(expected, there)
+
+
+# ── answers of models ──
+
+#: Answers by the last digit of a document's id, # standing for the id: well-formed, fenced, empty, broken, and with bad items.
+_ANSWERS = (
+    '```json\n[{"title":"T#","summary":"s","content":"c#","importance":0.75}]\n```', "[]", "", "no answer in JSON", '{"title":"T#"}',
+    '[{"title":"T#","summary":"s","content":"c"}, {"title":5,"summary":"s","content":"c"}, 7, null]',
+    '[{"should_remember":false,"title":"x"},{"title":"a","summary":"b","content":"c","importance":1.5},{"title":"a","summary":"b","content":"c","confidence":"0.25","category":"fact","entities":[{"name":"E"}]}]',
+    '```\n[{"title":"T","summary":"s","content":"``` inside","entities":["x"]},{"title":"T#","summary":"s","content":"``` inside"}]\n``` and more', '[{"title":"T#"', '  [ {"title":"é#","summary":"","content":"c","importance":null} ]  ',
+)
+_RAW = f"""raws as (select doc_id, replace([{", ".join("'" + a.replace(chr(10), "' || chr(10) || '") + "'" for a in _ANSWERS)}][doc_id % 10 + 1], '#', cast(doc_id as varchar)) as raw from documents),
+bare as (select doc_id, trim(case when starts_with(trim(raw), '```') then regexp_replace(regexp_replace(trim(raw), '^[^\\n]*\\n', ''), '(?s)^(.*)```.*$', '\\1') else raw end, ' ' || chr(10)) as b from raws),
+parsed as (select doc_id, b, try_cast(case when b = '' then null else b end as json) as j from bare),
+items as (select doc_id, i - 1 as place, json_extract(j, '$[' || (i - 1) || ']') as item from (select doc_id, j, unnest(range(1, json_array_length(j)::bigint + 1)) as i from parsed where json_type(j) = 'ARRAY')),
+fields as (select *, json_type(item) as kind, json_type(item, '$.should_remember') as remember, json_type(item, '$.title') = 'VARCHAR' and json_type(item, '$.summary') = 'VARCHAR' and json_type(item, '$.content') = 'VARCHAR' as strings,
+  case when json_type(item, '$.importance') is null then 0.5 when json_type(item, '$.importance') <> 'NULL' then try_cast(json_extract_string(item, '$.importance') as double) end as importance,
+  case when json_type(item, '$.confidence') is null then 0.5 when json_type(item, '$.confidence') <> 'NULL' then try_cast(json_extract_string(item, '$.confidence') as double) end as confidence,
+  json_type(item, '$.entities') is null or coalesce(json_type(item, '$.entities[0]'), 'OBJECT') = 'OBJECT' as objects from items),
+judged as (select *, case when kind <> 'OBJECT' then 'bad' when json_extract_string(item, '$.should_remember') = 'false' then 'skipped' when coalesce(strings, false) and objects and importance between 0 and 1 and confidence between 0 and 1 then 'kept' else 'bad' end as state from fields)"""
+
+
+def _answers(spark, sf):
+    given = F.element_at(F.array(*[F.lit(a) for a in _ANSWERS]), (F.col("doc_id") % 10 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", F.replace(given, F.lit("#"), F.col("doc_id").cast("string")).alias("raw"))
+
+
+@query("me09_memories_of_answers", f"""with {_RAW} select doc_id, cast(place as int) as place, state, case when state = 'kept' then item->>'$.title' end as title, case when state = 'kept' then item->>'$.summary' end as summary, case when state = 'kept' then item->>'$.content' end as content,
+  case when state = 'kept' then importance end as importance, case when state = 'kept' then confidence end as confidence, case when state = 'kept' then coalesce(item->>'$.category', 'general') end as category from judged""")
+def me09(spark, sf):
+    return answers.memory_items(_answers(spark, sf), "doc_id")
+
+
+@query("me09_counted_answers", f"""with {_RAW} select p.doc_id, case when b = '' then 'empty' when j is null then 'not json' when json_type(j) <> 'ARRAY' then 'not a list' else 'parsed' end as state,
+  coalesce(kept, 0) as kept, coalesce(skipped, 0) as skipped, coalesce(bad, 0) as bad from parsed p left join (select doc_id, count(*) filter (state = 'kept') as kept, count(*) filter (state = 'skipped') as skipped, count(*) filter (state = 'bad') as bad from judged group by doc_id) c on c.doc_id = p.doc_id""")
+def me09_counts(spark, sf):
+    return answers.counted(_answers(spark, sf), "doc_id")
