@@ -2,17 +2,19 @@
 
 A page becomes a tree of elements, as browsers build it for the usual faults (unclosed tags, raw text in scripts).
 Every node gets its composite text density, the characters per tag adjusted for links, and the sum of its
-children's densities. Text that says it isn't the article's (menus, headers, footers, sidebars, notices, adverts,
-forms, reader comments, hidden parts) is kept in the tree and weighs like link text, so that its density is 0.
+children's densities. Elements that are never article text (menus, footers, sidebars, forms, headers outside the article,
+hidden parts) and elements whose class, id or role has a word of doubt (share, comments, advert) weigh like link text.
 The deepest node of the largest sum is the core. On the path from the core to the body lies the least density; at
 every step of the path the core's neighbours are taken in if their density reaches it. Neighbouring leaf blocks
 (paragraphs, headings, items) are judged as one run, so a short paragraph stands with those around it, and a
-heading is judged with what follows it. If the body itself is the core, its parts are judged so. In what is taken, marked parts and lists that are mostly links go.
+heading is judged with what follows it; an element in doubt is judged by itself. If the body itself is the core, its parts
+are judged so. Within what is taken, parts without any density go, as do lists that are mostly links. Words of doubt
+thus take nothing away by themselves: they lower a density, and what has text enough around them is kept.
 
 Character references are decoded, white space in a block becomes one space, blocks are trimmed and joined by one
 space in page order; nothing is capped, and very long pages are read like others, one at a time. Of equal sums the deepest
-node, and of these the first in page order, is the core. Null, empty and text-free pages give an empty text. If the
-marks cover all of a page's text, they are ignored. Columns of the result replace columns of the same
+node, and of these the first in page order, is the core. Null, empty and text-free pages give an empty text. If no
+text of a page has a density, the marks are ignored. Columns of the result replace columns of the same
 name; all others are kept. Repeated rows give repeated results, an empty table an empty one.
 """
 
@@ -43,7 +45,7 @@ ENDS = {
 }
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 
-#: Elements that aren't article text, and words of class, id and role that say so.
+#: Elements that aren't article text, and words of class, id and role that lower a density.
 OUTSIDE = frozenset("nav footer aside form button select dialog menu object canvas svg math audio video map datalist".split())
 WORDS = frozenset("""ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus
 footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promotion
@@ -58,22 +60,31 @@ _SPLIT = re.compile(r"[^a-z]+")
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "marks", "outside", "own", "parent", "sum", "tag", "tags")
+    __slots__ = ("children", "chars", "density", "doubted", "link_chars", "link_tags", "marks", "outside", "own", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, marks: str, parent: Node | None):
-        self.tag, self.marks, self.parent, self.outside = tag, marks, parent, False
+        self.tag, self.marks, self.parent, self.outside, self.doubted = tag, marks, parent, False, False
         self.children: list[Node | str] = []
 
 
 def parse(page: str) -> Node:
-    """The tree; strings among the children are text."""
+    """The tree; strings among the children are text. Open elements are counted by name, so that a tag that ends nothing costs nothing."""
     root = at = Node("#root", "", None)
     here = 0
+    open_: dict[str, int] = {}
 
     def text(piece: str) -> None:
         if piece:
             at.children.append(entities.unescape(piece) if "&" in piece else piece)
 
+    def leave(node: Node) -> Node:
+        """Close all open elements up to and with `node`."""
+        up = at
+        while up is not node.parent:
+            open_[up.tag] -= 1
+            up = up.parent
+        return up
+
     while True:
         m = _TOKEN.search(page, here)
         if m is None:
@@ -85,11 +96,11 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = at
-            while node.parent is not None and node.tag != tag:
-                node = node.parent
-            if node.parent is not None:
-                at = node.parent
+            if open_.get(tag):
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                at = leave(node)
             elif tag == "br":
                 at.children.append(Node("br", "", at))
             continue
@@ -99,46 +110,54 @@ def parse(page: str) -> Node:
             continue
         if tag in ENDS:
             ended, bound = ENDS[tag]
+            left = sum(open_.get(t, 0) for t in ended)
             node, last = at, None
-            while node.parent is not None and node.tag not in bound:
+            while left and node.tag not in bound:
                 if node.tag in ended:
-                    last = node
+                    last, left = node, left - 1
                 node = node.parent
             if last is not None:
-                at = last.parent
-        elif tag in CLOSES_P:
+                at = leave(last)
+        elif tag in CLOSES_P and open_.get("p"):
             node = at
-            while node.parent is not None and node.tag != "p" and (node.tag in INLINE):
+            while node.tag != "p" and node.tag in INLINE:
                 node = node.parent
             if node.tag == "p":
-                at = node.parent
+                at = leave(node)
         new = Node(tag, m[3], at)
         at.children.append(new)
         if tag not in VOID:  # browsers take no notice of a slash before the end
             at = new
+            open_[tag] = open_.get(tag, 0) + 1
 
 
 def outside(node: Node, in_article: bool) -> bool:
-    """Whether the element says that it isn't article text."""
+    """Whether the element is never article text, by its name, or isn't shown."""
     if node.tag in OUTSIDE or (node.tag in ("header", "head") and not in_article):
         return True
-    if node.tag in ("body", "html", "article", "main") and not in_article:
-        return False
-    if len(node.marks) < 4:
+    if node.tag in ("body", "html") or len(node.marks) < 4:
         return False
     for m in _MARKS.finditer(node.marks):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
-        if name in ("class", "id", "role"):
-            words = set(_SPLIT.split(value))
+    return False
+
+
+def doubted(node: Node, in_article: bool) -> bool:
+    """Whether a word of the element's class, id or role lowers its density."""
+    if len(node.marks) < 4 or (node.tag in ("body", "html", "article", "main") and not in_article):
+        return False
+    for m in _MARKS.finditer(node.marks):
+        if m[1].lower() in ("class", "id", "role"):
+            words = set(_SPLIT.split((m[2] or m[3] or m[4] or "").lower()))
             if words & WORDS or (not in_article and words & HEAD_WORDS):
                 return True
     return False
 
 
 def mark(root: Node) -> None:
-    """Sets `outside` on elements that say it, and on all below them."""
+    """Sets `outside` and `doubted` on elements that are so, and on all below them."""
     stack = [(root, False)]
     while stack:
         n, inside = stack.pop()
@@ -146,6 +165,7 @@ def mark(root: Node) -> None:
         for c in n.children:
             if not isinstance(c, str):
                 c.outside = n.outside or outside(c, inside)
+                c.doubted = n.doubted or doubted(c, inside)
                 stack.append((c, inside))
 
 
@@ -171,14 +191,14 @@ def measure(root: Node) -> None:
         n.chars, n.tags, n.link_chars, n.link_tags = n.own, 0, 0, 0
         for c in below(n):
             n.chars, n.tags, n.link_chars, n.link_tags = n.chars + c.chars, n.tags + c.tags + 1, n.link_chars + c.link_chars, n.link_tags + c.link_tags
-        if n.outside:
+        if n.outside or n.doubted:
             n.link_chars, n.link_tags = n.chars, n.tags + 1
         elif n.tag == "a":
             n.link_chars, n.link_tags = n.chars, 1
     share = root.link_chars / max(root.chars, 1)
     for n in reversed(order):
         n.density = density(n.chars, n.tags, n.link_chars, n.link_tags, share)
-        own = 0.0 if n.outside else density(n.own, 1, 0, 0, share)
+        own = 0.0 if n.outside or n.doubted else density(n.own, 1, 0, 0, share)
         n.sum = own + sum(c.density for c in below(n))
 
 
@@ -202,12 +222,16 @@ def leaf(c: Node | str) -> bool:
 
 
 def runs(children: list[Node | str]) -> list[list[Node | str]]:
-    """Children that are judged together: neighbouring leaves, a container alone, headings with what follows; marked ones are left out."""
+    """Children that are judged together: neighbouring leaves, a container alone, headings with what follows; one in doubt by itself. Those that are never article text are left out."""
     out: list[list[Node | str]] = []
     open_ = False  # whether the next child joins the last run
     for c in children:
         if not isinstance(c, str) and c.outside:
             continue
+        if not isinstance(c, str) and c.doubted:
+            out.append([c])
+            open_ = False
+            continue
         ends = not leaf(c)
         titles = bool(out) and all((isinstance(x, str) and not x.strip()) or (not isinstance(x, str) and x.tag in HEADINGS) for x in out[-1])
         if open_ and (not ends or titles):
@@ -247,9 +271,21 @@ def select(root: Node) -> Node:
         steps.insert(0, (None, core))
     for low, high in steps:
         high.children = [c for run in runs(high.children) if any(c is low for c in run) or run_density(run, share) >= least > 0 for c in run]
+    judged = {id(high) for _, high in steps}
+    stack = [path[-1]]
+    while stack:  # in what is taken, parts without any density go
+        n = stack.pop()
+        if id(n) not in judged and not leaf(n):
+            n.children = [c for run in runs(n.children) if run_density(run, share) > 0 or not weighs(run) for c in run]
+        stack += below(n)
     return path[-1]
 
 
+def weighs(run: list[Node | str]) -> bool:
+    """Whether a run has text in a block or in doubt; a line's own links stand with the line."""
+    return any(not isinstance(c, str) and c.chars > 0 and (c.doubted or c.tag not in INLINE) for c in run)
+
+
 def text_of(root: Node) -> str:
     """Blocks in page order, white space made one space; without marked parts and link lists."""
     pieces: list[str] = []
@@ -276,7 +312,7 @@ def main_text(page: str | None) -> str:
     measure(root)
     if not core_of(root).sum:  # all of it is marked or links, or there is none
         for n in in_order(root):
-            n.outside = False
+            n.outside = n.doubted = False
         measure(root)
         if not core_of(root).sum:
             return text_of(root)
