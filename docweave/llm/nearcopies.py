@@ -10,8 +10,9 @@ A document's set holds its distinct k-word shingles (A-Z lower-cased; with fewer
    a small bucket inside a join whose condition, on sizes and register parities, no linked pair breaks; in large
    buckets they meet, under the same condition, over their rarest shingles: linked sets share one of the rarest
    n - ceil(0.8 n) + 1 in any order that all sets use, here that of approximate frequency, so what many documents
-   share brings none together. Classes that are near each other through hubs make up a family; what the family's
-   largest component leaves over is multiplied with the family, block by block, as 0/1 matrices over their shared
+   share brings none together. Classes that are near each other through hubs make up a family. Of a family of several
+   components, only those classes go on that share a rarest shingle with a class of another component; of these, what
+   isn't in the largest component is multiplied with the others, block by block, as 0/1 matrices over their shared
    shingles, and only links come out. Pairs inside a component need no look.
 5. Components of the links, least doc_id first.
 
@@ -127,8 +128,9 @@ def near_copies(docs: DataFrame, text_col: str = "text", k: int = 2) -> DataFram
     """doc_id, n_shingles, component_id and kept of every row of `docs`."""
     docs = docs.select("doc_id", F.col(text_col).alias("text"))
     rows = cut(sketch(docs, "text", k))
-    key = ["n_shingles", "set_a", "set_b"]
-    classes = cut(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.max("registers").alias("registers")))
+    rows = rows.withColumn("set", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.struct("n_shingles", "set_a", "set_b"))).drop("set_a", "set_b")
+    classed = rows.where("set is not null")
+    classes = cut(classed.groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("registers").alias("registers"), F.count("*").alias("n"))).withColumn("n_shingles", F.col("set.n_shingles"))
 
     # buckets of two classes or more
     width = 2 * BAND
@@ -154,10 +156,11 @@ def near_copies(docs: DataFrame, text_col: str = "text", k: int = 2) -> DataFram
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
-    named = classes.join(roots, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("root", "rep").alias("component_id"))
-    out = rows.drop("registers").join(named, key, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("set", F.coalesce("root", "rep").alias("component_id"))
+    inside = star_join(classed.select("doc_id", "n_shingles", "set"), named, "set", "doc_id", classes.select("set", "n"))
+    apart = rows.where("set is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = inside.select("doc_id", "n_shingles", "component_id").union(apart)
+    return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def parts_of(reps: DataFrame, roots: DataFrame) -> DataFrame:
@@ -195,43 +198,62 @@ def over_rare_shingles(several: DataFrame, unlike: DataFrame, members: DataFrame
     sizes = several.where(large).groupBy("bucket").agg(F.count("*").alias("n"))
     inside = star_join(several.where(large).select("bucket", "rep"), busy, "bucket", "rep", sizes)
     sets = cut(inside.select("rep").distinct().join(members.select("rep", "shingles"), "rep"))
+    keys, n = rarest(sets)
+    asked = keys.join(strange, "rep", "left_semi")
+    number = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").join(asked.select("key").distinct(), "key")
+    rows = cut(star_join(keys, number.select("key"), "key", "rep", number, n).join(facts, "rep"))
+    side = lambda of, name: of.select("key", F.struct("rep", "n_shingles", "p0", "p1", "part").alias(name))
+    met = star_join(side(rows.join(strange, "rep", "left_semi"), "x"), side(rows, "y"), "key", "x.rep", number, n)
+    return met.where(may("x", "y")).select(*ordered("x.rep", "y.rep"))
+
+
+def rarest(sets: DataFrame) -> tuple[DataFrame, int]:
+    """(rep, key) of the rarest shingles of each set (rep, shingles; written), one of which any two linked sets share; and how many rows."""
     often = sets.select("shingles").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most
     level = np.zeros(CELLS, np.int64)
     level[often["cell"].to_numpy(np.int64)] = often["n"].to_numpy(np.int64)
-    held = members.sparkSession.sparkContext.broadcast(level)
+    held = sets.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rep, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = np.frombuffer(packed, np.uint64)
-                rarest = h[np.lexsort((h, held.value[_cell(h)]))][: prefix(len(h))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rarest), rep)), pa.array(rarest.view(np.int64))], names=["rep", "key"])
+                own = h[np.lexsort((h, held.value[_cell(h)]))][: prefix(len(h))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), rep)), pa.array(own.view(np.int64))], names=["rep", "key"])
 
-    keys, n = counted(sets.select("rep", "shingles").mapInArrow(run, "rep long, key long"))
-    asked = keys.join(strange, "rep", "left_semi")
-    number = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").join(asked.select("key").distinct(), "key")
-    rows = cut(star_join(keys, number.select("key"), "key", "rep", number, n).join(facts, "rep"))
-    x, y = rows.join(strange, "rep", "left_semi").alias("x"), rows.alias("y")
-    return x.join(y, (F.col("x.key") == F.col("y.key")) & may("x", "y")).select(*ordered("x.rep", "y.rep"))
+    return counted(sets.select("rep", "shingles").mapInArrow(run, "rep long, key long"))
 
 
 def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(48)).astype(np.int64)
 
 
+def meeting(kin: DataFrame, members: DataFrame) -> DataFrame:
+    """rep of those of `kin` (family, rep, part, over; written) that share a rarest shingle with one of another part of the family, where a class left over holds it too."""
+    sets = cut(kin.select("rep").join(members.select("rep", "shingles"), "rep"))
+    keys, _ = rarest(sets)
+    placed, n = counted(keys.join(kin, "rep").select("rep", "part", "over", F.xxhash64("family", "key").alias("key")))
+    shared = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.bool_or("over").alias("some"), F.count("*").alias("n")).where("a <> b and some").select("key", "n")
+    shared = cut(shared)
+    return star_join(placed.select("key", "rep"), shared.select("key"), "key", "rep", shared, n).select("rep").distinct()
+
+
 def families(near: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
     """Links between components of one family: of each class left over, to the least class of every component it is linked with in a block."""
     named = components(near.select("a", "b"))
     kin = named.select(F.col("node").alias("rep"), F.col("root").alias("family")).union(named.select("root", "root").distinct())
-    kin = cut(parts_of(kin, roots).join(members.select("rep", "n_shingles"), "rep"))
-    sizes = kin.groupBy("family", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("load"))
-    major = sizes.groupBy("family").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("major"), F.count("*").alias("parts"), F.sum("load").alias("load"), F.max_by("load", F.struct("n", -F.col("part"))).alias("most"))
-    blocks = lambda load: F.ceil(load / F.lit(BLOCK)).cast("int")
-    open_ = major.where("parts > 1").select("family", "major", blocks(F.col("load")).alias("n_all"), blocks(F.col("load") - F.col("most")).alias("n_left"))
-    rows = kin.drop("n_shingles").join(open_, "family").join(members.select("rep", "shingles"), "rep")
+    kin, n = counted(parts_of(kin, roots))
+    sizes = cut(kin.groupBy("family", "part").agg(F.count("*").alias("n")))
+    major = sizes.groupBy("family").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("major"), F.count("*").alias("parts")).where("parts > 1").select("family", "major")
+    of_family = sizes.groupBy("family").agg(F.sum("n").alias("n"))
+    kin, n = counted(star_join(kin, major, "family", "rep", of_family, n).select("family", "rep", "part", (F.col("part") != F.col("major")).alias("over")))
+    kin = cut(kin.join(meeting(kin, members), "rep").join(members.select("rep", "n_shingles"), "rep"))
+    load = lambda what: F.greatest(F.ceil(F.sum(what) / F.lit(BLOCK)), F.lit(1)).cast("int")
+    sums = cut(kin.groupBy("family").agg(F.count("*").alias("n"), load("n_shingles").alias("n_all"), load(F.when(F.col("over"), F.col("n_shingles")).otherwise(0)).alias("n_left")))
+    rows = star_join(kin.drop("n_shingles"), sums.drop("n"), "family", "rep", sums.select("family", "n"), n).join(members.select("rep", "shingles"), "rep")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    left = rows.where("part <> major").select("family", "rep", "part", "shingles", own("n_left").alias("i"), spread("n_all").alias("j"), F.lit(True).alias("over"))
+    left = rows.where("over").select("family", "rep", "part", "shingles", own("n_left").alias("i"), spread("n_all").alias("j"), F.lit(True).alias("over"))
     whole = rows.select("family", "rep", "part", "shingles", spread("n_left").alias("i"), own("n_all").alias("j"), F.lit(False).alias("over"))
     return left.union(whole).groupBy("family", "i", "j").applyInArrow(_multiplied, "a long, b long")
 

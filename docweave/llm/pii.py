@@ -297,18 +297,28 @@ def tagged(texts: list[str], field: Field, known: Features) -> list[list[tuple[i
 
 
 def rests(text: str, spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """What is left of the field's spans beside those of the patterns, trimmed."""
+    """What is left of the field's spans beside those of the patterns, trimmed. Both lists are walked once: the field's spans, in order, lie apart, and the patterns' stretches are joined where they overlap."""
     out = []
-    for start, kind, end in spans:
-        at = start
-        for low, _, high in [*((a, k, b) for a, k, b in base if a < end and b > start), (end, 0, end)]:
+    stretches: list[list[int]] = []
+    for low, _, high in sorted(base):
+        if stretches and low <= stretches[-1][1]:
+            stretches[-1][1] = max(stretches[-1][1], high)
+        else:
+            stretches.append([low, high])
+    k = 0
+    for start, kind, end in sorted(spans):
+        while k < len(stretches) and stretches[k][1] <= start:
+            k += 1
+        at, i = start, k
+        while at < end:
+            low, high = stretches[i] if i < len(stretches) and stretches[i][0] < end else (end, end)
             piece = text[at:low] if low > at else ""
             trim = _TRIM + " \t\n\v\f\r"
             left = len(piece) - len(piece.lstrip(trim.replace("(", "") if ")" in piece else trim))
             right = len(piece.rstrip(trim))
             if left < right and (_DIGITS.search(piece, left, right) or "@" in piece[left:right]):
                 out.append((at + left, kind, at + right))
-            at = max(at, high)
+            at, i = high, i + 1
     return out
 
 

@@ -136,3 +136,22 @@ def test_estimates_and_merging():
         exact = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         assert abs(setsketch.similarity(*marks, np.array([len(a)]), np.array([len(b)]))[0] - exact) < 0.15
         assert (setsketch.merge(*marks) == setsketch.registers(np.union1d(a, b), np.array([0]))).all()
+
+
+def test_a_family_sends_on_what_may_be_linked_only(spark):
+    """Sets of one template that share half of it: no two of them are linked, and none goes on to be multiplied."""
+    half = [f"t{i}" for i in range(200)]
+    sets = {i: np.unique(np.array([hash(w) & ((1 << 63) - 1) for w in half + [f"u{i}-{j}" for j in range(200)]], np.uint64)) for i in range(60)}
+    sets[60] = sets[0].copy()
+    sets[60][:4] += np.uint64(1)
+    sets[60] = np.unique(sets[60])
+    members = spark.createDataFrame([(i, s.tobytes()) for i, s in sets.items()], "rep long, shingles binary").cache()
+    kin = spark.createDataFrame([(1, i, i, i > 0) for i in sets], "family long, rep long, part long, over boolean")
+    assert {r.rep for r in nearcopies.meeting(kin, members).collect()} == {0, 60}
+
+
+def test_empty_texts_and_copies_need_no_join(spark):
+    rows = [(i, None if i % 3 else "same words in each of these") for i in range(60)] + [(None, "same words in each of these")]
+    got = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: (r.component_id, r.kept) for r in got} == {i: (0 if i is not None and i % 3 == 0 else i, i == 0 or i is None or i % 3 > 0) for i, _ in rows}
