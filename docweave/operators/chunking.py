@@ -11,10 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave.functions.matching import gathered
+from docweave.session import cut
 
 #: Tokens of a passage, tokens that pieces of a long paragraph share, tokens under which a passage joins its neighbour.
 SIZE, OVERLAP, LEAST = 256, 40, 32
-#: What a list item begins with.
+# What a list item and a fence begin with; the shapes of headings, breaks and tables stand below as patterns.
 ITEM = r"^\s*(?:[-*+]\s|[-*+]\[[ x]\]\s|[0-9]+[.)]\s)"
 FENCE = r"^(`{3,}|~{3,})"
 
@@ -67,13 +68,17 @@ def regions(rows: DataFrame) -> DataFrame:
     """doc_id, region, type, content, offset: stretches of lines of one kind (code, table, list, paragraph), and single headings and breaks; blank lines part all but code."""
     own = W.partitionBy("doc_id").orderBy("n")
     bare = F.trim("line")
-    rows = rows.join(fences(rows), "doc_id", "left")
-    code = F.get(F.filter(F.coalesce("fenced", F.array().cast("array<struct<first:int,last:int>>")), lambda f: (F.col("n") >= f["first"]) & (F.col("n") <= f["last"])), 0)["first"]
+    spans = fences(rows).select("doc_id", F.explode("fenced").alias("f"))
+    edge = lambda n, pos, code: spans.select("doc_id", n.alias("n"), F.lit(None).cast("string").alias("line"), F.lit(None).cast("bigint").alias("offset"), F.lit(pos).alias("pos"), code.alias("code"))
+    marked = rows.select("doc_id", "n", "line", F.col("offset").cast("bigint").alias("offset"), F.lit(1).alias("pos"), F.lit(None).cast("int").alias("code"))
+    marked = marked.union(edge(F.col("f.first"), 0, F.col("f.first"))).union(edge(F.col("f.last"), 2, F.lit(-1)))
+    upto = W.partitionBy("doc_id").orderBy("n", "pos").rowsBetween(W.unboundedPreceding, 0)
+    rows = marked.withColumn("code", F.last("code", ignorenulls=True).over(upto)).where("pos = 1").withColumn("code", F.when(F.col("code") >= 0, F.col("code"))).drop("pos")
     kind = (
         F.when(F.col("code").isNotNull(), "code").when(bare == "", "blank").when(bare.rlike(r"^(-{3,}|\*{3,}|_{3,})\s*$"), "break").when(bare.rlike(r"^\|.+\|$"), "table")
         .when(bare.rlike(ITEM), "list").when(heading(F.col("line")), "heading").otherwise("paragraph")
     )
-    rows = rows.withColumn("code", code).withColumn("type", kind).drop("fenced")
+    rows = rows.withColumn("type", kind)
     before = F.lag("type").over(own)
     begins = before.isNull() | (F.col("type") != before) | F.col("type").isin("heading", "break") | ((F.col("type") == "code") & (F.col("code") == F.col("n")))
     rows = rows.withColumn("begins", begins.cast("int")).withColumn("region", F.sum("begins").over(own)).where("type <> 'blank'")
@@ -120,7 +125,7 @@ def pieces(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
 
 def packed(parts: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, place, offset, content of passages: regions in order as long as they fit; a heading or a break begins a new one; a long paragraph that comes first in one is cut."""
-    rows = parts.withColumn("tokens", tokens(F.col("content")))
+    rows = cut(parts.withColumn("tokens", tokens(F.col("content"))))  # read three times below
     kind = "struct<region:bigint,no:int,cut:boolean>"
     listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("region", "type", "tokens"))).alias("r"))  # regions of one document
     state = F.struct(F.lit(0).alias("no"), F.lit(0).cast("long").alias("held"), F.lit(False).alias("open"))
@@ -149,7 +154,8 @@ def packed(parts: DataFrame, size: int = SIZE) -> DataFrame:
 
 def merged(rows: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
     """Passages after those of fewer than `least` tokens have joined the one before them, as long as both fit; a small first one joins the next."""
-    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", F.length("content").alias("length")))).alias("r"))  # passages of one document
+    rows = cut(rows.withColumn("length", F.length("content")))  # read twice below
+    listed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "length"))).alias("r"))  # passages of one document
     kind = "struct<place:int,into:int>"
     count = lambda n: F.ceil(n / 4)
     state = F.struct(F.lit(-1).alias("into"), F.lit(0).alias("length"))
@@ -170,17 +176,30 @@ def merged(rows: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
     return kept.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("offset")) - 1).alias("chunk_index"), "offset", "content")
 
 
-def chunks(docs: DataFrame, size: int = SIZE, least: int = LEAST) -> DataFrame:
-    """doc_id, chunk_index, section, start, tokens, content; section: the last heading at or before the passage's beginning."""
+def chunks(docs: DataFrame, size: int = SIZE, least: int = LEAST, pages: DataFrame | None = None) -> DataFrame:
+    """doc_id, chunk_index, total, section, page, start, tokens, content. section: the last heading at or before the passage's
+    beginning; total: passages of the document; page: the page (doc_id, page, offset: where it begins) that the beginning is
+    on, the last one for what lies beyond, null without pages."""
     rows = lines(docs)
     done = merged(packed(regions(rows), size), size, least)
     out = section_of(done, headings(rows))
-    return out.select("doc_id", "chunk_index", F.col("title").alias("section"), F.col("offset").alias("start"), tokens(F.col("content")).alias("tokens"), "content")
+    page = F.lit(None).cast("bigint")
+    if pages is not None:
+        out = at_or_before(out, pages.select("doc_id", "offset", F.col("page").cast("bigint").alias("page")), "page")
+        page = F.col("page")
+    total = F.count("*").over(W.partitionBy("doc_id"))
+    return out.select("doc_id", "chunk_index", total.alias("total"), F.col("title").alias("section"), page.alias("page"), F.col("offset").alias("start"), tokens(F.col("content")).alias("tokens"), "content")
+
+
+def at_or_before(rows: DataFrame, marks: DataFrame, value: str) -> DataFrame:
+    """Rows (doc_id, offset, ...) with the value of the last mark (doc_id, offset, value) of the document at or before the offset: one walk over both in order."""
+    kind = dict(marks.dtypes)[value]
+    own = rows.select("doc_id", F.col("offset").cast("bigint").alias("offset"), F.lit(1).alias("__pos"), F.lit(None).cast(kind).alias(value), F.struct(*rows.columns).alias("__row"))
+    both = own.unionByName(marks.select("doc_id", F.col("offset").cast("bigint").alias("offset"), F.lit(0).alias("__pos"), value), allowMissingColumns=True)
+    upto = W.partitionBy("doc_id").orderBy("offset", "__pos").rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn(value, F.last(value, ignorenulls=True).over(upto)).where("__pos = 1").select("__row.*", value)
 
 
 def section_of(rows: DataFrame, titles: DataFrame) -> DataFrame:
     """Rows (doc_id, offset, ...) with title: the last heading (doc_id, offset, title) of the document at or before the offset."""
-    none = F.array().cast("array<struct<offset:bigint,title:string>>")
-    listed = titles.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("offset").cast("bigint").alias("offset"), "title"))).alias("titles"))  # headings of one document
-    before = F.filter(F.coalesce("titles", none), lambda t: t["offset"] <= F.col("offset"))
-    return rows.join(listed, "doc_id", "left").withColumn("title", F.try_element_at(before, F.lit(-1))["title"]).drop("titles")
+    return at_or_before(rows, titles, "title")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docweave.config import EVIDENCE
 from docweave.functions import text as tx
 from docweave.operators import chunking, evidence
+from docweave.plans import chunk_sql
 from docweave.plans.registry import query
 from docweave.sources import corpus
 from docweave.sources.corpus import sql, table
@@ -29,40 +30,59 @@ def wn05(spark, sf):
     return chunking.section_of(asked, chunking.headings(chunking.lines(corpus.structured(spark, sf)))).select("doc_id", "offset", "title")
 
 
-@query("tx04_regions")
+#: Whole documents and marked reports (with negative ids) as the chunker's texts.
+_TEXTS = "texts as (select doc_id, text from documents union all select -doc_id - 1, text from structured)"
+
+
+def _chunked(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "text").unionByName(corpus.structured(spark, sf).withColumn("doc_id", -F.col("doc_id") - 1))
+
+
+@query("tx04_regions", sql("reports", "structured", rest=f', {chunk_sql.lines("structured")} select doc_id, region, type, content, off as "offset" from regions'))
 def tx04(spark, sf):
     return chunking.regions(chunking.lines(corpus.structured(spark, sf)))
 
 
-@query("tx05_paragraph_pieces")
+@query("tx05_paragraph_pieces", f"""with recursive whole_texts as (select doc_id as key, text as content from documents where text <> ''), {chunk_sql.pieces("part", "whole_texts")} select key as doc_id, cast(piece as int) as piece, cast(start as int) as start, content from part""")
 def tx05(spark, sf):
     """Pieces of whole documents, as paragraphs that are too long are cut."""
     return table(spark, sf, "documents").where("text <> ''").select("doc_id", F.posexplode(chunking.pieces(F.col("text"))).alias("piece", "p")).select("doc_id", "piece", "p.start", "p.content")
 
 
-@query("wn07_packed_passages")
+@query("wn07_packed_passages", sql("reports", "structured", rest=f', {chunk_sql.lines("structured")}, {chunk_sql.passages()} select doc_id, cast(place as int) as place, off as "offset", content from packed'))
 def wn07(spark, sf):
     return chunking.packed(chunking.regions(chunking.lines(corpus.structured(spark, sf))))
 
 
-@query("wn08_merged_passages")
+@query("wn08_merged_passages", sql("reports", "structured", rest=f', {chunk_sql.lines("structured")}, {chunk_sql.passages()} select doc_id, cast(chunk_index as int) as chunk_index, off as "offset", content from chunks_'))
 def wn08(spark, sf):
     return chunking.merged(wn07(spark, sf))
 
 
-@query("tx06_chunks")
+#: Pages of 3,000 characters.
+_PAGES = "pages_ as (select doc_id, unnest(range(1, (length(coalesce(text, '')) + 2999) // 3000 + 1)) as page from texts)"
+
+
+@query("tx06_chunks", sql("reports", "structured", rest=f""", {_TEXTS}, {chunk_sql.lines("texts")}, {chunk_sql.passages()}, {_PAGES},
+  sections as (select c.doc_id, c.chunk_index, arg_max(t.title, t.off) as section from chunks_ c left join titles t on t.doc_id = c.doc_id and t.off <= c.off group by all),
+  paged as (select c.doc_id, c.chunk_index, max(p.page) as page from chunks_ c left join pages_ p on p.doc_id = c.doc_id and (p.page - 1) * 3000 <= c.off group by all)
+  select c.doc_id, c.chunk_index, c.total, s.section, p.page, c.off as start, c.tokens, c.content from chunks_ c join sections s using (doc_id, chunk_index) join paged p using (doc_id, chunk_index)"""))
 def tx06(spark, sf):
-    return chunking.chunks(table(spark, sf, "documents").select("doc_id", "text").unionByName(corpus.structured(spark, sf).withColumn("doc_id", -F.col("doc_id") - 1)))
+    """Passages with their sections and pages."""
+    texts = _chunked(spark, sf)
+    n = F.ceil(F.length(F.coalesce("text", F.lit(""))) / 3000).cast("int")
+    pages = texts.select("doc_id", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("page")).withColumn("offset", (F.col("page") - 1) * 3000)
+    return chunking.chunks(texts, pages=pages)
 
 
-@query("tx07_chunks_with_language")
+@query("tx07_chunks_with_language", f"""with recursive {chunk_sql.lines("documents")}, {chunk_sql.passages()} select c.doc_id, c.chunk_index, d.lang, c.tokens from chunks_ c join documents d on d.doc_id = c.doc_id""")
 def tx07(spark, sf):
     """Passages with their documents' language."""
     lang = table(spark, sf, "documents").select("doc_id", "lang")
     return chunking.chunks(table(spark, sf, "documents")).join(lang, "doc_id").select("doc_id", "chunk_index", "lang", "tokens")
 
 
-@query("el14_other_chunks")
+@query("el14_other_chunks", f"""with recursive {chunk_sql.lines("documents")}, {chunk_sql.passages(128, 16)} select substring(sha256(doc_id || ':' || chunk_index || ':' || content), 1, 32) as id, doc_id, chunk_index, tokens from chunks_""")
 def el14(spark, sf):
     """Another collection of passages, of half the size, with ids that rest on what they hold."""
     rows = chunking.chunks(table(spark, sf, "documents"), size=128, least=16)

@@ -1,131 +1,14 @@
-"""The chunker against a plain walk over lines and regions, one document at a time."""
+"""The chunker against recursive SQL over the same texts, and what passages have to hold."""
 
 import random
-import re
 
+import duckdb
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from docweave.operators import chunking as ch
-
-FENCE, ITEM = re.compile(r"^(`{3,}|~{3,})"), re.compile(r"^\s*(?:[-*+]\s|[-*+]\[[ x]\]\s|[0-9]+[.)]\s)")
-
-
-def is_heading(line):
-    s = line.strip(" ")
-    if not s or len(s) > 200 or s[-1] in ".!?;:":
-        return False
-    shapes = (r"#{1,6}\s+.", r"[0-9]+(\.[0-9]+)*[.)]?\s+.", r"(?i:[IVXLCDM]+)[.)]\s+.", r"(?i:section|chapter|part|appendix)\s+(?i:[0-9IVXLCDMA])+[\s:].")
-    return any(re.match(p, s) for p in shapes) or (s.isupper() and len(s) > 3)
-
-
-def kind_of(line):
-    s = line.strip(" ")
-    if not s:
-        return "blank"
-    if re.match(r"^(-{3,}|\*{3,}|_{3,})\s*$", s):
-        return "break"
-    if FENCE.match(s):
-        return "fence"
-    if re.match(r"^\|.+\|$", s):
-        return "table"
-    if ITEM.match(s):
-        return "list"
-    return "heading" if is_heading(line) else "paragraph"
-
-
-def plain_regions(text):
-    out, lines, i, at = [], text.split("\n"), 0, 0
-    while i < len(lines):
-        kind, start, first = kind_of(lines[i]), at, i
-        at += len(lines[i]) + 1
-        i += 1
-        if kind == "blank":
-            continue
-        if kind == "fence":
-            mark = FENCE.match(lines[first].strip(" "))[1]
-            while i < len(lines):
-                closing = lines[i].strip(" ")
-                at += len(lines[i]) + 1
-                i += 1
-                if FENCE.match(closing) and closing[0] == mark[0] and len(closing) >= len(mark):
-                    break
-            kind = "code"
-        elif kind in ("table", "list", "paragraph"):
-            while i < len(lines) and kind_of(lines[i]) == kind:
-                at += len(lines[i]) + 1
-                i += 1
-        content = "\n".join(lines[first:i])
-        out.append((kind, content.strip(" ") if kind in ("heading", "break") else content, start))
-    return out
-
-
-def n_tokens(text):
-    return -(-len(text) // 4)
-
-
-def plain_pieces(text, size, overlap):
-    most, share = 4 * size, 4 * overlap
-    units, sep = text.split("\n"), "\n"
-    if any(len(u) > most for u in units):
-        units, sep = [w[i : i + most] for w in re.split("[ \n]", text) for i in range(0, max(len(w), 1), most)], " "
-    out, a, i = [], 0, 0
-    held = None
-    while i < len(units):
-        if held is None or len(sep.join(units[a:i])) == 0 or len(sep.join(units[a : i + 1])) <= most or a == i:
-            held = True
-            i += 1
-            continue
-        out.append((a, i - 1))
-        nxt = a + 1
-        while nxt < i and not (len(sep.join(units[nxt:i])) <= share and len(sep.join(units[nxt : i + 1])) <= most):
-            nxt += 1
-        a = nxt
-        i += 1
-    out.append((a, len(units) - 1))
-    start = lambda k: len(sep.join(units[:k])) + 1 if k else 0
-    return [(start(a), sep.join(units[a : b + 1])) for a, b in out if sep.join(units[a : b + 1]).strip(" ")]
-
-
-def plain_packed(regions, size):
-    out, now, held = [], [], 0
-
-    def flush():
-        if now:
-            out.append((now[0][2], "\n\n".join(r[1] for r in now)))
-            now.clear()
-
-    for r in regions:
-        n = n_tokens(r[1])
-        if r[0] == "break":
-            flush()
-            held = 0
-        elif r[0] == "heading":
-            flush()
-            now.append(r)
-            held = n
-        elif held + n <= size:
-            now.append(r)
-            held += n
-        elif not now:
-            out.extend((r[2] + at, piece) for at, piece in plain_pieces(r[1], size, ch.OVERLAP)) if r[0] == "paragraph" else out.append((r[2], r[1]))
-        else:
-            flush()
-            now.append(r)
-            held = n
-    flush()
-    return out
-
-
-def plain_merged(parts, size, least):
-    out = []
-    for at, text in parts:
-        if out and n_tokens(text) < least and n_tokens(out[-1][1]) + n_tokens(text) <= size:
-            out[-1] = (out[-1][0], out[-1][1] + "\n" + text)
-        else:
-            out.append((at, text))
-    if len(out) > 1 and n_tokens(out[0][1]) < least and n_tokens(out[0][1]) + n_tokens(out[1][1]) <= size:
-        out[:2] = [(out[0][0], out[0][1] + "\n" + out[1][1])]
-    return out
+from docweave.plans import chunk_sql
 
 
 def texts():
@@ -134,48 +17,79 @@ def texts():
     line = lambda n: " ".join(word() for _ in range(n))
     makers = [
         lambda: "", lambda: "# " + line(3), lambda: "1.2 " + line(2), lambda: "IV. " + line(2), lambda: "Section 3: " + word(), line(4).upper, lambda: "---", lambda: "```", lambda: "~~~~", lambda: "```` x",
-        lambda: "| a | b |", lambda: "- " + line(3), lambda: "2) " + line(2), lambda: line(rnd.randrange(1, 30)) + ".", lambda: line(rnd.randrange(1, 80)), lambda: line(12), lambda: word() * 120,
+        lambda: "| a | b |", lambda: "- " + line(3), lambda: "2) " + line(2), lambda: line(rnd.randrange(1, 30)) + ".", lambda: line(rnd.randrange(1, 80)), lambda: line(12), lambda: word() * 120, lambda: "=====", lambda: "  ",
     ]
-    out = ["", "\n\n", "one", "```\nopen", "# A\n# B\n# C", "x " * 900, "\n".join(line(20) for _ in range(40))]
+    out = ["", "\n\n", "one", "```\nopen", "# A\n# B\n# C", "x " * 900, "\n".join(line(20) for _ in range(40)), "a\n" * 400, "  \n x" * 300]
     return out + ["\n".join(rnd.choice(makers)() for _ in range(rnd.randrange(1, 60))) for _ in range(250)]
 
 
-def test_regions_packing_and_merging(spark):
-    given = texts()
+@pytest.fixture(scope="module")
+def given():
+    return texts()
+
+
+@pytest.fixture(scope="module")
+def duck(given):
+    con = duckdb.connect()
+    frame = pd.DataFrame(list(enumerate(given)), columns=["doc_id", "text"])
+    con.register("frame", frame)
+    con.execute("create table docs as select * from frame")
+    return con
+
+
+def rows_of(df, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def test_regions_packing_and_merging(spark, given, duck):
     docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
     size, least = 64, 12
+    steps = f"with recursive {chunk_sql.lines('docs')}, {chunk_sql.passages(size, least)}"
     parts = ch.regions(ch.lines(docs))
-    got = _grouped(parts, "region")
-    for i, text in enumerate(given):
-        assert [(r.type, r.content, r.offset) for r in got.get(i, [])] == plain_regions(text), text
+    assert rows_of(parts, "doc_id", "region", "type", "content", "offset") == sorted(duck.execute(f"{steps} select doc_id, region, type, content, off from regions").fetchall())
     packed = ch.packed(parts, size)
-    got = _grouped(packed, "place")
-    for i, text in enumerate(given):
-        assert [(r.offset, r.content) for r in got.get(i, [])] == plain_packed(plain_regions(text), size), text
-    got = _grouped(ch.merged(packed, size, least), "chunk_index")
-    for i, text in enumerate(given):
-        want = plain_merged(plain_packed(plain_regions(text), size), size, least)
-        assert [(r.offset, r.content) for r in got.get(i, [])] == want and [r.chunk_index for r in got.get(i, [])] == list(range(len(want)))
+    assert rows_of(packed, "doc_id", "place", "offset", "content") == sorted(duck.execute(f"{steps} select doc_id, place, off, content from packed").fetchall())
+    merged = ch.merged(packed, size, least)
+    assert rows_of(merged, "doc_id", "chunk_index", "offset", "content") == sorted(duck.execute(f"{steps} select doc_id, chunk_index, off, content from chunks_").fetchall())
 
 
-def _grouped(df, order):
-    out = {}
-    for r in sorted(df.collect(), key=lambda r: (r.doc_id, r[order])):
-        out.setdefault(r.doc_id, []).append(r)
-    return out
+def test_words_come_once_and_in_order(spark, given):
+    """Without overlaps, packing and merging lose no word and repeat none, breaks aside."""
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    parts = ch.regions(ch.lines(docs)).where("type <> 'break'")
+    done = ch.merged(ch.packed(parts, 10_000), 10_000, 3)
+    got: dict[int, list[str]] = {}
+    for _, _, i, content in sorted((r.doc_id, r.chunk_index, r.doc_id, r.content) for r in done.collect()):
+        got.setdefault(i, []).extend(content.split())
+    want: dict[int, list[str]] = {}
+    for i, _, content in sorted((r.doc_id, r.region, r.content) for r in parts.collect()):
+        want.setdefault(i, []).extend(content.split())
+    assert got == {i: w for i, w in want.items() if w}
 
 
 def test_pieces_overlap_and_fit(spark):
     rnd = random.Random(2)
-    given = [" ".join("w" * rnd.randrange(1, 12) for _ in range(n)) for n in (1, 50, 400, 1500)] + ["\n".join("line " * rnd.randrange(1, 12) for _ in range(120)), "x" * 1000]
-    rows = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").select("doc_id", ch.pieces(F.col("text"), 50, 10).alias("p")).collect()
-    for r in rows:
-        assert [(p.start, p.content) for p in r.p] == plain_pieces(given[r.doc_id], 50, 10)
-        assert all(len(p.content) <= 200 for p in r.p)
+    given = [" ".join("w" * rnd.randrange(1, 12) for _ in range(n)) for n in (1, 50, 400, 1500)] + ["\n".join("line " * rnd.randrange(1, 12) for _ in range(120)), "x" * 1000, "\n\n\n" + "y " * 300, "a" * 200 + "\n\n" + "b" * 200]
+    rows = spark.createDataFrame(list(enumerate(given)), "key long, content string").select("key", ch.pieces(F.col("content"), 50, 10).alias("p")).collect()
+    con = duckdb.connect()
+    frame = pd.DataFrame(list(enumerate(given)), columns=["key", "content"])
+    con.register("frame", frame)
+    want = sorted(con.execute(f"with recursive {chunk_sql.pieces('part', 'frame', 50, 10)} select key, piece, start, content from part").fetchall())
+    assert sorted((r.key, k, p.start, p.content) for r in rows for k, p in enumerate(r.p)) == want
+    assert all(len(p.content) <= 200 for r in rows for p in r.p)
 
 
-def test_sections_and_null_texts(spark):
+def test_sections_pages_and_null_texts(spark):
     docs = spark.createDataFrame([(1, "intro words here\n\n# First\n" + "text " * 30 + "\nUnder\n=====\n" + "more " * 30), (2, None), (3, "")], "doc_id long, text string")
-    rows = sorted(ch.chunks(docs, size=40, least=4).collect(), key=lambda r: r.chunk_index)
+    pages = spark.createDataFrame([(1, 1, 0), (1, 2, 20), (9, 5, 0)], "doc_id long, page long, offset long")
+    rows = sorted(ch.chunks(docs, size=40, least=4, pages=pages).collect(), key=lambda r: r.chunk_index)
     assert {r.doc_id for r in rows} == {1} and rows[0].section is None and rows[1].section == "# First" and rows[-1].section in ("# First", "Under")
+    assert all(r.page == (1 if r.start < 20 else 2) and r.total == len(rows) for r in rows) and rows[-1].page == 2
+    assert {r.page for r in ch.chunks(docs).collect()} == {None}
     assert ch.chunks(docs.where("false")).collect() == []
+
+
+def test_many_fences_take_linear_time(spark):
+    text = "```\ncode\n```\nwords of prose\n" * 20_000
+    rows = ch.regions(ch.lines(spark.createDataFrame([(1, text)], "doc_id long, text string")))
+    assert {r.type: r["count"] for r in rows.groupBy("type").count().collect()} == {"code": 20_000, "paragraph": 20_000}
