@@ -127,7 +127,7 @@ def ordered(a: str, b: str) -> list:
 def near_copies(docs: DataFrame, text_col: str = "text", k: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs`."""
     docs = docs.select("doc_id", F.col(text_col).alias("text"))
-    rows = cut(sketch(docs, "text", k))
+    rows, n_rows = counted(sketch(docs, "text", k))
     rows = rows.withColumn("set", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.struct("n_shingles", "set_a", "set_b"))).drop("set_a", "set_b")
     classed = rows.where("set is not null")
     classes = cut(classed.groupBy("set").agg(F.min("doc_id").alias("rep"), F.max("registers").alias("registers"), F.count("*").alias("n"))).withColumn("n_shingles", F.col("set.n_shingles"))
@@ -157,7 +157,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", k: int = 2) -> DataFram
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("set", F.coalesce("root", "rep").alias("component_id"))
-    inside = star_join(classed.select("doc_id", "n_shingles", "set"), named, "set", "doc_id", classes.select("set", "n"))
+    inside = star_join(classed.select("doc_id", "n_shingles", "set"), named, "set", "doc_id", classes.select("set", "n"), n_rows)
     apart = rows.where("set is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = inside.select("doc_id", "n_shingles", "component_id").union(apart)
     return out.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -198,7 +198,7 @@ def over_rare_shingles(several: DataFrame, unlike: DataFrame, members: DataFrame
     sizes = several.where(large).groupBy("bucket").agg(F.count("*").alias("n"))
     inside = star_join(several.where(large).select("bucket", "rep"), busy, "bucket", "rep", sizes)
     sets = cut(inside.select("rep").distinct().join(members.select("rep", "shingles"), "rep"))
-    keys, n = rarest(sets)
+    keys, n = counted(rarest(sets))
     asked = keys.join(strange, "rep", "left_semi")
     number = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").join(asked.select("key").distinct(), "key")
     rows = cut(star_join(keys, number.select("key"), "key", "rep", number, n).join(facts, "rep"))
@@ -207,8 +207,8 @@ def over_rare_shingles(several: DataFrame, unlike: DataFrame, members: DataFrame
     return met.where(may("x", "y")).select(*ordered("x.rep", "y.rep"))
 
 
-def rarest(sets: DataFrame) -> tuple[DataFrame, int]:
-    """(rep, key) of the rarest shingles of each set (rep, shingles; written), one of which any two linked sets share; and how many rows."""
+def rarest(sets: DataFrame) -> DataFrame:
+    """(rep, key) of the rarest shingles of each set (rep, shingles; written), one of which any two linked sets share."""
     often = sets.select("shingles").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # CELLS rows at most
     level = np.zeros(CELLS, np.int64)
     level[often["cell"].to_numpy(np.int64)] = often["n"].to_numpy(np.int64)
@@ -221,7 +221,7 @@ def rarest(sets: DataFrame) -> tuple[DataFrame, int]:
                 own = h[np.lexsort((h, held.value[_cell(h)]))][: prefix(len(h))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), rep)), pa.array(own.view(np.int64))], names=["rep", "key"])
 
-    return counted(sets.select("rep", "shingles").mapInArrow(run, "rep long, key long"))
+    return sets.select("rep", "shingles").mapInArrow(run, "rep long, key long")
 
 
 def _cell(h: np.ndarray) -> np.ndarray:
@@ -231,10 +231,8 @@ def _cell(h: np.ndarray) -> np.ndarray:
 def meeting(kin: DataFrame, members: DataFrame) -> DataFrame:
     """rep of those of `kin` (family, rep, part, over; written) that share a rarest shingle with one of another part of the family, where a class left over holds it too."""
     sets = cut(kin.select("rep").join(members.select("rep", "shingles"), "rep"))
-    keys, _ = rarest(sets)
-    placed, n = counted(keys.join(kin, "rep").select("rep", "part", "over", F.xxhash64("family", "key").alias("key")))
+    placed, n = counted(rarest(sets).join(kin, "rep").select("rep", "part", "over", F.xxhash64("family", "key").alias("key")))
     shared = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.bool_or("over").alias("some"), F.count("*").alias("n")).where("a <> b and some").select("key", "n")
-    shared = cut(shared)
     return star_join(placed.select("key", "rep"), shared.select("key"), "key", "rep", shared, n).select("rep").distinct()
 
 
@@ -243,13 +241,15 @@ def families(near: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame
     named = components(near.select("a", "b"))
     kin = named.select(F.col("node").alias("rep"), F.col("root").alias("family")).union(named.select("root", "root").distinct())
     kin, n = counted(parts_of(kin, roots))
-    sizes = cut(kin.groupBy("family", "part").agg(F.count("*").alias("n")))
+    sizes = kin.groupBy("family", "part").agg(F.count("*").alias("n"))
     major = sizes.groupBy("family").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("major"), F.count("*").alias("parts")).where("parts > 1").select("family", "major")
     of_family = sizes.groupBy("family").agg(F.sum("n").alias("n"))
     kin, n = counted(star_join(kin, major, "family", "rep", of_family, n).select("family", "rep", "part", (F.col("part") != F.col("major")).alias("over")))
+    if not n:
+        return kin.select(F.col("rep").alias("a"), F.col("part").alias("b"))
     kin = cut(kin.join(meeting(kin, members), "rep").join(members.select("rep", "n_shingles"), "rep"))
     load = lambda what: F.greatest(F.ceil(F.sum(what) / F.lit(BLOCK)), F.lit(1)).cast("int")
-    sums = cut(kin.groupBy("family").agg(F.count("*").alias("n"), load("n_shingles").alias("n_all"), load(F.when(F.col("over"), F.col("n_shingles")).otherwise(0)).alias("n_left")))
+    sums = kin.groupBy("family").agg(F.count("*").alias("n"), load("n_shingles").alias("n_all"), load(F.when(F.col("over"), F.col("n_shingles")).otherwise(0)).alias("n_left"))
     rows = star_join(kin.drop("n_shingles"), sums.drop("n"), "family", "rep", sums.select("family", "n"), n).join(members.select("rep", "shingles"), "rep")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
