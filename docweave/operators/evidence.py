@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.config import Evidence
 from docweave.functions import text as tx
+from docweave.operators import dictionary
 
 FALLBACK = "The sources do not answer this."
 #: Words of the head by which a passage is looked up.
@@ -48,7 +49,7 @@ def contained(passages: DataFrame, docs: DataFrame) -> DataFrame:
     The first and last word of a passage may be parts of a document's words; those between are whole. Documents are
     looked up by their windows of HEAD words, or of as many whole words as a short passage has, so that no passage
     meets a document it can't be in. Keys of a moderate number of passages are broadcast. Passages without a whole word
-    are looked for in every text.
+    are looked up by their rarest letters; an empty passage is in every text.
     """
     words = lambda c: F.split(c, r"\s+")
     named = passages.select("item_id", F.col("text").alias("passage"), words(F.trim("text")).alias("w"))
@@ -59,7 +60,9 @@ def contained(passages: DataFrame, docs: DataFrame) -> DataFrame:
     for m, n in sorted(sizes.items()):
         own = named.where(F.col("m") == m)
         if m == 0:
-            hits = docs.select("doc_id", "text").join(own.select("item_id", "passage"), F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+            may = dictionary.named_in(own.select(F.col("item_id").alias("id"), F.col("passage").alias("name")), docs.select(F.col("doc_id").alias("passage"), F.col("text").alias("content")))
+            may = may.select(F.col("id").alias("item_id"), F.col("passage").alias("doc_id"))
+            hits = may.join(own.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
         else:
             asked = own.select("item_id", F.xxhash64(F.array_join(F.slice("w", 2, m), " ")).alias("key"))
             keys = split.where(F.size("w") >= m).select("doc_id", F.explode(F.array_distinct(_windows(m))).alias("key"))
@@ -68,7 +71,8 @@ def contained(passages: DataFrame, docs: DataFrame) -> DataFrame:
         found = hits if found is None else found.union(hits)
     if found is None:
         return passages.select("item_id", F.lit(0).cast("long").alias("n_documents"))
-    number = found.groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    everywhere = passages.where("text = ''").select("item_id").crossJoin(docs.where("text is not null").agg(F.count("*").alias("n_documents")))  # with one row
+    number = found.groupBy("item_id").agg(F.count("*").alias("n_documents")).union(everywhere)
     return passages.select("item_id").join(number, "item_id", "left").select("item_id", F.coalesce("n_documents", F.lit(0)).cast("long").alias("n_documents"))
 
 

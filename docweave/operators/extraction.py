@@ -10,7 +10,19 @@ from docweave.functions.matching import around, matches
 
 TAG = r"\b([A-Z]{1,4}-?[0-9]{2,5})\b"
 #: What a tag's first letters say, and how sure that is; the longest known beginning of three letters counts.
-PREFIXES = {"P": ("Pump", 0.9), "PT": ("Instrument", 0.85), "PSV": ("Valve", 0.85), "T": ("Tank", 0.85), "V": ("Valve", 0.9), "SOP": ("Procedure", 0.95), "INC": ("Incident", 0.9), "E": ("Exchanger", 0.8)}
+# The beginnings of tags, with the type and the confidence that each gives.
+PREFIXES = {
+    "FIC": ("Instrument", 0.95), "PIC": ("Instrument", 0.95), "LIC": ("Instrument", 0.95), "TIC": ("Instrument", 0.95),
+    "PCV": ("Valve", 0.95), "PSV": ("Valve", 0.95), "BDV": ("Valve", 0.90), "PDT": ("Instrument", 0.90), "FDT": ("Instrument", 0.90),
+    "FCV": ("Valve", 0.90), "LCV": ("Valve", 0.90), "HCV": ("Valve", 0.85),
+    "FT": ("Instrument", 0.95), "PT": ("Instrument", 0.95), "LT": ("Instrument", 0.95), "TT": ("Instrument", 0.95),
+    "FV": ("Valve", 0.95), "PV": ("Valve", 0.95), "XV": ("Valve", 0.95), "HV": ("Valve", 0.90),
+    "PI": ("Instrument", 0.90), "FI": ("Instrument", 0.90), "LI": ("Instrument", 0.90), "TI": ("Instrument", 0.90),
+    "PD": ("Instrument", 0.85), "FD": ("Instrument", 0.85), "PL": ("Pipeline", 0.90), "TCV": ("Valve", 0.85),
+    "TK": ("Tank", 0.95), "HX": ("Heat exchanger", 0.90), "WI": ("Procedure", 0.85),
+    "P": ("Pump", 0.95), "V": ("Valve", 0.95), "T": ("Tank", 0.85), "E": ("Heat exchanger", 0.95), "M": ("Motor", 0.95), "L": ("Pipeline", 0.85), "C": ("Compressor", 0.95),
+    "SOP": ("Procedure", 0.90),
+}
 #: (pattern, group, type, confidence): named things. The group names the thing, or if it is empty the whole match.
 NAMED = (
     (r"(?i)\b((?:bearing|seal|motor|pump) (?:failure|leakage|damage))\b", 1, "Failure", 0.75),

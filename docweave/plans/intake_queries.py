@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docweave.operators import answers, languages
+from docweave.operators import answers, golden, languages
 from docweave.plans.registry import query
 from docweave.session import scratch, table
 from docweave.sources import files
@@ -109,3 +109,41 @@ def me09(spark, sf):
   coalesce(kept, 0) as kept, coalesce(skipped, 0) as skipped, coalesce(bad, 0) as bad from parsed p left join (select doc_id, count(*) filter (state = 'kept') as kept, count(*) filter (state = 'skipped') as skipped, count(*) filter (state = 'bad') as bad from judged group by doc_id) c on c.doc_id = p.doc_id""")
 def me09_counts(spark, sf):
     return answers.counted(_answers(spark, sf), "doc_id")
+
+
+# ── golden sets ──
+
+#: An item for each row of the benchmark, by its number: of all kinds, some with faults, some unreadable.
+_GOLDEN = """select item_id as line, case when item_id % 11 = 10 then '{"id": "S01"' else
+  '{"id":"' || substring('SMFN', (item_id % 4 + 1)::int, 1) || lpad(cast(item_id % 90 as varchar), 2, '0') || '","type":"' || case item_id % 4 when 0 then 'single_hop' when 1 then 'multi_hop' when 2 then 'follow_up' else case when item_id % 3 = 0 then 'single_hop' else 'negative' end end
+  || '","source":"b","question":"' || case when item_id % 7 = 0 then 'Why' else 'What does passage ' || cast(item_id as varchar) || ' say' end || '","must_refuse":' || case when item_id % 4 = 3 then 'true' else 'false' end
+  || ',"expected_docs":["d' || cast(item_id % 9 as varchar) || '","d' || cast(item_id % 5 as varchar) || '"],"expected_evidence":[{"doc":"d' || cast(item_id % 9 as varchar) || '","contains":"word"},{"doc":"d7","contains":"w"}]'
+  || ',"expected_facts":[{"fact":"f","any_of":["p"],"in_source":true}],"tags":["compound","' || case when item_id % 2 = 0 then 'long_doc' else 'odd' end || '"],"review":{"status":"' || case when item_id % 6 = 0 then 'needs_review' else 'approved' end || '","reviewed_by":"r","reviewed_on":"d"}}' end as raw from benchmark"""
+
+
+@query("src22_golden_issues", f"""with raws as ({_GOLDEN}), parsed as (select line, raw, case when json_valid(raw) then raw::json end as j from raws),
+  it as (select line, j, j->>'$.id' as id, j->>'$.type' as type, j->>'$.question' as question, (j->>'$.must_refuse') = 'true' as refuse, j->>'$.expected_docs[0]' as d0, j->>'$.expected_docs[1]' as d1, j->>'$.tags[1]' as tag, j->>'$.review.status' as status from parsed),
+  good as (select * from it where j is not null)
+  select line, id, path, problem from (
+    select line, null as id, '' as path, 'not an item' as problem from it where j is null
+    union all select line, id, 'id', 'doesn''t go with the type' from good where id[1] <> case type when 'single_hop' then 'S' when 'multi_hop' then 'M' when 'follow_up' then 'F' else 'N' end
+    union all select line, id, 'question', 'too short' from good where length(question) < 5
+    union all select line, id, 'must_refuse', 'true for negative items only' from good where (type = 'negative') <> refuse
+    union all select line, id, 'expected_docs', 'a negative item expects nothing' from good where type = 'negative'
+    union all select line, id, 'history', 'a follow-up has history and resolution' from good where type = 'follow_up'
+    union all select line, id, 'expected_docs', 'two documents at least' from good where type = 'multi_hop' and d0 = d1
+    union all select line, id, 'expected_docs', 'repeated' from good where d0 = d1
+    union all select line, id, 'expected_evidence[1]', 'of a document that isn''t expected' from good where d0 <> 'd7' and d1 <> 'd7'
+    union all select line, id, 'expected_evidence[1]', 'too short' from good
+    union all select line, id, 'tags[1]', 'unknown' from good where tag = 'odd'
+    union all select line, id, 'review.status', 'not reviewed' from good where status = 'needs_review'
+    union all select line, id, 'expected_docs[0]', 'not in the manifest' from good where d0 = 'd8'
+    union all select line, id, 'expected_docs[1]', 'not in the manifest' from good where d1 = 'd8'
+    union all select line, id, 'id', 'repeated' from good where id in (select id from good group by id having count(*) > 1))""")
+def src22(spark, sf):
+    """Problems of a golden set made of the benchmark's rows, against a manifest of eight documents."""
+    table(spark, sf, "benchmark").createOrReplaceTempView("benchmark")
+    raws = spark.sql(_GOLDEN.replace("as varchar", "as string").replace("::int", ""))
+    spark.catalog.dropTempView("benchmark")
+    manifest = spark.range(8).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("filename"))
+    return golden.issues(golden.items(raws, keep=("line",)), manifest, keep=("line",)).select("line", "id", "path", "problem")

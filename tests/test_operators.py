@@ -46,9 +46,9 @@ def test_evidence(spark):
 
 
 def test_passages_inside_words(spark):
-    passages = spark.createDataFrame([(1, "ow that one two three four five six seven eig"), (2, "short one"), (3, "no such words are here at all or anywhere else")], "item_id long, text string")
+    passages = spark.createDataFrame([(1, "ow that one two three four five six seven eig"), (2, "short one"), (3, "no such words are here at all or anywhere else"), (4, "Kno"), (5, "kno"), (6, ""), (7, "w t")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "Know that one two three four five six seven eight"), (2, "a short one")], "doc_id long, text string")
-    assert {r.item_id: r.n_documents for r in evidence.contained(passages, docs).collect()} == {1: 1, 2: 1, 3: 0}
+    assert {r.item_id: r.n_documents for r in evidence.contained(passages, docs).collect()} == {1: 1, 2: 1, 3: 0, 4: 1, 5: 0, 6: 2, 7: 1}
 
 
 def test_stream_equals_batch(spark, tmp_path):
