@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docweave.operators import dictionary
+from docweave.session import cut
+
 # How an answer says that the sources hold nothing.
 REFUSALS = (
     r"could not find (this|that|the|any)? ?information",
@@ -72,7 +75,10 @@ def normal(text: Column) -> Column:
 
 def says(text: Column, phrase: Column) -> Column:
     """Whether a normal text has a phrase; a phrase that begins or ends in a digit isn't part of a longer number."""
-    p = normal(phrase)
+    return says_normal(text, normal(phrase))
+
+
+def says_normal(text: Column, p: Column) -> Column:
     before = F.when(p.rlike("^[0-9]"), r"(^|[^0-9.])").otherwise("")
     after = F.when(p.rlike("[0-9]$"), r"($|[^0-9.,]|[.,]($|[^0-9]))").otherwise("")
     return (p != "") & F.contains(text, p) & F.regexp_like(text, F.concat(before, F.lit(r"\Q"), p, F.lit(r"\E"), after))
@@ -102,24 +108,46 @@ def document_codes(filename: Column) -> Column:
     return F.when(code != "", F.array(code)).otherwise(F.array(stem, F.replace(stem, F.lit("_"), F.lit(" "))))
 
 
+#: Runs of letters and runs of digits: what stands inside a name is such a run of the text too.
+RUN = "[a-z]+|[0-9]+"
+
+
+def _whole_runs(name: Column) -> Column:
+    """Runs of a normal name that are whole runs of every text that says it: all but letters at its ends, which a word of the text may go on from."""
+    runs = F.regexp_extract_all(name, F.lit(RUN), F.lit(0))
+    low = F.when(name.rlike("^[a-z]"), 2).otherwise(1)
+    high = F.size(runs) - F.when(name.rlike("[a-z]$"), 1).otherwise(0)
+    return F.array_distinct(F.slice(runs, low, F.greatest(high - low + 1, F.lit(0))))
+
+
 def cited(answers: DataFrame, files: DataFrame, key: str) -> DataFrame:
     """(key, filename) of the documents that an answer names. answers: key, answer; files: filename, a corpus of known documents.
 
-    Answers and documents meet by the first word of a document's names, so that no answer is held against all files."""
-    word = "[a-z0-9]+"
-    names = files.select("filename", F.explode(document_codes(F.col("filename"))).alias("name"))
-    names = names.withColumn("token", F.regexp_extract(normal(F.col("name")), f"({word})", 1)).where("token <> ''")
-    said = answers.select(key, normal(F.col("answer")).alias("text")).withColumn("token", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({word})")))))
-    return said.join(names, "token").where(says(F.col("text"), F.col("name"))).select(key, "filename").distinct()
+    Answers and documents meet by the run of letters or digits that the fewest names hold, so that no answer is held against all files; names without a whole run by their rarest letters."""
+    names = files.select("filename").distinct().select("filename", F.explode(document_codes(F.col("filename"))).alias("name"))
+    names = cut(names.select("filename", normal(F.col("name")).alias("name")).where("name <> ''").distinct().withColumn("runs", _whole_runs(F.col("name"))))
+    runs = names.select("filename", "name", F.explode("runs").alias("run"))
+    common = runs.groupBy("run").agg(F.count("*").alias("n"))
+    asked = cut(runs.join(common, "run").groupBy("filename", "name").agg(F.min_by("run", F.struct("n", -F.length("run"), "run")).alias("run")))
+    said = answers.select(key, normal(F.col("answer")).alias("text"))
+    spoken = said.withColumn("run", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(RUN), F.lit(0)))))
+    found = spoken.join(asked, "run").where(says_normal(F.col("text"), F.col("name"))).select(key, "filename")
+    rest = names.where("size(runs) = 0").select("filename", "name")
+    if not rest.isEmpty():
+        texts = said.distinct()
+        may = dictionary.named_in(rest.select(F.col("name").alias("id"), "name"), texts.select(F.struct(key, "text").alias("passage"), F.col("text").alias("content")))
+        may = may.select(f"passage.{key}", "passage.text", F.col("id").alias("name")).join(rest, "name")
+        found = found.union(may.where(says_normal(F.col("text"), F.col("name"))).select(key, "filename"))
+    return found.distinct()
 
 
 def citations(answers: DataFrame, files: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     """key, n_cited, precision and recall of the documents that an answer names. expected: key, filename."""
-    found, wanted = cited(answers, files, key), expected.select(key, "filename").distinct()
-    hits = found.join(wanted, [key, "filename"]).groupBy(key).agg(F.count("*").alias("hits"))
-    count = lambda rows, name: rows.groupBy(key).agg(F.count("*").alias(name))
-    out = answers.select(key).join(count(found, "n_cited"), key, "left").join(count(wanted, "n_wanted"), key, "left").join(hits, key, "left").na.fill(0, ["n_cited", "hits"])
-    known = F.col("n_wanted").isNotNull()
+    one = lambda rows, found, wanted: rows.select(key, "filename", F.lit(found).alias("found"), F.lit(wanted).alias("wanted"))
+    each = one(cited(answers, files, key), 1, 0).union(one(expected, 0, 1)).groupBy(key, "filename").agg(F.max("found").alias("found"), F.max("wanted").alias("wanted"))
+    sums = each.groupBy(key).agg(F.sum("found").alias("n_cited"), F.sum("wanted").alias("n_wanted"), F.sum(F.col("found") * F.col("wanted")).alias("hits"))
+    out = answers.select(key).join(sums.hint("merge"), key, "left").na.fill(0, ["n_cited", "n_wanted", "hits"])  # as many sums as answers: never broadcast
+    known = F.col("n_wanted") > 0
     precision = F.when(known & (F.col("n_cited") > 0), F.col("hits") / F.col("n_cited"))
     return out.select(key, "n_cited", precision.alias("precision"), F.when(known, F.col("hits") / F.col("n_wanted")).alias("recall"))
 

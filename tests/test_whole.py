@@ -65,3 +65,41 @@ def test_percentiles_of_one_large_group(spark):
     wanted = {r.k: (r.a, r.b) for r in df.groupBy("k").agg(F.percentile("v", 0.5).alias("a"), F.percentile("v", 0.953).alias("b")).collect()}
     assert set(got) == {None, "few", "hot"} == set(wanted)
     assert all(abs(x - y) < 1e-9 * abs(y) for k in got for x, y in zip(got[k], wanted[k], strict=True))
+
+
+def test_citations_at_any_place_of_a_word(spark):
+    """Names beside letters, names without a whole run of letters or digits, repeated sources; no small table is assumed."""
+    from docweave.operators import evaluation as ev
+
+    answers = spark.createDataFrame([(1, "see xsop-001b and sop-0012"), (2, "our Notes, and sop-002.5"), (3, "nothing"), (4, "footnotes")], "k long, answer string")
+    files = spark.createDataFrame([("SOP-001_Start.txt",), ("SOP-002_Stop.txt",), ("Notes.txt",)], "filename string")
+    got = {(r.k, r.filename) for r in ev.cited(answers, files, "k").collect()}
+    assert got == {(1, "SOP-001_Start.txt"), (2, "Notes.txt"), (4, "Notes.txt")}
+    expected = spark.createDataFrame([(1, "SOP-001_Start.txt"), (1, "Notes.txt"), (3, "Notes.txt")], "k long, filename string")
+    rows = {r.k: (r.n_cited, r.precision, r.recall) for r in ev.citations(answers, files, expected, "k").collect()}
+    assert rows == {1: (1, 1.0, 0.5), 2: (1, None, None), 3: (0, None, 0.0), 4: (1, None, None)}
+
+
+def test_no_table_of_the_input_size_is_broadcast(spark):
+    from docweave.plans import QUERIES
+
+    for name in ("el07_citations", "st05_cited_and_expected", "ag24_evidence_counts", "ev03_evidence_classes"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") <= ("cited" in name or "citations" in name), name  # the names alone
+
+
+def test_sources_of_several_passages(spark):
+    """A token in two passages of a source counts once."""
+    from docweave.config import EVIDENCE
+    from docweave.operators import evidence
+
+    answers = spark.createDataFrame([("x", 1, "Red pump valve motor turbine.")], "answer string, k long, answer_text string")
+    sources = spark.createDataFrame([(1, "log", "red pump"), (1, "log", "pump red")], "k long, source string, source_text string")
+    assert evidence.classified(answers, sources, "k", EVIDENCE).first().verdict == "UNKNOWN"
+
+
+def test_compact_tables_are_dealt(spark):
+    from docweave.session import spread
+
+    rows = spread(spark.range(1000).coalesce(1), "id", 100)
+    assert rows.rdd.getNumPartitions() == 10 and rows.count() == 1000
