@@ -17,17 +17,16 @@ HEAD = 6
 def classified(answers: DataFrame, sources: DataFrame, key: str, limits: Evidence) -> DataFrame:
     """answer, n, sentence, verdict and sources of each statement.
 
-    A statement meets only the sources of its own key, and of these only those that share a token with it.
+    A statement meets the sources of its own key only, each source with the tokens of all its passages.
     FACT: enough of its tokens are in one source; HYPOTHESIS: it hedges; UNKNOWN: the rest.
     """
     said = answers.select("answer", key, F.posexplode(tx.sentences(F.col("answer_text"))).alias("n", "sentence")).withColumn("tokens", tx.content_tokens(F.col("sentence")))
-    asked = said.select("answer", key, "n", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    known = sources.select(key, "source", F.explode(tx.content_tokens(F.col("source_text"))).alias("token"))
-    shared = asked.join(known, [key, "token"]).groupBy("answer", "n", "source").agg(F.count("*").alias("overlap"), F.first("size").alias("size"))
-    good = shared.where((F.col("overlap") >= limits.overlap) & (F.col("overlap") / F.col("size") >= limits.coverage) & (F.col("size") >= limits.least_tokens))
-    best = good.groupBy("answer", "n").agg(F.array_sort(F.collect_list(F.struct((-F.col("overlap") / F.col("size")).alias("less"), "source"))).alias("found"))  # of one conversation
-    out = said.join(best, ["answer", "n"], "left")
-    verdict = F.when(tx.hedged(F.col("sentence")), "HYPOTHESIS").when(F.col("found").isNotNull(), "FACT").otherwise("UNKNOWN")
+    known = sources.select(key, "source", tx.content_tokens(F.col("source_text")).alias("held")).groupBy(key, "source").agg(F.array_distinct(F.flatten(F.collect_list("held"))).alias("held"))
+    pairs = said.join(known.hint("merge"), key, "left").withColumns({"overlap": F.size(F.array_intersect("tokens", "held")), "size": F.size("tokens")})  # sources are as many as answers: never broadcast
+    good = (F.col("overlap") >= limits.overlap) & (F.col("overlap") / F.col("size") >= limits.coverage) & (F.col("size") >= limits.least_tokens)
+    one = F.when(good, F.struct((-F.col("overlap") / F.col("size")).alias("less"), "source"))
+    out = pairs.select("answer", key, "n", "sentence", one.alias("one")).groupBy("answer", key, "n", "sentence").agg(F.array_sort(F.collect_list("one")).alias("found"))  # of one conversation
+    verdict = F.when(tx.hedged(F.col("sentence")), "HYPOTHESIS").when(F.size("found") > 0, "FACT").otherwise("UNKNOWN")
     refs = F.when(verdict == "FACT", F.transform(F.slice("found", 1, limits.references), lambda s: s["source"])).otherwise(F.array().cast("array<string>"))
     return out.select("answer", "n", "sentence", verdict.alias("verdict"), refs.alias("sources"))
 
