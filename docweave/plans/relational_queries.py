@@ -172,9 +172,9 @@ def jn05(spark, sf):
 
 @query("jn06_lateral_latest_job", "select c_custkey, o_orderkey from customer left join lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_orderdate desc, o_orderkey limit 1) on true")
 def jn06(spark, sf):
-    for name in ("customer", "orders"):
-        table(spark, sf, name).createOrReplaceTempView(f"jn06_{name}")
-    return spark.sql("select c_custkey, o_orderkey from jn06_customer left join lateral (select o_orderkey from jn06_orders where o_custkey = c_custkey order by o_orderdate desc, o_orderkey limit 1)")
+    """The latest order of each customer, one for each customer; dates and keys that are null come last, as in SQL."""
+    last = rel.latest(table(spark, sf, "orders"), ["o_custkey"], [F.col("o_orderdate").desc_nulls_last(), F.col("o_orderkey").asc_nulls_last()]).select("o_custkey", "o_orderkey")
+    return table(spark, sf, "customer").join(last.hint("merge"), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
 
 
 @query("jn07_not_extracted", "select doc_id from documents where doc_id not in (select doc_id from labels)")

@@ -103,3 +103,13 @@ def test_compact_tables_are_dealt(spark):
 
     rows = spread(spark.range(1000).coalesce(1), "id", 100)
     assert rows.rdd.getNumPartitions() == 10 and rows.count() == 1000
+
+
+def test_latest_order_with_nulls_and_ties(spark, tmp_path):
+    from docweave.plans import QUERIES
+
+    spark.createDataFrame([(1,), (2,), (3,), (None,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    orders = [(None, 1, "2024-01-02"), (7, 1, "2024-01-02"), (6, 1, "2024-01-02"), (9, 1, None), (5, 2, None), (8, None, "2024-01-01")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {tuple(r) for r in QUERIES["jn06_lateral_latest_job"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 6), (2, 5), (3, None), (None, None)}
