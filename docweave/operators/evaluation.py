@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docweave.functions.matching import bounded
 from docweave.operators import dictionary
 from docweave.session import cut
 
@@ -69,7 +70,7 @@ def normal(text: Column) -> Column:
     """A text as answers are compared: `plain`, and spellings of dashes, per cent, degrees and units as one."""
     out = F.lower(folded(text))
     for pattern, new in SPELLINGS:
-        out = F.regexp_replace(out, pattern, new)
+        out = F.regexp_replace(out, bounded(pattern), new)
     return F.trim(out)
 
 
@@ -85,7 +86,7 @@ def says_normal(text: Column, p: Column) -> Column:
 
 
 def refuses(answer: Column) -> Column:
-    return normal(answer).rlike("|".join(f"(?:{p})" for p in REFUSALS))
+    return normal(answer).rlike(bounded("|".join(f"(?:{p})" for p in REFUSALS)))
 
 
 def fact_coverage(answer: Column, facts: Column) -> Column:

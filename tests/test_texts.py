@@ -156,3 +156,11 @@ def test_prompt_budget(spark):
     assert [r.id for r in rows] == [0, 1, 2] and rows[2].block.endswith("...[truncated]") and len(rows[0].block) == 128
     assert [r.id for r in retrieval.prompt_blocks(hits, F.lit(0), 300).collect()] == [0, 1]
     assert retrieval.prompt_blocks(hits.where("false"), F.lit(0), 300).collect() == []
+
+
+def test_borders_of_words_beside_letters_of_other_scripts(spark):
+    """A border stands between n and ü, as in the SQL engines."""
+    from docweave.operators import extraction as ex
+
+    df = spark.createDataFrame([("the of enü",), ("äred of blue",)], "content string")
+    assert {(r.src, r.dst, r.n) for r in ex.relationships(df).collect()} == {("the", "en", 1), ("red", "blue", 1)}
