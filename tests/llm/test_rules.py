@@ -129,3 +129,23 @@ def test_the_query_by_plain_walks(spark):
         score = 2 ** (-np.mean(paths) / forest.scale)
         assert abs(r.score - score) < 1e-9 and r.base_failed == (n_words < 10 or 100 * again > 20 * n_words)
         assert r.kept == (not r.base_failed and r.score <= limit)
+
+
+def test_threshold_of_a_table_is_that_of_its_arrays(spark):
+    rnd = random.Random(3)
+    for bad in (0.0, 0.3, 1.0):
+        rows = [(round(rnd.random() * 0.7 + (0.2 if b else 0.0), 3), not b) for b in (rnd.random() < bad for _ in range(400))]
+        want = rules.threshold(np.array([s for s, _ in rows]), np.array([g for _, g in rows]))
+        assert rules.threshold_of(spark.createDataFrame(rows, "score double, good boolean")) == want
+
+
+def test_all_labelled_rows_teach(spark, monkeypatch):
+    """The forest holds every good labelled row, more than any sample of it."""
+    n = 9000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some plain words"), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    seen = []
+    filled = rules.Forest.filled
+    monkeypatch.setattr(rules.Forest, "filled", lambda self, held, total: seen.append((sum(held.values()), total)) or filled(self, held, total))
+    rules.fit(docs, labels)
+    assert seen == [(rules.TREES * n, n)]
