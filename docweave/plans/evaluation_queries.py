@@ -128,7 +128,7 @@ def el05(spark, sf):
 
 @query("ag23_answer_metrics", sql("reports", rest=f", {_ANSWERS}, {_COVERED}, o as (select *, {_OUTCOME} as outcome from covered) select count(*) as n, avg(coverage) as coverage, count(*) filter (outcome = 'correct_refusal') / nullif(count(*) filter (outcome in ('correct_refusal', 'missed_refusal')), 0)::double as refused_rightly, count(*) filter (outcome = 'false_refusal') / nullif(count(*) filter (outcome in ('false_refusal', 'answered')), 0)::double as refused_wrongly from o"))
 def ag23(spark, sf):
-    o = covered(spark, sf).join(el05(spark, sf).select("doc_id", "outcome"), "doc_id")
+    o = covered(spark, sf).select("coverage", ev.outcome(F.col("refused"), (F.col("doc_id") % 10).isin(1, 6, 4), F.col("coverage")).alias("outcome"))
     rate = lambda good, of: F.count_if(F.col("outcome") == good) / F.nullif(F.count_if(F.col("outcome").isin(*of)), F.lit(0))
     wrong = rate("false_refusal", ("false_refusal", "answered")).alias("refused_wrongly")
     return o.agg(F.count("*").alias("n"), F.avg("coverage").alias("coverage"), rate("correct_refusal", ("correct_refusal", "missed_refusal")).alias("refused_rightly"), wrong)
