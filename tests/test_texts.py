@@ -164,3 +164,12 @@ def test_borders_of_words_beside_letters_of_other_scripts(spark):
 
     df = spark.createDataFrame([("the of enü",), ("äred of blue",)], "content string")
     assert {(r.src, r.dst, r.n) for r in ex.relationships(df).collect()} == {("the", "en", 1), ("red", "blue", 1)}
+
+
+def test_names_are_summed_before_they_are_merged(spark):
+    from docweave.operators import extraction as ex
+
+    found = spark.createDataFrame([("1", "Pump", "E", 0.5), ("1", "pump", "D", 0.9), ("1", "Pump", "E", 0.9)], "id string, name string, type string, confidence double")
+    assert ex.summed(found).count() == 2
+    r = ex.merged(found).first()
+    assert (r.name, r.type, r.confidence, r.aliases, r.n) == ("Pump", "D", 0.9, ["pump"], 3)
