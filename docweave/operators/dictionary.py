@@ -23,6 +23,11 @@ def _grams(text: Column, size: Column) -> Column:
     return F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, size)))).otherwise(F.array().cast("array<string>"))
 
 
+def _grams_of(text: Column, n: int) -> Column:
+    """All groups of one size, repeated ones too: found by one pattern, since a substring is looked for from the text's beginning."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
 def _windows(text: Column) -> Column:
     """Pieces of a text that overlap so that each group of GRAM characters is whole in one of them."""
     starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / WINDOW).cast("int"))
@@ -33,14 +38,14 @@ def named_in(names: DataFrame, passages: DataFrame) -> DataFrame:
     """(id, passage) of every name (id, name) in every passage (passage, content) that holds it. passage: any column that can be joined on, a struct too. Null and empty names and contents are found nowhere; an id of several names is found once."""
     name = names.select("id", F.lower("name").alias("name")).where("name <> ''").distinct()
     size = F.least(F.length("name"), F.lit(GRAM))
-    keys = name.select("id", "name", size.alias("size"), F.explode(_grams(F.col("name"), size)).alias("gram"))
+    keys = cut(name.select("id", "name", size.alias("size"), F.explode(_grams(F.col("name"), size)).alias("gram")))  # read four times below
     asked = keys.select("gram").distinct()
     sizes = sorted(r.size for r in keys.select("size").distinct().collect())  # GRAM values at most
     if not sizes:
         return names.select("id").join(passages.select("passage"), F.lit(False))
     low = passages.select("passage", F.lower("content").alias("content")).where("content <> ''")
     pieces = low.select("passage", F.explode(_windows(F.col("content"))).alias("piece"))
-    all_sizes = F.array_distinct(F.flatten(F.array(*[_grams(F.col("piece"), F.lit(n)) for n in sizes])))
+    all_sizes = F.concat(*[_grams_of(F.col("piece"), n) for n in sizes])
     held = cut(pieces.select("passage", F.explode(all_sizes).alias("gram")).join(asked, "gram", "left_semi").distinct())
     counts = held.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = keys.join(counts, "gram").groupBy("id", "name").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("found"), F.max(F.size(_grams(F.col("name"), F.col("size")))).alias("all"))

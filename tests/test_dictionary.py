@@ -44,3 +44,15 @@ def test_no_list_of_all_names(spark):
     names, passages = spark.createDataFrame([(1, "ab")], "id long, name string"), spark.createDataFrame([(7, "xabx")], "passage long, content string")
     plan = dictionary.named_in(names, passages)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "collect_set" not in plan and "Cross" not in plan
+
+
+def test_names_are_computed_once_and_letters_found_by_a_pattern(spark, monkeypatch):
+    """Groups of letters of passages come from one pattern, a letter beyond 16 bits too, and no later step computes the names again."""
+    plans, plain = [], dictionary.cut
+    monkeypatch.setattr(dictionary, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    names = spark.range(3).selectExpr("id", "concat(repeat('\U0001f600', cast(id as int)), 'ab', id) as name")
+    passages = spark.createDataFrame([(7, "x\U0001f600AB1\U0001f600\U0001f600ab2")], "passage long, content string")
+    got = dictionary.named_in(names, passages)
+    assert {tuple(r) for r in got.collect()} == {(1, 7), (2, 7)}
+    assert "Range" in plans[0] and not any("Range" in p for p in [*plans[1:], got._jdf.queryExecution().optimizedPlan().toString()])
+    assert "regexp_extract_all" in plans[1]
