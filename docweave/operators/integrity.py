@@ -63,11 +63,11 @@ def classified_nodes(nodes: DataFrame, docs: DataFrame, chunks: DataFrame) -> Da
 
     The document that a node is meant for is the only active one that its passage, its source's filename and its own id name. A node of a user is valid; one whose meant document disagrees with its own is inconsistent; one without an active document is stale."""
     active = docs.where("not deleted")
-    named = active.groupBy(F.col("filename").alias("source")).agg(F.collect_set("document").alias("by_name"))  # of documents of one name
+    named = active.groupBy(F.col("filename").alias("source")).agg(F.min("document").alias("first_named"), F.max("document").alias("last_named"))  # whether several bear the name, not which: many may
     by_chunk = chunks.select("chunk", F.col("document").alias("by_chunk")).join(active.select(F.col("document").alias("by_chunk")), "by_chunk", "left_semi")
     rows = nodes.join(docs.select("document", F.col("filename").alias("want"), "deleted"), "document", "left").join(by_chunk, "chunk", "left").join(named, "source", "left")
     own = F.when(~F.col("deleted"), F.col("document"))
-    may = F.array_distinct(F.array_compact(F.concat(F.array("by_chunk", own), F.coalesce("by_name", F.array().cast("array<bigint>")))))
+    may = F.array_distinct(F.array_compact(F.array("by_chunk", own, "first_named", "last_named")))
     rows = rows.withColumn("meant", F.when(F.size(may) == 1, may[0]))
     other = F.col("meant").isNotNull() & (~F.col("document").eqNullSafe(F.col("meant")) | ~F.col("source").eqNullSafe(F.col("meant_name")))
     rows = rows.join(docs.select(F.col("document").alias("meant"), F.col("filename").alias("meant_name")), "meant", "left")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from docweave.operators import answers
+from docweave.operators import answers, integrity
 from docweave.sources import files
 
 
@@ -69,3 +69,17 @@ def test_values_of_items(spark):
     r = answers.memory_items(df, "k").first()
     assert (r.title, r.importance, r.confidence, r.category) == ("t", 0.25, 0.5, "general")
     assert answers.counted(df.limit(0), "k").collect() == []
+
+
+def test_documents_of_one_name_are_not_listed(spark):
+    """A name that many documents bear says only that they are several, so no node carries them all."""
+    docs = spark.createDataFrame([(i, "many.txt", False) for i in range(50)] + [(90, "one.txt", False), (91, "gone.txt", True)], "document long, filename string, deleted boolean")
+    chunks = spark.createDataFrame([(5, 5), (90, 90)], "chunk long, document long")
+    nodes = spark.createDataFrame(
+        [("a", 5, "many.txt", 5, None), ("b", None, "one.txt", 90, None), ("c", 91, "gone.txt", None, None), ("d", None, None, None, "u"), ("e", 90, "one.txt", 90, None), ("f", None, "many.txt", None, None), ("g", None, "one.txt", 5, None)],
+        "id string, document long, source string, chunk long, user string",
+    )
+    got = integrity.classified_nodes(nodes, docs, chunks)
+    want = {"a": (None, "valid"), "b": (90, "inconsistent"), "c": (None, "stale"), "d": (None, "valid"), "e": (90, "valid"), "f": (None, "stale"), "g": (None, "stale")}
+    assert {r.id: (r.meant, r.state) for r in got.collect()} == want
+    assert "collect_" not in got._jdf.queryExecution().optimizedPlan().toString()
