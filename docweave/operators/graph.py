@@ -6,6 +6,9 @@ not the graph's paths.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,10 +72,12 @@ def shortest_path(edges: DataFrame, source: str, target: str, depth: int = MOST_
 
 
 def entity_search(nodes: DataFrame, query: Column, terms: Column) -> DataFrame:
-    """Nodes whose name is the query or holds a term, in any case, with exact, coverage and the total; exact ones first."""
+    """Nodes whose name is the query or holds a term, in any case, with exact, coverage and the total; exact ones first. The query and its few terms are constants, computed once and not for each node."""
     low = F.lower("name")
-    hits = F.size(F.filter(terms, lambda t: F.contains(low, F.lower(t))))
-    found = nodes.withColumn("exact", low == F.lower(query)).withColumn("coverage", F.when(F.size(terms) > 0, hits / F.size(terms)).otherwise(0.0))
+    asked = nodes.sparkSession.range(1).select(F.lower(query).alias("query"), F.transform(terms, F.lower).alias("terms")).first()
+    n = len(asked.terms) if asked.terms is not None else 0
+    hits = reduce(add, [F.when(F.contains(low, F.lit(t)), 1).otherwise(0) for t in asked.terms or ()], F.lit(0))
+    found = nodes.withColumn("exact", low == F.lit(asked.query)).withColumn("coverage", hits / n if n else F.lit(0.0))
     found = cut(found.where("exact or coverage > 0"))
     return found.crossJoin(found.agg(F.count("*").alias("total")))  # with one row
 

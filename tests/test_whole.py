@@ -6,7 +6,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.operators import relational, search
+from docweave.functions import text as tx
+from docweave.operators import graph, relational, search
 from docweave.plans import QUERIES
 from docweave.sources import corpus
 from tests.test_queries import SF
@@ -113,3 +114,18 @@ def test_latest_order_with_nulls_and_ties(spark, tmp_path):
     spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string").write.parquet(str(tmp_path / "orders.parquet"))
     got = {tuple(r) for r in QUERIES["jn06_lateral_latest_job"](spark, str(tmp_path)).collect()}
     assert got == {(1, 6), (2, 5), (3, None), (None, None)}
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_of_a_search_are_computed_once(spark, monkeypatch):
+    """The terms are constants in the search of nodes, not an array made for each node."""
+    plans, plain = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(_plan(df)) or plain(df))
+    nodes = spark.createDataFrame([("a", "t", "Pump One"), ("b", "t", None), ("c", "t", "PUMP valve"), ("d", "t", "tank")], "id string, type string, name string")
+    got = graph.entity_search(nodes, F.lit("pump valve"), tx.query_terms(F.lit("pump valve"))).collect()
+    assert {r.id: (r.exact, r.coverage, r.total) for r in got} == {"a": (False, 0.5, 2), "c": (True, 1.0, 2)}
+    assert "lambda" not in plans[0]
+    assert graph.entity_search(nodes, F.lit("tank"), tx.query_terms(F.lit(""))).select("id").collect() == [("d",)]
