@@ -35,50 +35,50 @@ BARE = r"\b([A-Z]{1,4}\s*[-–—/]?\s*[0-9]{2,6})\b"
 KIND = "array<struct<name:string,type:string,original:string,confidence:double>>"
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def canonical(tag: Column) -> Column:
     """A tag without spaces, in capitals, with a dash before its number."""
     plain = F.upper(F.regexp_replace(F.regexp_replace(tag, r"\s+", ""), "[–—/]", "-"))
-    return F.when(F.contains(plain, F.lit("-")), plain).otherwise(F.regexp_replace(plain, "^([A-Z]+)([0-9]+)$", "$1-$2"))
+    return let(plain, lambda p: F.when(F.contains(p, F.lit("-")), p).otherwise(F.regexp_replace(p, "^([A-Z]+)([0-9]+)$", "$1-$2")))
 
 
-def tag_type(tag: Column) -> tuple[Column, Column]:
-    """What a tag's prefix names, by the whole prefix or its longest known beginning, and how sure that is."""
+def tag_type(tag: Column) -> Column:
+    """(type, confidence): what a tag's prefix names, by the whole prefix or its longest known beginning, and how sure that is."""
     known = F.create_map(*[F.lit(x) for pair in PREFIX_TYPES.items() for x in pair])
-    prefix = F.regexp_replace(tag, "[-0-9]+$", "")
-    whole = F.element_at(known, prefix)
-    part = F.coalesce(*[F.element_at(known, F.substring(prefix, 1, n)) for n in (4, 3, 2, 1)])
-    return F.coalesce(whole, part, F.lit("Equipment")), F.when(whole.isNotNull(), 0.9).when(part.isNotNull(), 0.85).otherwise(0.6)
+    by = lambda p: F.struct(F.element_at(known, p).alias("whole"), F.coalesce(*[F.element_at(known, F.substring(p, 1, n)) for n in (4, 3, 2, 1)]).alias("part"))
+    told = lambda t: F.struct(F.coalesce(t["whole"], t["part"], F.lit("Equipment")).alias("type"), F.when(t["whole"].isNotNull(), 0.9).when(t["part"].isNotNull(), 0.85).otherwise(0.6).alias("confidence"))
+    return let(F.regexp_replace(tag, "[-0-9]+$", ""), lambda p: let(by(p), told))
 
 
 def mentions(text: Column) -> Column:
-    """(name, type, original, confidence) of the entities that a text names, each once: words with tags, then numbered papers, then bare tags."""
-    text = F.coalesce(text, F.lit(""))
-    all_ = lambda pattern, group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    """(name, type, original, confidence) of the entities that a text names, each once: words with tags, then numbered papers, then bare tags. A text is searched once for each pattern, and one without digits not at all; groups come from what was found."""
+    found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def tags(pattern: str, group: int) -> Column:
         def one(x: Column) -> Column:
-            name = canonical(x["tag"])
-            kind, sure = tag_type(name)
-            return F.struct(name.alias("name"), kind.alias("type"), x["original"].alias("original"), sure.alias("confidence"))
+            typed = lambda n: let(tag_type(n), lambda t: F.struct(n.alias("name"), t["type"].alias("type"), x.alias("original"), t["confidence"].alias("confidence")))
+            return let(canonical(F.regexp_extract(x, pattern, group)), typed)
 
-        return F.transform(F.arrays_zip(all_(pattern, group).alias("tag"), all_(pattern, 0).alias("original")), one)
+        return F.transform(found(pattern), one)
 
     def paper(x: Column) -> Column:
-        word = F.lower(x["word"])
-        among = lambda words: word.isin(*[w.lower() for w in words])
+        word = F.regexp_extract(x, NUMBERED, 1)
+        among = lambda words: F.lower(word).isin(*[w.lower() for w in words])
         kind = F.when(among(PROCEDURE_WORDS), "Procedure").when(among(INCIDENT_WORDS), "Failure").otherwise("Document")
-        return F.struct(F.concat(F.upper(x["word"]), F.lit("-"), x["number"]).alias("name"), kind.alias("type"), x["original"].alias("original"), F.lit(0.9).alias("confidence"))
+        return F.struct(F.concat(F.upper(word), F.lit("-"), F.regexp_extract(x, NUMBERED, 2)).alias("name"), kind.alias("type"), x.alias("original"), F.lit(0.9).alias("confidence"))
 
-    papers = F.transform(F.arrays_zip(all_(NUMBERED, 1).alias("word"), all_(NUMBERED, 2).alias("number"), all_(NUMBERED, 0).alias("original")), paper)
-    found = F.concat(tags(TAGGED, 2).cast(KIND), papers.cast(KIND), tags(BARE, 1).cast(KIND))
-    return firsts(found, lambda x: x["name"])
+    papers = F.transform(found(NUMBERED), paper)
+    all_ = F.concat(tags(TAGGED, 2).cast(KIND), papers.cast(KIND), tags(BARE, 1).cast(KIND))
+    return F.when(text.rlike("[0-9]"), firsts(all_, lambda x: x["name"])).otherwise(F.array().cast(KIND))
 
 
 def firsts(array: Column, key) -> Column:
-    """The first element of each key, in order."""
-    return F.transform(
-        F.array(array), lambda a: F.filter(a, lambda x, i: F.array_position(F.transform(a, key), key(x)) == i + 1)
-    )[0]  # so that the array is made once
+    """The first element of each key, in order; the array and its keys are made once."""
+    return let(array, lambda a: let(F.transform(a, key), lambda keys: F.filter(a, lambda x, i: F.array_position(keys, key(x)) == i + 1)))
 
 
 def leans_back(question: Column, own: Column, terms: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as tx
 from docweave.operators import graph, relational, search
+from docweave.operators import understanding as un
 from docweave.plans import QUERIES
 from docweave.sources import corpus
 from tests.test_queries import SF
@@ -129,3 +130,9 @@ def test_terms_of_a_search_are_computed_once(spark, monkeypatch):
     assert {r.id: (r.exact, r.coverage, r.total) for r in got} == {"a": (False, 0.5, 2), "c": (True, 1.0, 2)}
     assert "lambda" not in plans[0]
     assert graph.entity_search(nodes, F.lit("tank"), tx.query_terms(F.lit(""))).select("id").collect() == [("d",)]
+
+
+def test_a_text_is_searched_once_for_each_kind_of_mention(spark):
+    df = spark.createDataFrame([("Pump P 101 and P-101, SOP-12",), ("no digits",), (None,)], "a string").select(un.mentions(F.col("a")).alias("m"))
+    assert [[m.name for m in r.m] for r in df.collect()] == [["P-101", "SOP-12"], [], []]
+    assert _plan(df).count("regexp_extract_all(a") == 3
