@@ -132,8 +132,8 @@ def tx25(spark, sf):
   select conv_id, 'Last answer: ' || left(answer, 200) || chr(10) || 'Known: ' || array_to_string(list_sort(names), ', ') as context from answers join first_named using (conv_id)"""))
 def cv03(spark, sf):
     """What is laid before a model for the next turn: the last answer's beginning, and the entities that the dialogue named."""
-    d = corpus.dialogues(spark, sf)
-    last = d.where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("content", "turn").alias("answer"))
-    names = d.select("conv_id", F.explode(un.mentions(F.col("content"))).alias("m")).groupBy("conv_id").agg(F.array_sort(F.collect_set("m.name")).alias("names"))
+    d = corpus.dialogues(spark, sf).withColumn("names", F.transform(un.mentions(F.col("content")), lambda m: m["name"]))
+    told = lambda c: F.when(F.col("role") == "assistant", F.col(c))
+    one = d.groupBy("conv_id").agg(F.max_by(told("content"), told("turn")).alias("answer"), F.count_if(F.col("role") == "assistant").alias("answers"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
     text = F.concat(F.lit("Last answer: "), F.substring("answer", 1, 200), F.lit("\nKnown: "), F.array_join("names", ", "))
-    return last.join(names, "conv_id").select("conv_id", text.alias("context"))
+    return one.where((F.col("answers") > 0) & (F.size("names") > 0)).select("conv_id", text.alias("context"))

@@ -136,3 +136,7 @@ def test_a_text_is_searched_once_for_each_kind_of_mention(spark):
     df = spark.createDataFrame([("Pump P 101 and P-101, SOP-12",), ("no digits",), (None,)], "a string").select(un.mentions(F.col("a")).alias("m"))
     assert [[m.name for m in r.m] for r in df.collect()] == [["P-101", "SOP-12"], [], []]
     assert _plan(df).count("regexp_extract_all(a") == 3
+
+
+def test_context_of_turns_reads_dialogues_once(spark):
+    assert "Join" not in _plan(QUERIES["cv03_turn_context"](spark, SF))
