@@ -84,11 +84,16 @@ carried as (select q.conv_id, q.turn, q.content, q.leans, coalesce((select list(
   from leaning q where q.role = 'user')"""
 
 
-@query("qu02_prior_context", sql("reports", "dialogues", rest=f", {_OWN}, {_PRIOR} select conv_id, turn, entities, terms from carried"))
-def qu02(spark, sf):
+def _carried(spark, sf):
+    """Users' messages with the entities and terms that earlier ones lend them."""
     rows = un.with_history(corpus.dialogues(spark, sf)).where("role = 'user'")
     entities, terms = un.prior(F.col("content"), F.col("history"), un.mentions(F.col("content")), tx.query_terms(F.col("content")))
-    return rows.select("conv_id", "turn", entities.alias("entities"), terms.alias("terms"))
+    return rows.select("conv_id", "turn", "content", entities.alias("entities"), terms.alias("terms"))
+
+
+@query("qu02_prior_context", sql("reports", "dialogues", rest=f", {_OWN}, {_PRIOR} select conv_id, turn, entities, terms from carried"))
+def qu02(spark, sf):
+    return _carried(spark, sf).drop("content")
 
 
 _PRONOUNS = "|".join(un.PRONOUNS).replace("'", "''")
@@ -99,7 +104,7 @@ done as (select *, trim(swap || case when len(list_filter(list_concat(entities,
 
 @query("qu03_rewritten_question", sql("reports", "dialogues", rest=f", {_OWN}, {_PRIOR}, {_REWRITTEN} select conv_id, turn, rewritten from done"))
 def qu03(spark, sf):
-    return qu02(spark, sf).join(corpus.dialogues(spark, sf), ["conv_id", "turn"]).select("conv_id", "turn", un.rewritten(F.col("content"), F.col("entities"), F.col("terms")).alias("rewritten"))
+    return _carried(spark, sf).select("conv_id", "turn", un.rewritten(F.col("content"), F.col("entities"), F.col("terms")).alias("rewritten"))
 
 
 @query("qu04_resolved_question", sql("reports", "dialogues", rest=f""", {_OWN}, {_PRIOR}, {_REWRITTEN} select conv_id, turn, content as question, case when follow_up then rewritten else content end as search_query, follow_up,

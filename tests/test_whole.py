@@ -140,3 +140,8 @@ def test_a_text_is_searched_once_for_each_kind_of_mention(spark):
 
 def test_context_of_turns_reads_dialogues_once(spark):
     assert "Join" not in _plan(QUERIES["cv03_turn_context"](spark, SF))
+
+
+def test_rewritten_questions_need_no_join(spark):
+    """Dialogues as long as the reports, small on disk, would be broadcast whole."""
+    assert "Join" not in _plan(QUERIES["qu03_rewritten_question"](spark, SF))
