@@ -10,8 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docweave.operators.jobs import LEASE, LONGEST, RETRIES
@@ -34,13 +33,13 @@ class _InOrder(StatefulProcessor):
         self.handle = handle
         self.pending = handle.getListState("pending", "micros bigint, seq bigint, kind string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        came = [tuple(r) for part in rows for r in part[["micros", "seq", "kind"]].itertuples(index=False)]
-        self.pending.appendList([(int(m), int(s), k) for m, s, k in came])
-        self.handle.registerTimer(-(-min(int(r[0]) for r in came) // 1000))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        came = [(r.micros, r.seq, r.kind) for r in rows]
+        self.pending.appendList(came)
+        self.handle.registerTimer(-(-min(r[0] for r in came) // 1000))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         known = timerValues.getCurrentWatermarkInMs() * 1000
         held = sorted(tuple(r) for r in self.pending.get()) if self.pending.exists() else []
         due = [r for r in held if r[0] <= known]
@@ -49,9 +48,8 @@ class _InOrder(StatefulProcessor):
             self.pending.put(left) if left else self.pending.clear()
             if left:
                 self.handle.registerTimer(-(-left[0][0] // 1000))
-        made = self.advance(due, known)
-        if made:
-            yield pd.DataFrame([(*key, *row) for row in made], columns=self.OUT)
+        for row in self.advance(due, known):  # rows, since a table in memory for each key costs more than its events
+            yield Row(*self.OUT)(*key, *row)
 
     def advance(self, events: list[tuple], known: int) -> list[tuple]:
         raise NotImplementedError
@@ -148,7 +146,7 @@ class Jobs(_InOrder):
 def _with_state(events: DataFrame, key: str, late: str, processor: StatefulProcessor, out: str) -> DataFrame:
     keyed_state(events.sparkSession)
     rows = events.withWatermark("ts", late).selectExpr(f"{key} as key", "ts", "unix_micros(ts) as micros", "seq", "kind")
-    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="eventTime")
+    return rows.groupBy("key").transformWithState(statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="eventTime")
 
 
 def rate_limited(events: DataFrame, key: str, most: int, seconds: int, late: str) -> DataFrame:

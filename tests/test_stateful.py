@@ -116,3 +116,11 @@ def test_sketches_merge(spark):
 def test_limits_of_no_events(spark):
     empty = spark.createDataFrame([], "key string, ts timestamp, seq long")
     assert jobs.retry_after(empty, "key", 2, 60, seq="seq").collect() == []
+
+
+def test_keys_are_passed_as_rows(spark, tmp_path):
+    """No table in memory for each key and its events."""
+    schema = "job long, ts timestamp, seq long, kind string"
+    stream = files(spark, f"{tmp_path}/in", [[(1, START, 0, "created")]], schema)
+    for made in (stateful.job_states(stream, "1 hour"), stateful.rate_limited(stream, "job", 1, 60, "1 hour")):
+        assert "pandas" not in made._jdf.queryExecution().logical().toString().lower()
