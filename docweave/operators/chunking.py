@@ -6,6 +6,10 @@ Tokens are counted by `tokens`, a quarter of the characters.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,40 +91,36 @@ def regions(rows: DataFrame) -> DataFrame:
     return out.withColumn("content", F.when(F.col("type").isin("heading", "break"), F.trim("content")).otherwise(F.col("content")))
 
 
+def cut_up(text: str, most: int, share: int) -> list[tuple[int, str]]:
+    """(start, content) of the pieces of one paragraph, found by search among the places where its units begin."""
+    units, sep = text.split("\n"), "\n"
+    if any(len(line) > most for line in units):
+        words, sep = text.replace("\n", " ").split(" "), " "
+        units = [part for w in words for part in ([w] if len(w) <= most else [w[i : i + most] for i in range(0, len(w), most)])]
+    at = list(accumulate((len(u) + 1 for u in units), initial=0))  # where each unit begins, and the end and one more
+    after = lambda i: next((k for k in range(i, len(units)) if units[k]), len(units))  # noqa: E731  empty units that a piece begins with do not fill it
+    out, first, base = [], 0, after(0)
+    while True:
+        over = bisect_right(at, at[base] + most + 1) - 1 if base < len(units) else len(units)
+        content = sep.join(units[first:over])
+        if content.strip(" "):
+            out.append((at[first], content))
+        if over >= len(units):
+            return out
+        first = bisect_left(at, at[over] - min(share + 1, most - len(units[over])), first + 1, over)
+        base = first if first < over else after(over)
+
+
 def pieces(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """(start, content) of a long paragraph's pieces of at most `size` tokens: of whole lines if each fits, else of words; a word too long is cut. A piece begins with as much of the one before as `overlap` tokens hold."""
-    most, share = 4 * size, 4 * overlap
-    by_line = F.split(text, "\n")
-    fits = ~F.exists(by_line, lambda s: F.length(s) > most)
-    cut = lambda w: F.transform(F.sequence(F.lit(0), F.greatest((F.length(w) - 1) / most, F.lit(0)).cast("int")), lambda i: F.substring(w, i * most + 1, F.lit(most)))
-    units = F.when(fits, by_line).otherwise(F.flatten(F.transform(F.split(text, r"[ \n]"), cut)))
-    sep = F.when(fits, "\n").otherwise(" ")
-    kind, span = "struct<start:int,content:string>", "struct<a:int,b:int>"
-
-    def made(u: Column) -> Column:
-        before = gathered(u, F.lit(0), "int", lambda s, x: (s + F.length(x), F.array(s)), lambda s: F.array(s))  # characters before each unit, and of all
-        return F.transform(F.array(before), lambda sums: cut_up(u, sums))[0]
-
-    def cut_up(u: Column, sums: Column) -> Column:
-        size_of = lambda a, b: sums[b + 1] - sums[a] + (b - a)  # noqa: E731  of units a to b
-        state = F.struct(F.lit(0).alias("a"), F.lit(0).alias("held"))
-
-        def step(s: Column, i: Column) -> tuple[Column, Column]:
-            n = F.length(u[i])
-            over = (s["held"] > 0) & (s["held"] + 1 + n > most)
-            tail = F.filter(F.sequence(s["a"] + 1, F.greatest(i, s["a"] + 1)), lambda k: (k >= i) | ((size_of(k, i - 1) <= share) & (size_of(k, i - 1) + 1 + n <= most)))
-            again = F.least(tail[0], i)
-            fresh = F.transform(F.array(again), lambda k: F.struct(k.alias("a"), size_of(k, i).alias("held")))[0]
-            new = F.when(over, fresh).otherwise(F.struct(s["a"].alias("a"), F.when(s["held"] > 0, s["held"] + 1 + n).otherwise(n).alias("held")))
-            return new, F.when(over, F.array(F.struct(s["a"].alias("a"), (i - 1).alias("b")))).otherwise(F.array().cast(f"array<{span}>"))
-
-        last = lambda s: F.array(F.struct(s["a"].alias("a"), (F.size(u) - 1).alias("b")))
-        spans = gathered(F.sequence(F.lit(0), F.size(u) - 1), state, span, step, last)
-        return F.transform(spans, lambda s: F.struct((sums[s["a"]] + s["a"]).alias("start"), F.array_join(F.slice(u, s["a"] + 1, s["b"] - s["a"] + 1), "\x00").alias("content")))
-
-    raw = F.transform(F.array(units), made)[0]
-    out = F.transform(raw, lambda p: F.struct(p["start"].alias("start"), F.replace(p["content"], F.lit("\x00"), sep).alias("content")))
-    return F.filter(out, lambda p: F.trim(p["content"]) != "").cast(f"array<{kind}>")
+    """(start, content) of a long paragraph's pieces of at most `size` tokens: of whole lines if each fits, else of words; a word too long is cut. A piece begins with as much of the one before as `overlap` tokens hold. Without a text, none."""
+
+    @F.arrow_udf("array<struct<start:int,content:string>>")
+    def found(texts: pa.Array) -> pa.Array:
+        all_ = [[] if t is None else cut_up(t, 4 * size, 4 * overlap) for t in texts.to_pylist()]
+        flat = pa.StructArray.from_arrays([pa.array([p[k] for one in all_ for p in one], kind) for k, kind in enumerate((pa.int32(), pa.string()))], ["start", "content"])
+        return pa.ListArray.from_arrays(pa.array(accumulate(map(len, all_), initial=0), pa.int32()), flat)
+
+    return found(F.make_valid_utf8(text))
 
 
 def packed(parts: DataFrame, size: int = SIZE) -> DataFrame:

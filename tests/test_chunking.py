@@ -93,3 +93,9 @@ def test_many_fences_take_linear_time(spark):
     text = "```\ncode\n```\nwords of prose\n" * 20_000
     rows = ch.regions(ch.lines(spark.createDataFrame([(1, text)], "doc_id long, text string")))
     assert {r.type: r["count"] for r in rows.groupBy("type").count().collect()} == {"code": 20_000, "paragraph": 20_000}
+
+
+def test_long_paragraphs_keep_their_zero_characters(spark):
+    text = "a\x00b " * 200
+    found = [p.content for r in spark.createDataFrame([(text,)], "content string").select(ch.pieces(F.col("content"), 50, 10).alias("p")).collect() for p in r.p]
+    assert len(found) > 1 and all(set(p.split(" ")) - {""} == {"a\x00b"} for p in found)
