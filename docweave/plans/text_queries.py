@@ -40,7 +40,7 @@ def _chunked(spark, sf):
 
 @query("tx04_regions", sql("reports", "structured", rest=f', {chunk_sql.lines("structured")} select doc_id, region, type, content, off as "offset" from regions'))
 def tx04(spark, sf):
-    return chunking.regions(chunking.lines(corpus.structured(spark, sf)))
+    return chunking.regions_of(corpus.structured(spark, sf))
 
 
 @query("tx05_paragraph_pieces", f"""with recursive whole_texts as (select doc_id as key, text as content from documents where text <> ''), {chunk_sql.pieces("part", "whole_texts")} select key as doc_id, cast(piece as int) as piece, cast(start as int) as start, content from part""")
@@ -51,7 +51,7 @@ def tx05(spark, sf):
 
 @query("wn07_packed_passages", sql("reports", "structured", rest=f', {chunk_sql.lines("structured")}, {chunk_sql.passages()} select doc_id, cast(place as int) as place, off as "offset", content from packed'))
 def wn07(spark, sf):
-    return chunking.packed(chunking.regions(chunking.lines(corpus.structured(spark, sf))))
+    return chunking.packed_lists(chunking.parted(chunking.outlined(corpus.structured(spark, sf))))
 
 
 @query("wn08_merged_passages", sql("reports", "structured", rest=f', {chunk_sql.lines("structured")}, {chunk_sql.passages()} select doc_id, cast(chunk_index as int) as chunk_index, off as "offset", content from chunks_'))

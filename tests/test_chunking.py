@@ -99,3 +99,22 @@ def test_long_paragraphs_keep_their_zero_characters(spark):
     text = "a\x00b " * 200
     found = [p.content for r in spark.createDataFrame([(text,)], "content string").select(ch.pieces(F.col("content"), 50, 10).alias("p")).collect() for p in r.p]
     assert len(found) > 1 and all(set(p.split(" ")) - {""} == {"a\x00b"} for p in found)
+
+
+def test_lines_that_end_with_a_return_are_judged_as_in_sql(spark):
+    given = ["| a |\r\n| b |\r\nTitle.\r\n# T\r\nwords\r", "ß\nÄÖÜ X\nUnder\n==\n\n1. One item\n*** \n___"]
+    con = duckdb.connect()
+    frame = pd.DataFrame(list(enumerate(given)), columns=["doc_id", "text"])
+    con.register("frame", frame)
+    steps = f"with recursive {chunk_sql.lines('frame')}"
+    rows = ch.lines(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string"))
+    assert rows_of(ch.regions(rows), "doc_id", "region", "type", "content", "offset") == sorted(con.execute(f"{steps} select doc_id, region, type, content, off from regions").fetchall())
+    want = sorted(con.execute(f"{steps} select doc_id, off, title from titles").fetchall())
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    assert rows_of(ch.headings(rows), "doc_id", "offset", "title") == want == rows_of(ch.titles(ch.outlined(docs)), "doc_id", "offset", "title")
+
+
+def test_chunks_carry_texts_over_few_shuffles(spark):
+    """Steps by document follow one shuffle of it: no table is written on the way, and no step joins texts again."""
+    plan = ch.chunks(spark.createDataFrame([(1, "a\n" * 40)], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "parquet" not in plan and plan.count("Exchange ") <= 6
